@@ -48,3 +48,35 @@ def utf8(batch: pa.RecordBatch, name: str) -> list[bytes]:
 def ascii_lower(text) -> F.Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def numbered(df: DataFrame, name: str = "rid") -> DataFrame:
+    """Rows with a number of their own, fixed by the split of a stored table."""
+    return df.withColumn(name, F.monotonically_increasing_id())
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list]]:
+    """Runs of rows alike in their first ``keys`` columns, of a stream sorted by them: (key, the other columns).
+
+    Rows are cut by comparing neighbours in whole batches; only a run that
+    reaches over the end of a batch is held back.
+    """
+    import numpy as np
+
+    held: list[list] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
+        if held:
+            columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
+        change = np.zeros(len(columns[0]), bool)
+        change[0] = True
+        for x in columns[:keys]:
+            change[1:] |= x[1:] != x[:-1]
+        cuts = [*np.flatnonzero(change).tolist(), len(columns[0])]
+        for a, b in zip(cuts[:-2], cuts[1:-1], strict=True):
+            yield tuple(x[a] for x in columns[:keys]), [x[a:b] for x in columns[keys:]]
+        held = [x[cuts[-2] :] for x in columns]
+    if held:
+        yield tuple(x[0] for x in held[:keys]), held[keys:]

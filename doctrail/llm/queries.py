@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doctrail.llm import chat, licenses, packing
+from doctrail.llm import chat, licenses, neardup, packing
 from doctrail.llm.common import table
 
 #: Said twice by the conversation that every chat query formats besides those of the table.
@@ -20,6 +20,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -34,7 +39,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_license_scan, op4_sum_of_squares_packing, op5_chat_format)
+    f.__name__: f for f in (op2_simhash_bktree, op3_license_scan, op4_sum_of_squares_packing, op5_chat_format)
 }
 
 SQL = {
