@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -16,20 +17,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of this application.
 
-    The folder is the one of ``spark.checkpoint.dir``; only where that is unset
+    It lies in the one of ``spark.checkpoint.dir``; only where that is unset
     does the warehouse folder, which a cluster shares too, serve instead.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(shared or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a small table with a reliable checkpoint."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a larger table: written, compressed, to the shared folder and read back."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def without(docs: DataFrame, gone: DataFrame, name: str, most: int = 500_000) -> DataFrame:
+    """``docs`` without the rows whose ``name`` is in ``gone``, a stored table of that one long column.
+
+    Up to ``most`` numbers are broadcast, so that texts stay where they are;
+    more are joined by a shuffle, to the same result.
+    """
+    return docs.join(F.broadcast(gone) if gone.count() <= most else gone, name, "left_anti")
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound what an Arrow batch of whole texts holds."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doctrail.llm.common import arrow_map, checkpoint, groups, numbered, utf8
+from doctrail.llm.common import arrow_map, checkpoint, groups, numbered, utf8, without
 from doctrail.llm.components import components
 
 SEED = 42
@@ -184,5 +184,5 @@ def keep_representatives(docs: DataFrame, radius: int = 4) -> DataFrame:
     A stored table is expected, since rows are known by their place in it.
     """
     name = "__row_number"
-    kept = near_duplicates(docs, radius).where("representative").select(F.col("rid").alias(name))
-    return numbered(docs, name).join(kept, name, "left_semi").drop(name)
+    gone = checkpoint(near_duplicates(docs, radius).where("not representative").select(F.col("rid").alias(name)))
+    return without(numbered(docs, name), gone, name).drop(name)

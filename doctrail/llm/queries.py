@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doctrail.llm import chat, decontaminate, licenses, media, neardup, packing
+from doctrail.llm import chat, decontaminate, html, licenses, lm, media, neardup, packing
 from doctrail.llm.common import table
 
 #: Said twice by the conversation that every chat query formats besides those of the table.
@@ -38,6 +38,14 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(hostile)))
 
 
+def op6_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op8_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op9_spaced_seed_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -47,7 +55,7 @@ def op10_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_simhash_bktree, op3_license_scan, op4_sum_of_squares_packing, op5_chat_format, op9_spaced_seed_overlaps, op10_media_chunks)
+    f.__name__: f for f in (op2_simhash_bktree, op3_license_scan, op4_sum_of_squares_packing, op5_chat_format, op6_line_blocks, op8_backoff_automaton, op9_spaced_seed_overlaps, op10_media_chunks)
 }
 
 SQL = {
