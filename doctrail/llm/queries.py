@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doctrail.llm import chat, decontaminate, html, licenses, lm, media, neardup, packing
+from doctrail.llm import chat, decontaminate, html, language, licenses, lm, media, neardup, packing
 from doctrail.llm.common import table
 
 #: Said twice by the conversation that every chat query formats besides those of the table.
@@ -42,6 +42,10 @@ def op6_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op7_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op8_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op10_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_simhash_bktree, op3_license_scan, op4_sum_of_squares_packing, op5_chat_format, op6_line_blocks, op8_backoff_automaton, op9_spaced_seed_overlaps, op10_media_chunks)
+    f.__name__: f for f in (op2_simhash_bktree, op3_license_scan, op4_sum_of_squares_packing, op5_chat_format, op6_line_blocks, op7_language_fusion, op8_backoff_automaton, op9_spaced_seed_overlaps, op10_media_chunks)
 }
 
 SQL = {
