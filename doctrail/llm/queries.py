@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doctrail.llm import chat, decontaminate, html, language, licenses, lm, media, neardup, packing
+from doctrail.llm import chat, decontaminate, html, language, licenses, linededup, lm, media, neardup, packing
 from doctrail.llm.common import table
 
 #: Said twice by the conversation that every chat query formats besides those of the table.
@@ -20,6 +20,12 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    doc_id = F.when(F.col("did") != linededup.LOWEST, F.col("did"))
+    return found.select(doc_id.alias("doc_id"), F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"), "text")
+
+
 def op2_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -59,10 +65,35 @@ def op10_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_simhash_bktree, op3_license_scan, op4_sum_of_squares_packing, op5_chat_format, op6_line_blocks, op7_language_fusion, op8_backoff_automaton, op9_spaced_seed_overlaps, op10_media_chunks)
+    f.__name__: f for f in (op1_line_dedup, op2_simhash_bktree, op3_license_scan, op4_sum_of_squares_packing, op5_chat_format, op6_line_blocks, op7_language_fusion, op8_backoff_automaton, op9_spaced_seed_overlaps, op10_media_chunks)
 }
 
 SQL = {
+    "op1_line_dedup": r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+), sets AS (
+  SELECT doc_id, pos, line, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(line), '[ \t\n\x0B\f\r]+'), lambda w: w <> ''))) AS words FROM lines
+), classes AS (
+  SELECT words, len(words) AS n, min((doc_id, pos)) AS first, row_number() OVER () AS id FROM sets WHERE len(words) >= 5 GROUP BY words
+), words AS (SELECT id, n, first, unnest(words) AS w FROM classes
+), freq AS (SELECT w, count(*) AS c FROM words GROUP BY w
+), ranked AS (
+  SELECT id, n, first, w, row_number() OVER (PARTITION BY id ORDER BY c, w) AS i FROM words JOIN freq USING (w)
+), prefix AS (SELECT * FROM ranked WHERE i <= n - ceil(0.8 * n - 1e-9) + 1
+), pairs AS (
+  SELECT DISTINCT y.id AS y, x.id AS x FROM prefix y JOIN prefix x ON y.w = x.w AND y.first > x.first AND least(y.n, x.n) >= 0.8 * greatest(y.n, x.n) - 1e-9
+), late AS (
+  SELECT DISTINCT y FROM pairs JOIN classes a ON a.id = y JOIN classes b ON b.id = x
+  WHERE len(list_intersect(a.words, b.words)) >= 0.8 * (a.n + b.n - len(list_intersect(a.words, b.words))) - 1e-9
+), kept AS (
+  SELECT s.doc_id, s.pos, s.line, len(s.words) < 5 OR (c.first = (s.doc_id, s.pos) AND c.id NOT IN (SELECT y FROM late)) AS stays
+  FROM sets s LEFT JOIN classes c ON c.words = s.words AND len(s.words) >= 5
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (stays), '') AS text
+FROM kept GROUP BY doc_id
+""",
     "op5_chat_format": r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
