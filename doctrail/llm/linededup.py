@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doctrail.llm.common import checkpoint, numbered
+from doctrail.llm.common import checkpoint, stored
 
 SIMILARITY, LEAST = 0.8, 5
 #: Words are counted in so many cells: a fixed size, whatever the corpus.
@@ -24,6 +24,8 @@ CELLS = 1 << 16
 #: Lines that begin or end with the same words are compared with the first of them before the join.
 ENDS = 4
 LOWEST = -(1 << 63)
+#: Lines to be compared are broadcast to the scan of the texts up to so many; more meet them in a shuffle.
+ASKED = 500_000
 
 
 def _hashes(line: Column) -> Column:
@@ -79,9 +81,9 @@ def _similar(pairs: DataFrame, keyed: DataFrame, ranks: Column, similarity: floa
     """Of pairs of lines (y..., x... with did, dh, pos, sig), the y whose sets are similar: did, dh, pos, sig."""
     name = ["did", "dh", "pos", "sig"]
     y, x = (F.struct(*[F.col(f"{s}_{c}").alias(c) for c in name]) for s in "yx")
-    wanted = pairs.select(F.explode(F.array(y, x)).alias("l")).select("l.*").distinct()
+    wanted = checkpoint(pairs.select(F.explode(F.array(y, x)).alias("l")).select("l.*").distinct())
     asked = wanted.groupBy("did", "dh").agg(F.collect_list(F.struct("pos", "sig")).alias("wanted"))
-    found = keyed.join(asked, ["did", "dh"]).select("did", "dh", F.explode(F.transform("wanted", lambda p: F.struct(p["pos"].alias("pos"), p["sig"].alias("sig"), F.get(F.split("text", "\n"), p["pos"]).alias("line")))).alias("l"))
+    found = keyed.join(F.broadcast(asked) if wanted.count() <= ASKED else asked, ["did", "dh"]).select("did", "dh", F.explode(F.transform("wanted", lambda p: F.struct(p["pos"].alias("pos"), p["sig"].alias("sig"), F.get(F.split("text", "\n"), p["pos"]).alias("line")))).alias("l"))
     sets = _sets(found.select("did", "dh", "l.*"), ranks, name, least).drop("hashes").dropDuplicates(name)
     left = pairs.join(sets.select(*[F.col(c).alias(f"y_{c}") for c in name], F.col("words").alias("y_words")), [f"y_{c}" for c in name])
     both = left.join(sets.select(*[F.col(c).alias(f"x_{c}") for c in name], F.col("words").alias("x_words")), [f"x_{c}" for c in name])
@@ -99,23 +101,25 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, least: int =
     sets = sets.select("did", "dh", "pos", "hashes", F.explode(F.array("words")).alias("words"))
     n = F.size("words")
     prefix = F.slice("words", F.lit(1), (n - F.ceil(n * similarity - 1e-9) + 1).cast("int"))
-    first = F.struct("did", "pos", "dh", _signature(F.col("words")).alias("sig"), prefix.alias("prefix"), F.xxhash64(F.slice("hashes", 1, ENDS)).alias("begin"), F.xxhash64(F.slice("hashes", -ENDS, ENDS)).alias("end"))
+    first = F.struct("did", "pos", "dh", _signature(F.col("words")).alias("sig"), F.transform(prefix, lambda w: F.hash(w)).alias("prefix"), F.xxhash64(F.slice("hashes", 1, ENDS)).alias("begin"), F.xxhash64(F.slice("hashes", -ENDS, ENDS)).alias("end"))
     # Lines with the same set are one class, led by the first of them; partial minima meet in the shuffle.
-    classes = sets.select(F.xxhash64("words").alias("c"), n.alias("n"), first.alias("f")).groupBy("c", "n").agg(F.min("f").alias("f"))
+    classes = stored(sets.select(F.xxhash64("words").alias("c"), n.alias("n"), first.alias("f")).groupBy("c", "n").agg(F.min("f").alias("f")).select("n", "f.*"))
 
     # Classes that begin or end alike: each is compared with the first, so that a large group of near copies is settled in linear work.
-    ends = classes.select("c", "n", "f.did", "f.dh", "f.pos", "f.sig", F.explode(F.array("f.begin", F.col("f.end").bitwiseXOR(F.lit(1).cast("long")))).alias("k"))
+    line = ["did", "dh", "pos", "sig"]
     order = F.struct("did", "pos", "sig", "dh", "n")
+    ends = classes.select(*line, "n", F.explode(F.array("begin", F.bitwise_not("end"))).alias("k"))
     heads = ends.groupBy("k").agg(F.min(order).alias("x"), F.count("*").alias("m")).where("m > 1").drop("m")
     close = F.bit_count(F.col("sig").bitwiseXOR(F.col("x.sig"))) <= F.col("n") + F.col("x.n") - 2 * _need(F.col("n") + F.col("x.n"), similarity)
     led = ends.join(heads, "k").where((order > F.col("x")) & close)
-    led = led.select(*[F.col(c).alias(f"y_{c}") for c in ("did", "dh", "pos", "sig")], *[F.col(f"x.{c}").alias(f"x_{c}") for c in ("did", "dh", "pos", "sig")]).distinct()
-    settled = _similar(led, keyed, ranks, similarity, least)
+    led = checkpoint(led.select(*[F.col(c).alias(f"y_{c}") for c in line], *[F.col(f"x.{c}").alias(f"x_{c}") for c in line]).distinct())
+    settled = checkpoint(_similar(led, keyed, ranks, similarity, least))
 
     # The join: every class is looked up by its prefix; only classes not settled look for an earlier one.
-    open_ = classes.select("n", "f.*").join(settled.withColumn("settled", F.lit(True)), ["did", "dh", "pos", "sig"], "left")
+    # Both sides are one exchange, as the filter on settled lines is part of the comparison.
+    open_ = classes.select("n", "prefix", *line).join(settled.withColumn("settled", F.lit(True)), line, "left")
     top = F.when(F.col("settled"), LOWEST).otherwise(F.col("did")).alias("top")
-    postings = open_.select("did", "dh", "pos", "sig", "n", top, F.posexplode("prefix").alias("i", "w"))
+    postings = open_.select(*line, "n", top, F.posexplode("prefix").alias("i", "w"))
     y, x = postings.alias("y"), postings.alias("x")
     total = F.col("y.n") + F.col("x.n")
     rest = F.least(F.col("y.n") - F.col("y.i"), F.col("x.n") - F.col("x.i"))
@@ -127,11 +131,11 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, least: int =
         & (rest >= _need(total, similarity) - F.least("y.i", "x.i"))
         & (F.bit_count(F.col("y.sig").bitwiseXOR(F.col("x.sig"))) <= total - 2 * _need(total, similarity)),
     )
-    pairs = pairs.select(*[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "yx" for c in ("did", "dh", "pos", "sig")]).distinct()
-    late = _similar(pairs, keyed, ranks, similarity, least)
+    pairs = checkpoint(pairs.select(*[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "yx" for c in line]).distinct())
+    late = checkpoint(_similar(pairs, keyed, ranks, similarity, least))
 
     gone = settled.unionByName(late).select("did", "dh", "pos").withColumn("stays", F.lit(False))
-    stays = classes.select("f.did", "f.dh", "f.pos").withColumn("stays", F.lit(True)).unionByName(gone)
+    stays = classes.select("did", "dh", "pos").withColumn("stays", F.lit(True)).unionByName(gone)
     lists = stays.groupBy("did", "dh").agg(F.collect_list(F.when(F.col("stays"), F.col("pos"))).alias("firsts"), F.collect_list(F.when(~F.col("stays"), F.col("pos"))).alias("gone"))
     return keyed, lists.select("did", "dh", F.array_except("firsts", "gone").alias("kept"))
 
