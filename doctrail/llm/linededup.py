@@ -92,8 +92,8 @@ def _similar(pairs: DataFrame, keyed: DataFrame, ranks: Column, similarity: floa
     return good.select(*[F.col(f"y_{c}").alias(c) for c in name]).distinct()
 
 
-def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """(keyed, kept): texts by (did, dh), and for each of them the positions of its compared lines that stay."""
+def kept_lines(docs: DataFrame, similarity: float = SIMILARITY, least: int = LEAST) -> DataFrame:
+    """did, dh, kept: by document (its id, null as the lowest long, and its text's hash) the positions of its compared lines that stay."""
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("did"), F.coalesce("text", F.lit("")).alias("text")).select("did", F.xxhash64("text").alias("dh"), "text")
     ranks = checkpoint(rarity(keyed.select("text"))).scalar()
     lines = keyed.select("did", "dh", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
@@ -137,25 +137,26 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, least: int =
     gone = settled.unionByName(late).select("did", "dh", "pos").withColumn("stays", F.lit(False))
     stays = classes.select("did", "dh", "pos").withColumn("stays", F.lit(True)).unionByName(gone)
     lists = stays.groupBy("did", "dh").agg(F.collect_list(F.when(F.col("stays"), F.col("pos"))).alias("firsts"), F.collect_list(F.when(~F.col("stays"), F.col("pos"))).alias("gone"))
-    return keyed, lists.select("did", "dh", F.array_except("firsts", "gone").alias("kept"))
+    return lists.select("did", "dh", F.array_except("firsts", "gone").alias("kept"))
 
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, least: int = LEAST) -> DataFrame:
-    """did, dh, text, n_lines, n_removed: texts without their removed lines, a row for each row of ``docs``.
+    """The rows and columns of ``docs`` with the removed lines cut from ``text``, and __n_lines and __n_removed.
 
-    ``did`` is the doc_id (null as the lowest long) and ``dh`` a hash of the
-    text before. Rows alike in doc_id and text are one document and keep the
-    same lines; a null doc_id comes before all others; a null text is empty; an
-    empty table gives no rows; other columns are ignored. A document all of
-    whose lines are removed has an empty text.
+    Rows alike in doc_id and text are one document and keep the same lines; a
+    null doc_id comes before all others; a null text is empty; an empty table
+    gives no rows; other columns pass as they are. A document all of whose
+    lines are removed has an empty text.
     """
-    keyed, kept = removed_lines(docs, similarity, least)
-    met = keyed.join(kept, ["did", "dh"], "left").withColumn("kept", F.coalesce("kept", F.array().cast("array<int>")))
-    cut = met.withColumn("lines", F.split("text", "\n"))
+    kept = kept_lines(docs, similarity, least).select(F.col("did").alias("__did"), F.col("dh").alias("__dh"), F.col("kept").alias("__kept"))
+    named = docs.withColumns({"__did": F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)), "__dh": F.xxhash64(F.coalesce("text", F.lit("")))})
+    met = named.join(kept, ["__did", "__dh"], "left").withColumn("__lines", F.split(F.coalesce("text", F.lit("")), "\n"))
+    firsts = F.coalesce("__kept", F.array().cast("array<int>"))
 
     def stays(line: Column, pos: Column) -> Column:
         different = F.size(F.array_distinct(F.array_remove(F.split(F.lower(line), r"[ \t\n\x0B\f\r]+"), "")))
-        return F.array_contains(F.col("kept"), pos) | (different < least)
+        return F.array_contains(firsts, pos) | (different < least)
 
-    out = cut.withColumn("left", F.filter("lines", stays))
-    return out.select("did", "dh", F.array_join("left", "\n").alias("text"), F.size("lines").alias("n_lines"), (F.size("lines") - F.size("left")).alias("n_removed"))
+    left = met.withColumn("__left", F.filter("__lines", stays))
+    out = left.withColumns({"text": F.array_join("__left", "\n"), "__n_lines": F.size("__lines").cast("long"), "__n_removed": (F.size("__lines") - F.size("__left")).cast("long")})
+    return out.select(*docs.columns, "__n_lines", "__n_removed")
