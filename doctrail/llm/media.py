@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doctrail.llm.common import arrow_map, numbered, utf8
+from doctrail.llm.common import arrow_map, checkpoint, numbered, utf8
 
 RATE, UNIT, PAD = 8000, 192, b" "
 #: Chunk lengths: at least, usually beyond that, at most.
@@ -97,7 +97,7 @@ def chunked(docs: DataFrame, with_data: bool) -> DataFrame:
                 media, start = wav(payload_of(text)), 0
                 for seq, end in enumerate(cuts(media, gear)):
                     chunk = media[start:end]
-                    rows.append((rid, doc, len(text), seq, hashlib.sha256(chunk).digest(), *([zlib.compress(chunk, 1)] * with_data)))
+                    rows.append((rid, doc, len(text), seq, hashlib.sha256(chunk).digest(), *([zlib.compress(chunk, 6)] * with_data)))
                     start, held = end, held + end - start
                 if held > 4 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names)
@@ -109,34 +109,42 @@ def chunked(docs: DataFrame, with_data: bool) -> DataFrame:
     return arrow_map(numbered(docs.select("doc_id", "text")), work, "rid long, doc_id long, n_bytes long, seq long, digest binary" + ", data binary" * with_data)
 
 
-def store(docs: DataFrame) -> DataFrame:
-    """The chunk store: digest and compressed data, each chunk once."""
-    return chunked(docs, True).select("digest", "data").dropDuplicates(["digest"])
-
-
 def round_trip(docs: DataFrame) -> DataFrame:
-    """Each document's file put together from the chunk store, verified and read.
-
-    Chunk lists join the store by digest, so bytes shared by many documents are
-    shuffled once, not once a copy; a file's chunks then meet by row and are put
-    in order. The file is checked against the lengths of its chunk list and
-    read back as samples. A null or empty text is a payload of 192 blanks; a null
-    doc_id stays null; repeated rows are each stored; an empty table gives no
-    rows; other columns are ignored.
+    """Each document's file put together from stored chunks, verified and read.
+
+    A join on the digest finds the chunks that several places share; the first
+    place, by row, is the one whose bytes are stored, and the others borrow
+    them. Bytes meet in one shuffle by row; besides, only borrowed ones travel.
+    Each file is put in order from its own and its borrowed chunks, checked
+    against the digests and lengths of its chunk list, and read back as
+    samples. A null or empty text is a payload of 192 blanks; a null doc_id stays
+    null; repeated rows are each stored; an empty table gives no rows; other
+    columns are ignored.
     """
-    lists = chunked(docs, False)
-    fetched = lists.join(store(docs), "digest")
-    whole = fetched.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.first("n_bytes").alias("n_bytes"), F.sort_array(F.collect_list(F.struct("seq", "data"))).alias("parts"))
-    whole = whole.select("doc_id", "n_bytes", F.transform("parts", lambda x: x["data"]).alias("parts"))
+    place = F.struct("rid", "seq")
+    lists = chunked(docs, False).select("rid", "seq", "digest")
+    shared = lists.groupBy("digest").agg(F.min(place).alias("owner"), F.count("*").alias("n")).where("n > 1").select("digest", "owner")
+    borrowed = checkpoint(lists.join(shared, "digest").where(place != F.col("owner")).select("rid", "seq", "digest", "owner"))
+    lent = borrowed.groupBy(F.col("owner.rid").alias("rid")).agg(F.collect_set("owner.seq").alias("lent"))
+    # All that a file needs is one value, so that both uses of it share one shuffle.
+    files = chunked(docs, True).groupBy("rid").agg(F.collect_list(F.struct("seq", "digest", "data", "doc_id", "n_bytes")).alias("own"))
+    stored_ = files.join(lent, "rid", "left").select(F.explode(F.filter("own", lambda x: F.array_contains("lent", x["seq"]))).alias("x")).select("x.digest", "x.data")
+    fetched = borrowed.join(stored_, "digest").groupBy("rid").agg(F.collect_list(F.struct("seq", "data")).alias("fetched"))
+    whole = files.join(fetched, "rid", "left")
+    away = F.transform("fetched", lambda x: x["seq"])
+    kept = F.filter("own", lambda x: ~F.coalesce(F.array_contains(away, x["seq"]), F.lit(False)))
+    parts = F.sort_array(F.concat(F.transform(kept, lambda x: F.struct(x["seq"].alias("seq"), x["data"].alias("data"))), F.coalesce("fetched", F.array().cast("array<struct<seq:bigint,data:binary>>"))))
+    digests = F.transform(F.sort_array(F.transform("own", lambda x: F.struct(x["seq"].alias("seq"), x["digest"].alias("digest")))), lambda x: x["digest"])
+    whole = whole.select(F.col("own")[0]["doc_id"].alias("doc_id"), F.col("own")[0]["n_bytes"].alias("n_bytes"), F.transform(parts, lambda x: x["data"]).alias("parts"), digests.alias("digests"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, n, parts in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                media = b"".join(map(zlib.decompress, parts))
-                data = samples(media)
-                if len(data) != max(UNIT, -(-n // UNIT) * UNIT):
-                    raise ValueError("a file lost bytes in its chunks")
+            for doc, n, parts, digests in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                chunks = list(map(zlib.decompress, parts))
+                data = samples(media := b"".join(chunks))
+                if [hashlib.sha256(x).digest() for x in chunks] != digests or len(data) != max(UNIT, -(-n // UNIT) * UNIT):
+                    raise ValueError("a file differs from its chunk list")
                 digest = hashlib.sha256(media).hexdigest()
                 rows.append((doc, n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(media), digest, feature(data), len(parts)))
             kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
