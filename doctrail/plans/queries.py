@@ -1,6 +1,671 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the shared tables, and their SQL.
+
+Tables stand in for the engine's own: documents as blobs and drafts (source as
+target, doc_id as write order), events as a commit log (user as target, type as
+author), conversations as version chains, pages as HTML. Texts that the
+tables lack, such as style issues or LaTeX, come from the seeded rows below,
+which the SQL holds too.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from doctrail.functions.text import WORD, lines, matches_with_lines, word_count
+from doctrail.operators import artifact, convert, links, segment, store, style, versions
+from doctrail.plans import diff_artifact
+from doctrail.sources import readers
+
+NOW = "2024-07-01T00:00:00+00:00"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents")
+
+
+#: A log of commits made of documents: one second apart, in the order of their ids.
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    time = F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id")), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    return _documents(spark, sf_dir).select(
+        F.col("doc_id").alias("write_seq"), F.col("source").alias("target"), F.col("lang").alias("author"), time.alias("timestamp"),
+        store.blob_hash("text").alias("blob_hash"), F.octet_length("text").cast("long").alias("byte_size"), F.lit("paper").alias("mode"), F.lit(False).alias("is_pinned"),
+    ).withColumn("commit_id", store.commit_id(F.col("target"), F.col("timestamp"), F.col("blob_hash"), F.col("write_seq").cast("string"), F.col("author"), F.lit(None).cast("string")))
+
+
+LOG_SQL = """
+log AS (
+  SELECT *, sha256(concat_ws('|', target, timestamp, blob_hash, write_seq::VARCHAR, author, '')) AS commit_id FROM (
+    SELECT doc_id AS write_seq, source AS target, lang AS author, strftime(make_timestamp((1700000000 + doc_id) * 1000000), '%Y-%m-%dT%H:%M:%S+00:00') AS timestamp,
+      sha256(text) AS blob_hash, strlen(text) AS byte_size, 'paper' AS mode FROM documents)
+)"""
+
+
+def _values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def _sql_values(rows: list[tuple]) -> str:
+    def lit(x) -> str:
+        return "NULL" if x is None else str(x) if isinstance(x, (int, float)) else "'" + str(x).replace("'", "''") + "'"
+
+    return "VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows)
+
+
+# ---------------------------------------------------------------- snapshot store
+
+
+@query("SELECT doc_id, sha256(text) AS blob_hash, strlen(text)::BIGINT AS byte_size FROM documents")
+def blob_address(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select("doc_id", store.blob_hash("text").alias("blob_hash"), F.octet_length("text").cast("long").alias("byte_size"))
+
+
+@query("""
+SELECT source, count(*) AS commits, count(DISTINCT sha256(text)) AS blobs, sum(strlen(text))::BIGINT AS bytes,
+  (SELECT sum(b)::BIGINT FROM (SELECT any_value(strlen(d2.text)) AS b FROM documents d2 WHERE d2.source = d.source GROUP BY sha256(d2.text))) AS stored_bytes
+FROM documents d GROUP BY source""")
+def blob_dedup_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _documents(spark, sf_dir).select("source", store.blob_hash("text").alias("h"), F.octet_length("text").cast("long").alias("n"))
+    # Copies collapse by blob before the blobs of a source meet.
+    blobs = rows.groupBy("source", "h").agg(F.count("*").alias("c"), F.max("n").alias("n"))
+    return blobs.groupBy("source").agg(F.sum("c").alias("commits"), F.count("*").alias("blobs"), F.sum(F.col("c") * F.col("n")).alias("bytes"), F.sum("n").alias("stored_bytes"))
+
+
+@query("""
+SELECT DISTINCT sha256(text) AS blob_hash, strlen(text)::BIGINT AS byte_size FROM documents n WHERE doc_id % 2 = 1
+  AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0)""")
+def blob_put_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    held, new = (store.blobs(docs.where(f"doc_id % 2 = {k}"), "text") for k in (0, 1))
+    return store.put_absent(held, new).select("blob_hash", "byte_size")
+
+
+@query("""
+SELECT event_id, sha256(concat_ws('|', 'user-' || user_id, strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00'), sha256(coalesce(props, '')), event_type, 'agent', '')) AS commit_id FROM events""")
+def commit_id_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _table(spark, sf_dir, "events")
+    time = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    made = store.commit_id(F.concat(F.lit("user-"), F.col("user_id").cast("string")), time, store.blob_hash(F.coalesce("props", F.lit(""))), F.col("event_type"), F.lit("agent"), F.lit(None).cast("string"))
+    return e.select("event_id", made.alias("commit_id"))
+
+
+@query(f"WITH {LOG_SQL} SELECT target, arg_max(commit_id, write_seq) AS commit_id FROM log GROUP BY target")
+def heads_last_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.heads(_log(spark, sf_dir))
+
+
+@query(f"WITH {LOG_SQL} SELECT commit_id, target, author, timestamp FROM log WHERE lower(target) = 'src3' ORDER BY timestamp DESC, commit_id LIMIT 10")
+def list_commits_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _log(spark, sf_dir).withColumn("parent_commit_id", F.lit(None).cast("string"))
+    return store.list_commits(log, "SRC3", "PAPER", 10).select("commit_id", "target", "author", "timestamp")
+
+
+@query("""
+WITH ids AS (SELECT DISTINCT sha256(text) AS commit_id FROM documents),
+asked AS (SELECT DISTINCT asked FROM (
+  SELECT substr(sha256(text), 1, 2) AS asked FROM documents WHERE doc_id % 7 = 0 UNION ALL SELECT substr(sha256(text), 1, 12) FROM documents WHERE doc_id % 5 = 0
+  UNION ALL SELECT sha256(text) FROM documents WHERE doc_id % 11 = 0 UNION ALL SELECT 'zz'))
+SELECT a.asked, CASE WHEN bool_or(i.commit_id = a.asked) THEN a.asked WHEN count(i.commit_id) = 1 THEN min(i.commit_id) END AS commit_id,
+  CASE WHEN bool_or(i.commit_id = a.asked) THEN 'exact' WHEN count(i.commit_id) = 1 THEN 'prefix' WHEN count(i.commit_id) > 1 THEN 'ambiguous' ELSE 'missing' END AS outcome
+FROM asked a LEFT JOIN ids i ON starts_with(i.commit_id, a.asked) GROUP BY a.asked""")
+def commit_prefix_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = _documents(spark, sf_dir).select("doc_id", store.blob_hash("text").alias("commit_id"))
+    some = lambda n, k: ids.where(f"doc_id % {k} = 0").select(F.substring("commit_id", 1, n).alias("asked"))
+    asked = some(2, 7).unionByName(some(12, 5)).unionByName(some(64, 11)).unionByName(spark.range(1).select(F.lit("zz").alias("asked")))
+    return store.lookup(ids, asked)
+
+
+EVENT_LOG = """
+log AS (SELECT user_id::VARCHAR AS target, event_id AS write_seq, event_type AS author FROM events),
+base AS (SELECT target, max(write_seq) FILTER (author = 'signup') AS b, min(write_seq) AS f, max(write_seq) AS l FROM log GROUP BY target)"""
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("target"), F.col("event_id").alias("write_seq"), F.col("event_type").alias("author"))
+
+
+@query(f"""WITH {EVENT_LOG}
+SELECT l.target, l.write_seq, l.author, CASE WHEN l.write_seq <> coalesce(b.b, b.f) THEN coalesce(b.b, b.f) ELSE -1 END AS parent_seq, l.author = 'signup' AS by_baseline
+FROM log l JOIN base b USING (target) WHERE l.write_seq IN (coalesce(b.b, b.f), b.l)""")
+def retention_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.survivors(_events(spark, sf_dir), "signup").fillna(-1, ["parent_seq"])
+
+
+@query(f"""WITH {EVENT_LOG}
+SELECT l.target, l.write_seq, CASE WHEN l.write_seq <> coalesce(b.b, b.f) THEN coalesce(b.b, b.f) ELSE -1 END AS parent_seq
+FROM log l JOIN base b USING (target) WHERE l.write_seq IN (coalesce(b.b, b.f), b.l)""")
+def retention_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The general fold, on the same monotone log, where it must agree with the window."""
+    log = _events(spark, sf_dir).withColumn("timestamp", F.lpad(F.col("write_seq").cast("string"), 20, "0"))
+    return store.fold(log, "signup").fillna(-1, ["parent_seq"])
+
+
+@query("""
+WITH RECURSIVE c AS (SELECT conv_id || '-' || turn AS id, CASE WHEN turn > 0 THEN conv_id || '-' || (turn - 1) END AS parent FROM conversations),
+up AS (SELECT id, parent AS at, 0 AS depth FROM c UNION ALL SELECT u.id, c.parent, u.depth + 1 FROM up u JOIN c ON c.id = u.at)
+SELECT id AS commit_id, max(depth)::INTEGER AS depth FROM up GROUP BY id""")
+def lineage_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _table(spark, sf_dir, "conversations")
+    name = lambda t: F.concat_ws("-", F.col("conv_id").cast("string"), t.cast("string"))
+    commits = c.select(name(F.col("turn")).alias("commit_id"), F.when(F.col("turn") > 0, name(F.col("turn") - 1)).alias("parent_commit_id"))
+    return store.lineage(commits).select("commit_id", "depth")
+
+
+def _event_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("commit_id"), F.col("user_id").cast("string").alias("target"), F.col("event_type").alias("author"), (F.col("event_id") % 17 == 0).alias("is_pinned"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("timestamp"),
+    )
+
+
+@query(f"""
+WITH c AS (SELECT event_id, event_type = 'signup' OR event_id % 17 = 0 AS p, date_diff('microsecond', date_trunc('second', ts), TIMESTAMP '{NOW[:10]} 00:00:00') / 86400000000.0 AS age FROM events)
+SELECT CASE WHEN NOT p AND age > 14 THEN 'expired' ELSE 'keep' END AS fate, p AS is_protected, count(*) AS commits FROM c GROUP BY 1, 2""")
+def prune_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = store.prune_plan(_event_commits(spark, sf_dir), NOW, 14, True, baseline_author="signup")
+    return plan.groupBy("fate", "is_protected").agg(F.count("*").alias("commits"))
+
+
+@query(f"""
+WITH {LOG_SQL}, own AS (
+  SELECT *, author = 'es' AS p, CASE WHEN row_number() OVER (PARTITION BY blob_hash ORDER BY timestamp DESC, commit_id DESC) = 1 THEN byte_size ELSE 0 END AS b FROM log
+), run AS (
+  SELECT *, coalesce(sum(CASE WHEN p THEN 0 ELSE b END) OVER (ORDER BY timestamp, commit_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone, sum(b) OVER () AS total FROM own)
+SELECT commit_id, NOT p AND total - gone > 1000000 AS evicted FROM run""")
+def prune_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    commits = _log(spark, sf_dir).withColumn("is_protected", F.col("author") == "es")
+    return store.prune_quota(commits, 1_000_000).select("commit_id", "evicted")
+
+
+@query("""
+SELECT DISTINCT sha256(text) AS blob_hash, strlen(text)::BIGINT AS byte_size FROM documents
+WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE lang = 'en')""")
+def orphan_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    left = docs.where("lang = 'en'").select(store.blob_hash("text").alias("blob_hash"))
+    return store.orphan_blobs(store.blobs(docs, "text"), left).select("blob_hash", "byte_size")
+
+
+@query("""
+WITH left_ AS (SELECT DISTINCT sha256(text) AS h FROM documents WHERE lang = 'en'), b AS (SELECT sha256(text) AS h, any_value(strlen(text)) AS n FROM documents GROUP BY 1)
+SELECT (SELECT count(*) FROM documents WHERE lang <> 'en') AS pruned_commits, (SELECT count(*) FROM documents WHERE lang = 'en') AS kept_commits,
+  count(*) FILTER (h NOT IN (SELECT h FROM left_)) AS pruned_blobs, coalesce(sum(n) FILTER (h NOT IN (SELECT h FROM left_)), 0)::BIGINT AS freed_bytes,
+  coalesce(sum(n) FILTER (h IN (SELECT h FROM left_)), 0)::BIGINT AS kept_bytes FROM b""")
+def prune_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    plan = docs.select(store.blob_hash("text").alias("blob_hash"), F.when(F.col("lang") == "en", "keep").otherwise("expired").alias("fate"))
+    return store.prune_report(plan, store.blobs(docs, "text"))
+
+
+@query(f"""
+SELECT user_id::VARCHAR AS target, strftime(max(date_trunc('second', ts)), '%Y-%m-%dT%H:%M:%S+00:00') AS newest FROM events WHERE user_id % 3 <> 0 GROUP BY user_id
+HAVING date_diff('microsecond', max(date_trunc('second', ts)), TIMESTAMP '{NOW[:10]} 00:00:00') / 86400000000.0 > 14""")
+def stale_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = _table(spark, sf_dir, "events").where("user_id % 3 = 0").select(F.col("user_id").cast("string").alias("target")).distinct()
+    return store.stale_targets(_event_commits(spark, sf_dir), NOW, 14, named)
+
+
+@query(f"WITH {LOG_SQL} SELECT commit_id, byte_size::BIGINT AS bytes, CASE WHEN length(d.text) > 300 THEN substr(d.text, 1, 300) || '...' ELSE d.text END AS preview FROM log JOIN documents d ON d.doc_id = log.write_seq")
+def restore_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.restore_preview(_log(spark, sf_dir), store.blobs(_documents(spark, sf_dir), "text"))
+
+
+TARGETS = [
+    (1, "notes/a.md"), (2, " virtual: x "), (3, "scratch:y"), (4, "/vault/notes/b.md"), (5, "~/docs/c.md"), (6, "/home/me/d.md"), (7, "C:\\Users\\Me\\e.md"),
+    (8, "/opt/f.md"), (9, ""), (10, "sub/g.md"), (11, "/VAULT/h.md"), (12, "~"),
+]
+KEYS = [(1, "notes/a.md"), (2, "virtual:x"), (3, "scratch:y"), (4, "notes/b.md"), (5, "~/docs/c.md"), (6, "~/d.md"), (7, "~/e.md"), (8, "/opt/f.md"), (9, ""), (10, "~/work/sub/g.md"), (11, "h.md"), (12, "/home/me")]
+
+
+@query(f"SELECT * FROM ({_sql_values(KEYS)}) t(id, key)")
+def normalize_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = store.normalize_target(F.col("target"), "/vault", "/home/me", ["notes/a.md"], "/home/me/work")
+    return _values(spark, TARGETS, "id int, target string").select("id", key.alias("key"))
+
+
+STEMS = [("plan alpha",), ("beta",), ("gamma",), ("delta x",)]
+NOTES = [
+    ("notes/1.md", "See [[🤖 Plan Alpha]] today"), ("notes/2.md", "a [link](_agents/project_diffs/%F0%9F%A4%96%20Beta.md)"), ("_agents/project_diffs/x.md", "🤖 gamma"),
+    ("a/.git/y.md", "🤖 gamma"), ("notes/3.md", "project_diffs/delta x and more"),
+]
+
+
+@query(f"SELECT * FROM ({_sql_values([STEMS[0], STEMS[1], STEMS[3]])}) t(stem)")
+def mentioned_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.mentioned_stems(_values(spark, NOTES, "path string, text string"), _values(spark, STEMS, "stem string"))
+
+
+@query("SELECT * FROM (VALUES ('notes/beta.md'), ('virtual:v'), ('src/kept.tex')) t(target)")
+def protected_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    commits = _values(spark, [(x,) for x in ("notes/beta.md", "~/beta.md", "virtual:v", "src/kept.tex", "notes/other.md")], "target string")
+    named = _values(spark, [("virtual:v",)], "key string")
+    arts = _values(spark, [("beta", "<!-- SOURCE_FILE: src/kept.tex -->\n"), ("other", "<!-- SOURCE_FILE: notes/other.md -->")], "stem string, text string")
+    keys = store.protected_keys(named, _values(spark, [("Beta",)], "stem string"), arts)
+    return store.protected(commits, keys)
+
+
+GIT = [("a1|Ann|2024-01-02T00:00:00Z|fix | pipes",), ("b2|Bob|2024-01-03T00:00:00Z|second",), ("broken",)]
+
+
+@query("SELECT * FROM (VALUES ('a1', 'Ann', '2024-01-02T00:00:00Z', 'fix | pipes'), ('b2', 'Bob', '2024-01-03T00:00:00Z', 'second')) t(\"commit\", author, date, subject)")
+def git_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.git_log(_values(spark, GIT, "line string"))
+
+
+@query("SELECT * FROM (VALUES ('a.md', 'UU'), ('b.md', 'DU')) t(path, code)")
+def git_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.git_conflicts(_values(spark, [("UU a.md",), (" M c.md",), ("DU b.md",), ("?? d.md",)], "line string"))
+
+
+# ---------------------------------------------------------------- style audit
+
+
+def _duck_count(words: list[str]) -> str:
+    listed = ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+    return f"len(list_filter(toks, lambda w: w IN ({listed})))"
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, list_transform(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_''-]+'), lambda w: trim(w, '''-')) AS toks FROM documents)
+SELECT doc_id, CASE WHEN {_duck_count(style.rules.FR_STOPWORDS)} > {_duck_count(style.rules.EN_STOPWORDS)} THEN 'fr' ELSE 'en' END AS language FROM t""")
+def language_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select("doc_id", style.detect_language(F.col("text")).alias("language"))
+
+
+@query("""
+SELECT doc_id, n AS words, CASE WHEN n < 500 THEN 0 WHEN n <= 1500 THEN 1 ELSE 2 END AS budget
+FROM (SELECT doc_id, len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+'))::BIGINT AS n FROM documents)""")
+def word_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = word_count(F.col("text"))
+    return _documents(spark, sf_dir).select("doc_id", n.alias("words"), style.budget(n).alias("budget"))
+
+
+SEEDS = [
+    (1, "en", "We delve into a robust paradigm.\nMoreover, it is seamless."),
+    (2, "en", "Plain words about a plain thing — with a dash.\nAnother -- one."),
+    (3, "fr", "Il est cependant clair.\nCependant, bien sûr ! En outre, tout va."),
+    (4, "en", "Nothing here to see."),
+    (5, "en", "`robust` in code\n```\ndelve — inside\n```\nholistic robust Robust"),
+    (6, "en", "# References\nrobust pivotal delve\n"),
+    (7, "fr", "Le texte — avec un tiret, crucial et crucial."),
+    (8, "en", "see [[a — b]] and in conclusion\nin conclusion"),
+    (9, "en", ""),
+]
+FOUND = [
+    (1, "tier1a", 1, "delve"), (1, "tier1a", 1, "robust"), (1, "tier1a", 1, "paradigm"), (1, "transition", 2, "Moreover"), (1, "tier1a", 2, "seamless"),
+    (2, "em-dash", 1, "—"), (2, "em-dash ('--')", 2, "--"),
+    (3, "Ouverture chatbot", 2, "bien sûr !"), (3, "transition", 2, "En outre"), (3, "tier2", 1, "cependant"), (3, "tier2", 2, "Cependant"),
+    (5, "tier1a", 5, "holistic"), (5, "tier1a", 5, "robust"),
+    (7, "em-dash", 1, "—"), (7, "tier2", 1, "crucial"),
+    (8, "transition", 1, "in conclusion"), (8, "transition", 2, "in conclusion"),
+]
+
+
+def _seeds(spark: SparkSession, table=SEEDS) -> DataFrame:
+    return _values(spark, table, "doc_id long, language string, text string").withColumn("allowed", F.array().cast("array<string>"))
+
+
+@query(f"SELECT doc_id::BIGINT AS doc_id, type, line, term FROM ({_sql_values(FOUND)}) t(doc_id, type, line, term)")
+def style_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All scans over the seeded texts, deduplicated, against issues read off by hand."""
+    return style.dedup(style.scan(_seeds(spark))).select("doc_id", "type", "line", "term")
+
+
+TERMS = ("the", "of", "with", "dans", "nicht", "idiot")
+
+
+@query("""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+m AS (SELECT doc_id, n, unnest(regexp_extract_all(lower(line), '[\\p{L}\\p{N}_]+')) AS term FROM l)
+SELECT doc_id, n::INTEGER AS line, term, count(*) AS hits FROM m WHERE term IN ('the', 'of', 'with', 'dans', 'nicht', 'idiot') GROUP BY ALL""")
+def lexicon_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lexicon over all documents, with the line of every match."""
+    pattern = style.bounded("|".join(TERMS))
+    rows = _documents(spark, sf_dir).select("doc_id", F.explode(matches_with_lines(F.col("text"), pattern)).alias("m"))
+    return rows.groupBy("doc_id", F.col("m.line").alias("line"), F.lower("m.term").alias("term")).agg(F.count("*").alias("hits"))
+
+
+@query("""
+WITH m AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term FROM documents)
+SELECT doc_id, term, count(*) AS hits FROM m WHERE term IN ('idiot', 'clown', 'loser') GROUP BY ALL HAVING count(*) >= 2""")
+def tier2_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pattern = style.bounded("idiot|clown|loser")
+    rows = _documents(spark, sf_dir).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("m"))
+    return rows.groupBy("doc_id", F.lower("m").alias("term")).agg(F.count("*").alias("hits")).where("hits >= 2")
+
+
+RAW = [(1, 0, "hard", 3, "Robust"), (1, 1, "hard", 3, "robust"), (1, 2, "soft", 3, "robust"), (1, 3, "hard", 4, "robust"), (2, 0, "hard", 3, "robust"), (2, 1, "hard", None, "x"), (2, 2, "hard", None, "X")]
+
+
+@query(f"SELECT doc_id::BIGINT AS doc_id, seq::BIGINT AS seq, term FROM ({_sql_values(RAW)}) t(doc_id, seq, severity, line, term) QUALIFY row_number() OVER (PARTITION BY doc_id, severity, line, lower(term) ORDER BY seq) = 1")
+def issue_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return style.dedup(_values(spark, RAW, "doc_id long, seq long, severity string, line int, term string")).select("doc_id", "seq", "term")
+
+
+VERDICTS = [
+    (1, 10, 0, 5, 0, "FAIL"), (2, 11, 0, 2, 0, "FAIL"), (3, 10, 0, 2, 2, "FAIL"), (4, 4, 0, 0, 0, "PASS"), (5, 9, 0, 2, 0, "FAIL"), (6, 4, 0, 0, 0, "PASS"), (7, 8, 0, 1, 1, "FAIL"),
+    (8, 8, 0, 2, 0, "FAIL"), (9, 0, 0, 0, 0, "PASS"),
+]
+
+
+@query(f"SELECT doc_id::BIGINT AS doc_id, word_count::BIGINT AS word_count, budget_max, n_hard::BIGINT AS n_hard, n_soft::BIGINT AS n_soft, verdict FROM ({_sql_values(VERDICTS)}) t(doc_id, word_count, budget_max, n_hard, n_soft, verdict)")
+def style_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return style.check_style(_seeds(spark))
+
+
+@query("SELECT * FROM (VALUES ('chatbot', 'hard'), ('tier2', 'soft'), ('uniformity', 'stylometric'), ('new-thing', 'hard'), ('other', 'soft')) t(type, severity)")
+def external_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(1, "Chatbot", "a", "", None), (1, "tier2", "b", "", "high"), (1, "uniformity", "c", "", None), (1, "new-thing", "d", "", "P1"), (1, "other", "e", "", "low")]
+    return style.classify_external(_values(spark, rows, "doc_id long, type string, text string, suggestion string, severity string")).select("type", "severity")
+
+
+AUDITS = [
+    (1, None, False, None, []), (2, " done ", False, None, []), (3, None, True, None, []), (4, None, False, "PASS", []),
+    (5, None, False, None, [(1, "PASS", 0, 0, 0, {}, [])]), (6, None, False, None, [(1, "FAIL", 3, 2, 1, {"Tier 1": 2}, [])]),
+    (7, None, False, None, [(1, "FAIL", 3, 3, 0, {}, []), (2, "PASS", 0, 0, 0, {}, [])]),
+]
+SUMMARIES = [(1, "N/A"), (2, "done"), (3, "N/A (commit Overleaf)"), (4, "1 tour (0 pb - Conforme)"), (5, "1 tour (0 pb - Conforme)"), (6, "1 tour (3 pb (Tier 1: 2) - FAIL)"), (7, "2 itérations (T1: 3 pb ➔ T2: 0 pb - PASS)")]
+
+
+@query(f"SELECT * FROM ({_sql_values(SUMMARIES)}) t(id, summary)")
+def audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from doctrail.schema import ITERATION
+
+    rows = _values(spark, AUDITS, f"id int, summary string, is_overleaf boolean, final_verdict string, iterations array<{ITERATION}>")
+    return rows.select("id", style.audit_summary(F.col("summary"), F.col("is_overleaf"), F.col("final_verdict"), F.col("iterations")).alias("summary"))
+
+
+@query("SELECT * FROM (VALUES ('abcdef0123', 'abcdef01'), ('ffff0000ab', 'ffff0000abcd')) t(asked, commit_id)")
+def audit_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _values(spark, [("abcdef0123",), ("ffff0000ab",), ("0123456789",)], "asked string")
+    return style.find_audits(asked, _values(spark, [("abcdef01",), ("ffff0000abcd",), ("abcd",)], "commit_id string"))
+
+
+# ---------------------------------------------------------------- segments and versions
+
+MARKDOWN = [
+    (1, "intro\n# One **x**\ntext\n## 2. Two\n```\n# not a heading\n```\n| a | b |\n|---|---|\n| 1 | 2 |\n"),
+    (2, "> [!NOTE] Title\n> body\n\npara $$x\n\ny$$ end\n\n![i](p.png)\n\n> q1\n>\n> q2"),
+]
+
+
+@query("SELECT * FROM (VALUES (1::BIGINT, 0, 0, 'Préambule', 'préambule'), (1, 1, 1, 'One x', 'one x'), (1, 2, 2, '2. Two', 'two'), (2, 0, 0, 'Préambule', 'préambule')) t(doc_id, sec_pos, level, title, norm_title)")
+def section_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _values(spark, [(k, t.replace("**", "")) for k, t in MARKDOWN], "doc_id long, text string")
+    return segment.split_sections(docs).select("doc_id", "sec_pos", "level", "title", "norm_title")
+
+
+@query("""
+SELECT * FROM (VALUES (1::BIGINT, 0, 0, 'paragraph'), (1, 1, 0, 'paragraph'), (1, 2, 0, 'code_block'), (1, 2, 1, 'table'), (2, 0, 0, 'callout'), (2, 0, 1, 'paragraph'),
+  (2, 0, 2, 'math'), (2, 0, 3, 'paragraph'), (2, 0, 4, 'image'), (2, 0, 5, 'quote'), (2, 0, 6, 'quote')) t(doc_id, sec_pos, unit_pos, unit_type)""")
+def unit_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _values(spark, MARKDOWN, "doc_id long, text string")
+    return segment.split_units(segment.split_sections(docs)).select("doc_id", "sec_pos", "unit_pos", "unit_type")
+
+
+@query("""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS u FROM documents), t AS (SELECT doc_id, u, regexp_replace(regexp_replace(u, '^\\s+', ''), '\\s+$', '') AS b FROM l)
+SELECT doc_id, CASE WHEN regexp_matches(b, '^(?:>+\\s*)?[ \\t]*(?:`{3,}|~{3,})') THEN 'code_block' WHEN regexp_matches(regexp_replace(b, '^[>\\s]+', ''), '^\\|[^|]*\\|') THEN 'table'
+  WHEN starts_with(b, '$$') AND ends_with(b, '$$') THEN 'math' WHEN regexp_matches(b, '^!\\[[^\\n]*?\\]\\([^\\n]*?\\)$') THEN 'image' WHEN regexp_matches(u, '^>\\s*\\[![A-Z]+\\]') THEN 'callout'
+  WHEN starts_with(b, '>') THEN 'quote' WHEN starts_with(b, '#') THEN 'heading' ELSE 'paragraph' END AS unit_type, count(*) AS units FROM t GROUP BY ALL""")
+def unit_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _documents(spark, sf_dir).select("doc_id", F.explode(F.split("text", "\n")).alias("u"))
+    return rows.groupBy("doc_id", segment.unit_type(F.col("u")).alias("unit_type")).agg(F.count("*").alias("units"))
+
+
+@query("SELECT * FROM (VALUES (2::BIGINT, 0, 'NOTE', 'Title')) t(doc_id, pos, c_type, title)")
+def callout_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.split_callouts(_values(spark, MARKDOWN, "doc_id long, text string")).select("doc_id", "pos", "c_type", "title")
+
+
+@query("""
+SELECT * FROM (VALUES (1::BIGINT, 0, '<le mot juste>', 'lexical'), (1, 1, '<montant à vérifier>', 'factual'), (1, 2, '<12 avril>', 'factual'), (2, 0, '<qui ?>', 'factual')) t(doc_id, tag_pos, raw_tag, typology)""")
+def draft_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _values(spark, [(1, "a <le mot juste> b <montant à vérifier> <b>x</b> <12 avril>"), (2, "< > <qui ?> </span>")], "doc_id long, text string")
+    return versions.draft_tags(docs).select("doc_id", "tag_pos", "raw_tag", "typology")
+
+
+@query()
+def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    return segment.split_sentences(c)
+
+
+@query()
+def window_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.group_windows(sentence_split(spark, sf_dir))
+
+
+@query()
+def prose_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.prose_segments(_documents(spark, sf_dir).select("doc_id", "text", F.lit(False).alias("is_latex")))
+
+
+def _turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A turn against the one of the same role before it."""
+    c = _table(spark, sf_dir, "conversations")
+    before = Window.partitionBy("conv_id", "role").orderBy("turn")
+    pairs = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), F.lag("text").over(before).alias("old_text"), F.col("text").alias("new_text"))
+    return pairs.where("old_text is not null")
+
+
+def _near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document against the one before it of the same first 40 characters: versions of one text."""
+    before = Window.partitionBy(F.substring("text", 1, 40)).orderBy("doc_id")
+    pairs = _documents(spark, sf_dir).select(F.col("doc_id").alias("pair_id"), F.lag("text").over(before).alias("old_text"), F.col("text").alias("new_text"))
+    return pairs.where("old_text is not null")
+
+
+@query()
+def rewrite_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.rewrite_plan(_turn_pairs(spark, sf_dir))
+
+
+@query("SELECT * FROM (VALUES (1::BIGINT, 1, 0.30), (3, 2, 0.14)) t(frag_id, rank, risk)")
+def rewrite_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(1, 1, "a", 0.30, 0.40, 0.30, "PASS"), (2, 1, "b", 0.40, 0.40, 0.40, "PASS"), (3, 1, "c", 0.20, 0.10, 0.14, "PASS"), (3, 2, "d", 0.14, 0.10, 0.14, "WARN"), (4, 1, "e", 0.1, 0.5, 0.1, "FAIL")]
+    return segment.gate(_values(spark, rows, "frag_id long, rank int, text string, risk double, score_before double, score_after double, style_verdict string")).select("frag_id", "rank", "risk")
+
+
+@query()
+def word_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return versions.retention(_turn_pairs(spark, sf_dir))
+
+
+@query("""
+WITH p AS (SELECT conv_id * 1000 + turn AS pair_id, lag(text) OVER (PARTITION BY conv_id, role ORDER BY turn) AS o, text AS n FROM conversations),
+s AS (SELECT pair_id, list_distinct(string_split(o, chr(10))) AS a, list_distinct(string_split(n, chr(10))) AS b FROM p WHERE o IS NOT NULL)
+SELECT pair_id, len(list_intersect(a, b))::INTEGER AS n_kept, len(list_filter(a, lambda x: NOT list_contains(b, x)))::INTEGER AS n_lost, len(list_filter(b, lambda x: NOT list_contains(a, x)))::INTEGER AS n_new FROM s""")
+def unit_set_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return versions.unit_set_diff(_turn_pairs(spark, sf_dir))
+
+
+@query()
+def section_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return versions.match_sections(_near_pairs(spark, sf_dir))
+
+
+@query()
+def align_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return versions.align_units(_near_pairs(spark, sf_dir))
+
+
+@query()
+def word_diff_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return versions.word_ops(_near_pairs(spark, sf_dir)).where("op <> 'equal'")
+
+
+@query()
+def word_diff_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return versions.diff_counts(_near_pairs(spark, sf_dir))
+
+
+@query()
+def modified_section_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return versions.section_totals(_near_pairs(spark, sf_dir))
+
+
+@query()
+def draft_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return versions.draft_changes(_near_pairs(spark, sf_dir))
+
+
+@query()
+def draft_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return versions.audit_drafts(_near_pairs(spark, sf_dir))
+
+
+@query("""
+WITH p AS (SELECT doc_id AS pair_id, lag(text) OVER (PARTITION BY substr(text, 1, 40) ORDER BY doc_id) AS o, text AS n FROM documents),
+c AS (SELECT pair_id, regexp_extract_all(o, 'https?://[^\\s)>\\]"'']+') AS uo, regexp_extract_all(n, 'https?://[^\\s)>\\]"'']+') AS un,
+  regexp_extract_all(o, '(?m)^#{1,6}[ \\t]+[^\\n]+$') AS ho, regexp_extract_all(n, '(?m)^#{1,6}[ \\t]+[^\\n]+$') AS hn FROM p WHERE o IS NOT NULL)
+SELECT pair_id, len(list_distinct(list_filter(uo, lambda x: NOT list_contains(un, x))))::INTEGER AS lost_urls, len(list_distinct(list_filter(ho, lambda x: NOT list_contains(hn, x))))::INTEGER AS lost_headings FROM c""")
+def preservation_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return style.preservation(_near_pairs(spark, sf_dir)).select("pair_id", "lost_urls", "lost_headings")
+
+
+@query()
+def annotated_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return versions.annotate(_near_pairs(spark, sf_dir))
+
+
+@query()
+def accept_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = versions.annotate(_near_pairs(spark, sf_dir)).select(F.col("pair_id").alias("doc_id"), F.col("body").alias("text"))
+    return versions.accept_revisions(marked, 2)
+
+
+# ---------------------------------------------------------------- conversion
+
+
+@query("SELECT page_id, regexp_matches(html, '(?i)<!DOCTYPE\\s+html|<html\\b|<body\\b') AS is_html FROM pages")
+def html_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", convert.is_html(F.col("html")).alias("is_html"))
+
+
+@query()
+def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convert.html_to_markdown(_table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")))
+
+
+BIB = "@article{a, author = {Doe, Jane}, year = {2020}, title = {T}, journal = {J}}\n@book{b, author = {Doe, Jane and Roe, R.}, year = {2021}, title = {U}}\n@misc{c, author = {A, B and C, D and E, F}, title = {V}}\n"
+CITED = [("a", "[Doe, 2020]", "Doe [2020]"), ("b", "[Doe & Roe, 2021]", "Doe & Roe [2021]"), ("c", "[A et al., s.d.]", "A et al. [s.d.]"), ("k", "[k]", "k")]
+
+
+def _bib(spark: SparkSession) -> DataFrame:
+    return convert.parse_bib(_values(spark, [(1, BIB)], "doc_id long, text string"))
+
+
+@query(f"SELECT * FROM ({_sql_values(CITED)}) t(key, short, in_text)")
+def bib_citation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _values(spark, [(x[0],) for x in CITED], "key string").join(_bib(spark).select("key", "fields"), "key", "left")
+    return asked.select("key", convert.format_citation(F.col("fields"), F.col("key")).alias("short"), convert.format_citation(F.col("fields"), F.col("key"), True).alias("in_text"))
+
+
+@query("SELECT * FROM (VALUES ('a', '- **[a]** : Doe, Jane (2020). *T*. In *J*.'), ('c', '- **[c]** : A, B and C, D and E, F (s.d.). *V*.'), ('k', '- **[k]** : Référence BibTeX non trouvée.')) t(key, line)")
+def bib_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _values(spark, [("a",), ("c",), ("k",)], "key string").join(_bib(spark).select("key", "fields"), "key", "left")
+    return asked.select("key", convert.format_reference(F.col("fields"), F.col("key")).alias("line"))
+
+
+TEX = "\\documentclass{article}\n\\newcommand{\\who}[1]{\\textbf{#1}}\n\\title{A \\emph{title}}\n\\begin{document}\n\\section{One % no\n}\nHello \\who{you} \\cite{a}. 5\\% % gone\n\\subsection*{Two \\label{x}}\n\\begin{itemize}\n\\item x\n\\item y\n\\end{itemize}\n\\begin{equation}a=b\\end{equation}\n\\end{document}\n"
+
+
+@query("SELECT * FROM (VALUES (1::BIGINT, 0, 2, 'One'), (1, 1, 3, 'Two')) t(doc_id, pos, level, title)")
+def latex_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convert.latex_headings(_values(spark, [(1, TEX)], "doc_id long, text string"))
+
+
+@query("SELECT 1::BIGINT AS doc_id, '# A title\n\n## One\n\nHello **you** [Doe, 2020]. 5%\n\n### Two\n\n- x\n- y\n\n$$\na=b\n$$\n\n## 📚 Références Bibliographiques\n\n- **[a]** : Doe, Jane (2020). *T*. In *J*.' AS markdown")
+def latex_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convert.latex_to_markdown(_values(spark, [(1, TEX)], "doc_id long, text string"), _bib(spark))
+
+
+@query("SELECT * FROM (VALUES ('main.tex', 'a.tex'), ('main.tex', 'b/c.tex'), ('a.tex', 'main.tex')) t(path, included)")
+def latex_includes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convert.include_edges(_values(spark, [("main.tex", "\\input{a} \\include{b/c.tex}"), ("a.tex", "\\input{main}")], "path string, text string"))
+
+
+# ---------------------------------------------------------------- links and artefacts
+
+FILES = [("notes/Alpha.md",), ("notes/beta.md",), ("attachments/pic.png",), ("other/pic.png",), ("gamma.md",), ("deep/er/beta.md",)]
+LINKS = [(1, "see [[Alpha]] and [[beta|B]], ![[pic.png]]"), (2, "[[gamma#part]] [[missing]] [[notes/beta]]")]
+RESOLVED = [(1, 0, "Alpha", "notes/Alpha.md"), (1, 1, "beta", "notes/beta.md"), (1, 2, "pic.png", "attachments/pic.png"), (2, 0, "gamma", "gamma.md"), (2, 1, "missing", None), (2, 2, "notes/beta", "notes/beta.md")]
+
+
+@query(f"SELECT doc_id::BIGINT AS doc_id, pos, target, rel_path FROM ({_sql_values(RESOLVED)}) t(doc_id, pos, target, rel_path)")
+def wikilink_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = links.file_index(_values(spark, FILES, "rel_path string"))
+    return links.resolve_targets(links.wikilinks(_values(spark, LINKS, "doc_id long, text string")), index).select("doc_id", "pos", "target", "rel_path")
+
+
+@query("SELECT * FROM (VALUES (1::BIGINT, 'see [Alpha](file:///notes/Alpha.md) and [B](file:///notes/beta.md), ![pic.png](file:///attachments/pic.png)'), (2, '[gamma#part](file:///gamma.md) missing [notes/beta](file:///notes/beta.md)')) t(doc_id, text)")
+def wikilink_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = links.file_index(_values(spark, FILES, "rel_path string"))
+    return links.rewrite_links(_values(spark, LINKS, "doc_id long, text string"), index)
+
+
+@query("SELECT * FROM (VALUES ('a/x.md', '🤖 x (a).md'), ('b/x.md', '🤖 x (b).md'), ('y.md', '🤖 y.md')) t(target, artifact)")
+def artifact_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links.artifact_names(_values(spark, [("a/x.md",), ("b/x.md",), ("y.md",)], "target string"))
+
+
+@query("SELECT * FROM (VALUES ('p/doc.tex', 'p/doc.pdf'), ('p/q/r.tex', 'p/paper/main.pdf'), ('z.tex', NULL)) t(target, pdf)")
+def companion_pdf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = spark.sql("SELECT * FROM VALUES ('p/doc.pdf', TIMESTAMP '2024-01-01'), ('p/paper/main.pdf', TIMESTAMP '2024-01-01'), ('p/doc.tex', TIMESTAMP '2024-01-01') AS t(rel_path, mtime)")
+    return links.companion_pdf(_values(spark, [("p/doc.tex",), ("p/q/r.tex",), ("z.tex",)], "target string"), index)
+
+
+@query("""
+SELECT doc_id, repeat('`', greatest(4, 1 + coalesce(list_max(list_transform(regexp_extract_all(text, '`+'), lambda x: length(x))), 0))) AS fence FROM documents""")
+def dynamic_fence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select("doc_id", artifact.fence(F.col("text")).alias("fence"))
+
+
+@query("SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE len(string_split(regexp_replace(text, '\\n$', ''), chr(10))) END::INTEGER AS n_lines FROM documents")
+def line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select("doc_id", F.size(lines(F.col("text"))).alias("n_lines"))
+
+
+@query(f"""WITH {LOG_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY timestamp DESC, commit_id) AS n FROM log)
+SELECT target, '| Commit | Date | Auteur | Message |' || chr(10) || '| :--- | :--- | :--- | :--- |' || chr(10) ||
+  string_agg('| `' || substr(commit_id, 1, 8) || '` | ' || substr(replace(timestamp, 'T', ' '), 1, 16) || ' | ' || author || ' | m' || write_seq || ' |', chr(10) ORDER BY n) AS "table" FROM r WHERE n <= 5 GROUP BY target""")
+def recent_commits_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return artifact.recent_table(_log(spark, sf_dir).withColumn("message", F.concat(F.lit("m"), F.col("write_seq").cast("string"))))
+
+
+@query()
+def diff_artifact_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The composite: each source's oldest document against its newest, compared, audited and assembled."""
+    log = _log(spark, sf_dir)
+    blobs = store.blobs(_documents(spark, sf_dir), "text")
+    return diff_artifact.diff_artifacts(diff_artifact.versions_of(log, blobs))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the retention rule leaves of each source's log, latest first, with how often each blob is held."""
+    log = _log(spark, sf_dir)
+    kept = store.survivors(log)
+    held = log.groupBy("blob_hash").agg(F.count("*").alias("held_by"))
+    return kept.join(held, "blob_hash").select("target", "write_seq", "parent_seq", "commit_id", "blob_hash", "byte_size", "timestamp", "held_by").orderBy(F.desc("timestamp"), "commit_id")
+
+
+__all__ = ["QUERIES", "SQL", "WORD", "flagship"]
