@@ -36,8 +36,9 @@ def resolve_targets(links: DataFrame, index: DataFrame) -> DataFrame:
     keys = F.array(t, F.concat(t, F.lit(".md")), F.concat(F.lit("notes/"), t), F.concat(F.lit("notes/"), t, F.lit(".md")), F.element_at(F.split(t, "/"), -1), _stem(t))
     kinds = F.array(*[F.lit(x) for x in ("rel", "rel", "rel", "rel", "name", "stem")])
     asked = links.select("target").distinct().select("target", F.posexplode(F.arrays_zip(kinds.alias("kind"), keys.alias("key"))).alias("rank", "k")).select("target", "rank", "k.kind", "k.key")
-    known = index.select("rel_path", "is_attachment", F.explode(F.array(F.struct(F.lit("rel").alias("kind"), F.col("rel_lc").alias("key")), F.struct(F.lit("name").alias("kind"), F.col("name_lc").alias("key")), F.struct(F.lit("stem").alias("kind"), F.col("stem_lc").alias("key")))).alias("k")).select("rel_path", "is_attachment", "k.*")
-    order = F.struct("rank", (~F.col("is_attachment")).alias("note"), F.length("rel_path").alias("n"), "rel_path")
+    known = index.select("rel_path", "rel_lc", "is_attachment", F.explode(F.array(F.struct(F.lit("rel").alias("kind"), F.col("rel_lc").alias("key")), F.struct(F.lit("name").alias("kind"), F.col("name_lc").alias("key")), F.struct(F.lit("stem").alias("kind"), F.col("stem_lc").alias("key")))).alias("k")).select("rel_path", "rel_lc", "is_attachment", "k.*")
+    # Files in an attachments folder go before those of the same name elsewhere.
+    order = F.struct("rank", (~F.col("rel_lc").rlike(r"(^|/)attachments?/")).alias("elsewhere"), (~F.col("is_attachment")).alias("note"), F.length("rel_path").alias("n"), "rel_path")
     best = asked.join(known, ["kind", "key"]).groupBy("target").agg(F.min(order).alias("best")).select("target", "best.rel_path")
     return links.join(best, "target", "left")
 

@@ -19,6 +19,13 @@ def _split_same(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs.where(same), pairs.where(~same)
 
 
+def _spread(pairs: DataFrame) -> DataFrame:
+    """Pairs dealt out by id: comparing is the cost here, not the bytes by which Spark sizes partitions."""
+    spark = pairs.sparkSession
+    n = max(spark.sparkContext.defaultParallelism * 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return pairs.repartition(n, "pair_id")
+
+
 def match_sections(pairs: DataFrame) -> DataFrame:
     """pair_id, ord, old_pos, new_pos, title."""
 
@@ -27,7 +34,7 @@ def match_sections(pairs: DataFrame) -> DataFrame:
         for k, (i, j) in enumerate(diff.match_sections(a, b)):
             yield k, i, j, (a[i] if j is None else b[j]).title
 
-    return flat_map(pairs, ["old_text", "new_text"], rows, "ord int, old_pos int, new_pos int, title string", ["pair_id"])
+    return flat_map(_spread(pairs), ["old_text", "new_text"], rows, "ord int, old_pos int, new_pos int, title string", ["pair_id"])
 
 
 def align_units(pairs: DataFrame) -> DataFrame:
@@ -38,16 +45,19 @@ def align_units(pairs: DataFrame) -> DataFrame:
             for k, (op, i, j) in enumerate(one.alignment):
                 yield s, k, op, i, j
 
-    return flat_map(_split_same(pairs)[1], ["old_text", "new_text"], rows, f"sec_ord int, {schema.ALIGNMENT}", ["pair_id"])
+    return flat_map(_spread(_split_same(pairs)[1]), ["old_text", "new_text"], rows, f"sec_ord int, {schema.ALIGNMENT}", ["pair_id"])
 
 
-def word_ops(pairs: DataFrame) -> DataFrame:
-    """pair_id and the opcodes of the words of two texts, blanks and marks included."""
+def word_ops(pairs: DataFrame, threshold: float = diff.THRESHOLD) -> DataFrame:
+    """pair_id, sec_ord, unit_ord, mode and the opcodes of the tokens of each changed pair of units."""
 
     def rows(old: str | None, new: str | None):
-        return diff.opcodes(diff.tokens(old or ""), diff.tokens(new or ""))
+        for s, (_, _, _, one) in enumerate(diff.diff_document(old or "", new or "", threshold).rows):
+            for k, (_, _, unit) in enumerate(one.units):
+                for op in unit.ops:
+                    yield s, k, unit.mode, *op
 
-    return flat_map(pairs, ["old_text", "new_text"], rows, schema.OPCODE, ["pair_id"])
+    return flat_map(_spread(_split_same(pairs)[1]), ["old_text", "new_text"], rows, f"sec_ord int, unit_ord int, mode string, {schema.OPCODE}", ["pair_id"])
 
 
 def diff_counts(pairs: DataFrame, threshold: float = diff.THRESHOLD) -> DataFrame:
@@ -58,7 +68,7 @@ def diff_counts(pairs: DataFrame, threshold: float = diff.THRESHOLD) -> DataFram
         yield len(found.rows), len(found.modified), found.added, found.deleted
 
     same, other = _split_same(pairs)
-    out = flat_map(other, ["old_text", "new_text"], rows, COUNTS, ["pair_id"])
+    out = flat_map(_spread(other), ["old_text", "new_text"], rows, COUNTS, ["pair_id"])
     zero = [F.lit(None).cast("int").alias("sections"), *[F.lit(0).alias(x) for x in ("modified", "added", "deleted")]]
     return out.unionByName(same.select("pair_id", *zero))
 
@@ -71,12 +81,12 @@ def section_totals(pairs: DataFrame, threshold: float = diff.THRESHOLD) -> DataF
             status = "deleted" if j is None else "inserted" if i is None else "modified" if one.added + one.deleted else "same"
             yield k, title, status, one.added, one.deleted
 
-    return flat_map(pairs, ["old_text", "new_text"], rows, "sec_ord int, title string, status string, added int, deleted int", ["pair_id"])
+    return flat_map(_spread(pairs), ["old_text", "new_text"], rows, "sec_ord int, title string, status string, added int, deleted int", ["pair_id"])
 
 
 def annotate(pairs: DataFrame, threshold: float = diff.THRESHOLD, collab: bool = False) -> DataFrame:
     """pair_id, body, toc: the new text with coloured marks."""
-    return flat_map(pairs, ["old_text", "new_text"], lambda a, b: [diff.render(a or "", b or "", threshold, collab)], "body string, toc string", ["pair_id"])
+    return flat_map(_spread(pairs), ["old_text", "new_text"], lambda a, b: [diff.render(a or "", b or "", threshold, collab)], "body string, toc string", ["pair_id"])
 
 
 def accept_revisions(docs: DataFrame, line: int) -> DataFrame:
@@ -102,13 +112,13 @@ def draft_tags(docs: DataFrame) -> DataFrame:
 
 def retention(pairs: DataFrame, threshold: float = 90.0) -> DataFrame:
     """pair_id, retention_percent, is_compliant."""
-    out = row_map(pairs, ["old_text", "new_text"], lambda a, b: draft.retention(a or "", b or ""), "retention_percent", "double", ["pair_id"])
+    out = row_map(_spread(pairs), ["old_text", "new_text"], lambda a, b: draft.retention(a or "", b or ""), "retention_percent", "double", ["pair_id"])
     return out.withColumn("is_compliant", F.col("retention_percent") >= threshold)
 
 
 def draft_changes(pairs: DataFrame) -> DataFrame:
     """pair_id, change_pos, old, new, kind."""
-    return flat_map(pairs, ["old_text", "new_text"], lambda a, b: draft.changes(a or "", b or ""), "change_pos int, old string, new string, kind string", ["pair_id"])
+    return flat_map(_spread(pairs), ["old_text", "new_text"], lambda a, b: draft.changes(a or "", b or ""), "change_pos int, old string, new string, kind string", ["pair_id"])
 
 
 def audit_drafts(pairs: DataFrame, threshold: float = 90.0) -> DataFrame:
@@ -119,4 +129,4 @@ def audit_drafts(pairs: DataFrame, threshold: float = 90.0) -> DataFrame:
         kept = draft.retention(a, b)
         yield kept, kept >= threshold, len(draft.tags(a)), "—" in b or "–" in b, draft.change_table(a, b)
 
-    return flat_map(pairs, ["old_text", "new_text"], rows, "retention_percent double, is_compliant boolean, tags_count int, em_dash boolean, diff_table string", ["pair_id"])
+    return flat_map(_spread(pairs), ["old_text", "new_text"], rows, "retention_percent double, is_compliant boolean, tags_count int, em_dash boolean, diff_table string", ["pair_id"])

@@ -9,6 +9,7 @@ from itertools import groupby
 from typing import NamedTuple
 
 from doctrail.textcore import markdown as md
+from doctrail.textcore import similarity
 
 THRESHOLD = 0.5
 MOST_SEGMENTS = 6
@@ -54,11 +55,8 @@ def opcodes(old: list[str], new: list[str]) -> list[Op]:
 
 
 def ratio(old: str, new: str, least: float) -> float:
-    """The similarity of two texts, or 0 below ``least``; cheap upper bounds are tried first."""
-    m = SequenceMatcher(None, old, new, autojunk=False)
-    if m.real_quick_ratio() < least or m.quick_ratio() < least:
-        return 0.0
-    r = m.ratio()
+    """The similarity of two texts, or 0 below ``least``."""
+    r = similarity.ratio(old, new)
     return r if r >= least else 0.0
 
 
@@ -104,30 +102,26 @@ def match_sections(old: list[md.Section], new: list[md.Section]) -> list[tuple[i
     return out + [(k, None) for k in range(len(old)) if k not in used]
 
 
-def gain(old: str, new: str) -> float:
-    """What pairing two units is worth; 0 for units that must not be paired."""
-    kind = md.unit_type(old)
-    if kind != md.unit_type(new):
-        return 0.0
+def _bound(old: str, new: str, kinds: tuple[str, str]) -> tuple[float, bool]:
+    """(an upper bound of what pairing two units is worth, whether it is the value itself); 0 for units that must not be paired."""
+    if kinds[0] != kinds[1]:
+        return 0.0, True
     if old == new:
-        return SAME
-    if kind == "math":
-        r = ratio(old, new, MATH_RATIO)
-        return 1.0 + r if r else 0.0
-    if kind in ("table", "code_block"):
-        return BLOCK
-    return 0.0 if kind == "heading" else ratio(old, new, PROSE_RATIO)
+        return SAME, True
+    if kinds[0] in ("table", "code_block"):
+        return BLOCK, True
+    if kinds[0] == "heading":
+        return 0.0, True
+    least, extra = (MATH_RATIO, 1.0) if kinds[0] == "math" else (PROSE_RATIO, 0.0)
+    m = SequenceMatcher(None, old, new, autojunk=False)
+    if m.real_quick_ratio() < least or (quick := m.quick_ratio()) < least:
+        return 0.0, True
+    return quick + extra, False
 
 
-def align(old: list[str], new: list[str]) -> list[tuple[str, int | None, int | None]]:
-    """Monotone alignment of greatest gain; in a run of gaps deletions come first.
-
-    Gaps cost on the border alone. On equal value a deletion is preferred to an
-    insertion and either to a pair.
-    """
-    n, m = len(old), len(new)
-    if old == new:
-        return [("pair", k, k) for k in range(n)]
+def _path(gains: list[list[float]]) -> list[tuple[str, int | None, int | None]]:
+    """The best monotone path. Gaps cost on the border alone; on equal value a deletion is preferred to an insertion and either to a pair."""
+    n, m = len(gains), len(gains[0]) if gains else 0
     best = [[BORDER_GAP * j for j in range(m + 1)]]
     step = [["insert"] * (m + 1)]
     for i in range(1, n + 1):
@@ -136,7 +130,7 @@ def align(old: list[str], new: list[str]) -> list[tuple[str, int | None, int | N
             value, move = best[i - 1][j], "delete"
             if row[j - 1] > value:
                 value, move = row[j - 1], "insert"
-            worth = gain(old[i - 1], new[j - 1])
+            worth = gains[i - 1][j - 1]
             if worth > 0 and best[i - 1][j - 1] + worth > value:
                 value, move = best[i - 1][j - 1] + worth, "pair"
             row.append(value)
@@ -148,8 +142,35 @@ def align(old: list[str], new: list[str]) -> list[tuple[str, int | None, int | N
         move = step[i][j] if i else "insert"
         i, j = i - (move != "insert"), j - (move != "delete")
         path.append((move, i if move != "insert" else None, j if move != "delete" else None))
+    return path[::-1]
+
+
+def align(old: list[str], new: list[str]) -> list[tuple[str, int | None, int | None]]:
+    """Monotone alignment of greatest gain; in a run of gaps deletions come first.
+
+    The similarity of two units is costly, so the path is first sought with
+    upper bounds; the pairs on it are then measured, until a path has none left
+    to measure. What is off the path is worth its bound at most.
+    """
+    if old == new:
+        return [("pair", k, k) for k in range(len(old))]
+    kinds = [[md.unit_type(x) for x in us] for us in (old, new)]
+    cells = [[_bound(a, b, (kinds[0][i], kinds[1][j])) for j, b in enumerate(new)] for i, a in enumerate(old)]
+    gains, exact = [[x[0] for x in row] for row in cells], [[x[1] for x in row] for row in cells]
+    while True:
+        path = _path(gains)
+        open_ = [(i, j) for move, i, j in path if move == "pair" and not exact[i][j]]
+        if not open_ and old:
+            break
+        if not old:
+            path = [("insert", None, j) for j in range(len(new))]
+            break
+        for i, j in open_:
+            math = kinds[0][i] == "math"
+            r = ratio(old[i], new[j], MATH_RATIO if math else PROSE_RATIO)
+            gains[i][j], exact[i][j] = (r + 1.0 if math and r else r), True
     out = []
-    for paired, run in groupby(reversed(path), key=lambda x: x[0] == "pair"):
+    for paired, run in groupby(path, key=lambda x: x[0] == "pair"):
         out += list(run) if paired else sorted(run, key=lambda x: x[0] != "delete")
     return out
 
