@@ -43,13 +43,15 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def without(docs: DataFrame, gone: DataFrame, name: str, most: int = 500_000) -> DataFrame:
-    """``docs`` without the rows whose ``name`` is in ``gone``, a stored table of that one long column.
+def without(docs: DataFrame, gone: DataFrame, most: int = 500_000) -> DataFrame:
+    """``docs`` without the rows whose number (see ``numbered``) is in ``gone``, a stored table of the one long column rid.
 
     Up to ``most`` numbers are broadcast, so that texts stay where they are;
-    more are joined by a shuffle, to the same result.
+    more are joined by a shuffle, to the same result. The row travels as one
+    struct, so no column of it can clash with the number.
     """
-    return docs.join(F.broadcast(gone) if gone.count() <= most else gone, name, "left_anti")
+    rows = docs.select(F.struct(*[docs[x] for x in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("rid"))
+    return rows.join(F.broadcast(gone) if gone.count() <= most else gone, "rid", "left_anti").select("row.*")
 
 
 def small_batches(spark: SparkSession) -> None:

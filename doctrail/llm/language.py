@@ -149,7 +149,5 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     text without letters says nothing of its own and is decided by declaration
     and source; null sources make one host. A stored table is expected.
     """
-    name = "__row_number"
     texts = numbered(docs.select("source", "lang", "text")).select("rid", F.lit("").alias("suffix"), F.col("source").alias("host"), F.col("lang").alias("declared"), "text")
-    gone = checkpoint(fuse(texts, fit(docs)).where("not accepted").select(F.col("rid").alias(name)))
-    return without(numbered(docs, name), gone, name).drop(name)
+    return without(docs, checkpoint(fuse(texts, fit(docs)).where("not accepted").select("rid")))

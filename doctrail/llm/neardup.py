@@ -183,6 +183,4 @@ def keep_representatives(docs: DataFrame, radius: int = 4) -> DataFrame:
 
     A stored table is expected, since rows are known by their place in it.
     """
-    name = "__row_number"
-    gone = checkpoint(near_duplicates(docs, radius).where("not representative").select(F.col("rid").alias(name)))
-    return without(numbered(docs, name), gone, name).drop(name)
+    return without(docs, checkpoint(near_duplicates(docs, radius).where("not representative").select("rid")))
