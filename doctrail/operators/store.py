@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BASELINE_AUTHOR = "henri"
+#: The author whose commits are baselines; a parameter wherever it counts.
+BASELINE_AUTHOR = "baseline"
 
 
 def blob_hash(content: Column | str) -> Column:
@@ -197,13 +198,13 @@ def _local(key: Column) -> Column:
     return ~outside | key.startswith("notes/")
 
 
-def mentioned_stems(notes: DataFrame, stems: DataFrame) -> DataFrame:
+def mentioned_stems(notes: DataFrame, stems: DataFrame, skipped: tuple[str, ...] = ("_agents/project_diffs", "_agents/store")) -> DataFrame:
     """stem: the artefact names that some note (columns path, text) speaks of, in plain or URL-coded form.
 
     Notes are cut at every mark that may precede a name, and the rest of the
     line is joined by its first word, so notes and names never meet all with all.
     """
-    skip = r"(?i)^(_agents/project_diffs|_agents/doc_version_cas)(/|$)|(^|/)(\.git|\.obsidian|node_modules|\.trash|\.venv|__pycache__)(/|$)"
+    skip = rf"(?i)^({'|'.join(skipped)})(/|$)|(^|/)(\.git|\.obsidian|node_modules|\.trash|\.venv|__pycache__)(/|$)"
     text = F.lower(F.coalesce(F.try_url_decode(F.regexp_replace("text", r"\+", "%2B")), F.col("text")))
     tails = notes.where(~F.col("path").rlike(skip)).select(F.explode(F.regexp_extract_all(text, F.lit(r"(?=(?:🤖 |project_diffs/(?:🤖 )?)([^\n]+))"), F.lit(1))).alias("tail")).distinct()
     names = stems.select(F.lower(F.trim("stem")).alias("stem")).where("stem <> ''").distinct()
