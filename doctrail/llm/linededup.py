@@ -20,16 +20,34 @@ from doctrail.llm.common import checkpoint, stored
 
 SIMILARITY, LEAST = 0.8, 5
 #: Words are counted in so many cells: a fixed size, whatever the corpus.
-CELLS = 1 << 16
+CELL_BITS = 18
+CELLS = 1 << CELL_BITS
 #: Lines that begin or end with the same words are compared with the first of them before the join.
 ENDS = 4
 LOWEST = -(1 << 63)
 #: Lines to be compared are broadcast to the scan of the texts up to so many; more meet them in a shuffle.
 ASKED = 500_000
+#: The positions that stay are broadcast to the texts up to so many, in lists of up to ASKED documents.
+PLACES = 4_000_000
+#: Added to the places of a settled line's words: more words than any line has.
+SETTLED = 1 << 30
+
+
+#: White space within a line besides the blank.
+BLANKS = "\t\x0b\f\r"
+
+
+def _words(line: Column) -> Column:
+    """Lower-cased words; a split on one character is a plain search, so other white space becomes blanks where there is any."""
+    other = F.lit(False)
+    for x in BLANKS + "\n":
+        other = other | line.contains(x)
+    plain = F.when(other, F.translate(line, BLANKS + "\n", " " * (len(BLANKS) + 1))).otherwise(line)
+    return F.array_remove(F.split(F.lower(plain), " "), "")
 
 
 def _hashes(line: Column) -> Column:
-    return F.transform(F.array_remove(F.split(F.lower(line), r"[ \t\n\x0B\f\r]+"), ""), lambda w: F.xxhash64(w))
+    return F.transform(_words(line), lambda w: F.xxhash64(w))
 
 
 def _cell(h: Column) -> Column:
@@ -37,22 +55,30 @@ def _cell(h: Column) -> Column:
 
 
 def rarity(texts: DataFrame) -> DataFrame:
-    """One row: an array with the rank of each cell, rarest first."""
-    counts = texts.select(F.explode(_hashes(F.col("text"))).alias("h")).select(_cell(F.col("h")).alias("cell")).groupBy("cell").count()
+    """One row: an array with the rank of each cell, rarest first, as the high bits of a word."""
+    words = texts.select(F.explode(_words(F.col("text"))).alias("w"))
+    counts = words.select(_cell(F.xxhash64("w")).alias("cell")).groupBy("cell").count()
     every = texts.sparkSession.range(CELLS).select(F.col("id").cast("int").alias("cell")).join(counts, "cell", "left").select("cell", F.coalesce("count", F.lit(0)).alias("count"))
     by_count = F.sort_array(F.collect_list(F.struct("count", "cell")))
     placed = every.agg(by_count.alias("s")).select(F.posexplode("s").alias("rank", "s")).select("rank", F.col("s.cell").alias("cell"))
-    return placed.agg(F.sort_array(F.collect_list(F.struct("cell", "rank"))).alias("s")).select(F.transform("s", lambda x: x["rank"]).alias("ranks"))
+    high = F.shiftleft(F.col("rank").cast("long") - (CELLS >> 1), 64 - CELL_BITS).alias("high")
+    return placed.select("cell", high).agg(F.sort_array(F.collect_list(F.struct("cell", "high"))).alias("s")).select(F.transform("s", lambda x: x["high"]).alias("ranks"))
 
 
 def _ordered(hashes: Column, ranks: Column) -> Column:
     """Different words as longs in order of rarity: the cell's rank, then the other bits; no two words' hashes become one."""
+    return F.sort_array(F.transform(F.array_distinct(hashes), lambda h: F.get(ranks, _cell(h)).bitwiseOR(F.shiftrightunsigned(h, CELL_BITS))))
 
-    def word(h: Column) -> Column:
-        rank = F.get(ranks, _cell(h)).cast("long") - (CELLS >> 1)
-        return F.shiftleft(rank, 48).bitwiseOR(F.shiftrightunsigned(h, 16))
 
-    return F.sort_array(F.transform(F.array_distinct(hashes), word))
+def _signature(words: Column, half: bool = False) -> Column:
+    """Parity of the words in 64 cells, of all or of one half of them.
+
+    A word in one of two sets alone flips one bit, so signatures differ in no
+    more bits than the sets in words. The half's signature and the rest's make
+    one of 128 cells, which tells longer lines apart.
+    """
+    unit = (lambda w: F.shiftrightunsigned(w, 12).bitwiseAND(F.lit(1))) if half else (lambda w: F.lit(1).cast("long"))
+    return F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", unit(w), w.bitwiseAND(F.lit(63)).cast("int"))))
 
 
 def _need(n: Column, similarity: float) -> Column:
@@ -60,11 +86,6 @@ def _need(n: Column, similarity: float) -> Column:
     return F.ceil(n * (similarity / (1 + similarity)) - 1e-9)
 
 
-def _signature(words: Column) -> Column:
-    """Parity of the words in 64 cells: two signatures differ in no more bits than the sets in words."""
-    return F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int"))))
-
-
 def _sets(lines: DataFrame, ranks: Column, keep: list[str], least: int) -> DataFrame:
     """``keep``, hashes (the words in their order) and words (ordered by rarity) of lines with enough words.
 
@@ -72,24 +93,31 @@ def _sets(lines: DataFrame, ranks: Column, keep: list[str], least: int) -> DataF
     neighbours, so that no array is computed twice; the ranks, a scalar
     subquery, are read within one projection and never copied into rows.
     """
-    enough = F.filter(F.array(_hashes(F.col("line"))), lambda h: F.size(F.array_distinct(h)) >= least)
+    enough = F.filter(F.array(_hashes(F.col("line"))), lambda h: F.size(h) >= least)
     hashed = lines.select(*keep, F.explode(enough).alias("hashes"))
-    return hashed.withColumn("ranks", ranks).select(*keep, "hashes", _ordered(F.col("hashes"), F.col("ranks")).alias("words"))
+    sets = hashed.withColumn("ranks", ranks).select(*keep, "hashes", _ordered(F.col("hashes"), F.col("ranks")).alias("words"))
+    return sets.select(*keep, "hashes", F.explode(F.filter(F.array("words"), lambda w: F.size(w) >= least)).alias("words"))
+
 
+LINE = ["did", "pos", "sig"]
 
-def _similar(pairs: DataFrame, keyed: DataFrame, ranks: Column, similarity: float, least: int) -> DataFrame:
-    """Of pairs of lines (y..., x... with did, dh, pos, sig), the y whose sets are similar: did, dh, pos, sig."""
-    name = ["did", "dh", "pos", "sig"]
-    y, x = (F.struct(*[F.col(f"{s}_{c}").alias(c) for c in name]) for s in "yx")
+
+def _similar(pairs: DataFrame, classes: DataFrame, keyed: DataFrame, ranks: Column, similarity: float, least: int) -> DataFrame:
+    """Of pairs of lines (y_..., x_... with did, pos, sig), the y whose sets are similar: did, pos, sig."""
+    y, x = (F.struct(*[F.col(f"{s}_{c}").alias(c) for c in LINE]) for s in "yx")
     wanted = checkpoint(pairs.select(F.explode(F.array(y, x)).alias("l")).select("l.*").distinct())
-    asked = wanted.groupBy("did", "dh").agg(F.collect_list(F.struct("pos", "sig")).alias("wanted"))
-    found = keyed.join(F.broadcast(asked) if wanted.count() <= ASKED else asked, ["did", "dh"]).select("did", "dh", F.explode(F.transform("wanted", lambda p: F.struct(p["pos"].alias("pos"), p["sig"].alias("sig"), F.get(F.split("text", "\n"), p["pos"]).alias("line")))).alias("l"))
-    sets = _sets(found.select("did", "dh", "l.*"), ranks, name, least).drop("hashes").dropDuplicates(name)
-    left = pairs.join(sets.select(*[F.col(c).alias(f"y_{c}") for c in name], F.col("words").alias("y_words")), [f"y_{c}" for c in name])
-    both = left.join(sets.select(*[F.col(c).alias(f"x_{c}") for c in name], F.col("words").alias("x_words")), [f"x_{c}" for c in name])
+    few = wanted.count() <= ASKED
+    placed = classes.select("dh", *LINE).join(F.broadcast(wanted) if few else wanted, LINE)
+    asked = placed.groupBy("did", "dh").agg(F.collect_list(F.struct("pos", "sig")).alias("wanted"))
+    found = keyed.join(F.broadcast(asked) if few else asked, ["did", "dh"])
+    line = lambda p: F.struct(p["pos"].alias("pos"), p["sig"].alias("sig"), F.get(F.split("text", "\n"), p["pos"]).alias("line"))
+    found = found.select("did", F.explode(F.transform("wanted", line)).alias("l")).select("did", "l.*")
+    sets = _sets(found, ranks, LINE, least).drop("hashes").dropDuplicates(LINE)
+    left = pairs.join(sets.select(*[F.col(c).alias(f"y_{c}") for c in LINE], F.col("words").alias("y_words")), [f"y_{c}" for c in LINE])
+    both = left.join(sets.select(*[F.col(c).alias(f"x_{c}") for c in LINE], F.col("words").alias("x_words")), [f"x_{c}" for c in LINE])
     shared = F.size(F.array_intersect("y_words", "x_words"))
     good = both.where(shared >= _need(F.size("y_words") + F.size("x_words"), similarity))
-    return good.select(*[F.col(f"y_{c}").alias(c) for c in name]).distinct()
+    return good.select(*[F.col(f"y_{c}").alias(c) for c in LINE]).distinct()
 
 
 def kept_lines(docs: DataFrame, similarity: float = SIMILARITY, least: int = LEAST) -> DataFrame:
@@ -98,65 +126,80 @@ def kept_lines(docs: DataFrame, similarity: float = SIMILARITY, least: int = LEA
     ranks = checkpoint(rarity(keyed.select("text"))).scalar()
     lines = keyed.select("did", "dh", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     sets = _sets(lines, ranks, ["did", "dh", "pos"], least)
-    sets = sets.select("did", "dh", "pos", "hashes", F.explode(F.array("words")).alias("words"))
     n = F.size("words")
-    prefix = F.slice("words", F.lit(1), (n - F.ceil(n * similarity - 1e-9) + 1).cast("int"))
-    first = F.struct("did", "pos", "dh", _signature(F.col("words")).alias("sig"), F.transform(prefix, lambda w: F.hash(w)).alias("prefix"), F.xxhash64(F.slice("hashes", 1, ENDS)).alias("begin"), F.xxhash64(F.slice("hashes", -ENDS, ENDS)).alias("end"))
+    prefix = F.transform(F.slice("words", F.lit(1), (n - F.ceil(n * similarity - 1e-9) + 1).cast("int")), lambda w: F.hash(w))
+    runs = [F.hash(F.slice("hashes", k, ENDS)).alias(name) for k, name in ((1, "begin"), (-ENDS, "end"), (1 + ENDS, "second"))]
+    first = F.struct("did", "pos", "dh", _signature(F.col("words")).alias("sig"), _signature(F.col("words"), True).alias("half"), prefix.alias("prefix"), *runs)
     # Lines with the same set are one class, led by the first of them; partial minima meet in the shuffle.
     classes = stored(sets.select(F.xxhash64("words").alias("c"), n.alias("n"), first.alias("f")).groupBy("c", "n").agg(F.min("f").alias("f")).select("n", "f.*"))
 
-    # Classes that begin or end alike: each is compared with the first, so that a large group of near copies is settled in linear work.
-    line = ["did", "dh", "pos", "sig"]
-    order = F.struct("did", "pos", "sig", "dh", "n")
-    ends = classes.select(*line, "n", F.explode(F.array("begin", F.bitwise_not("end"))).alias("k"))
+    # Classes with a run of words alike (the first, the next or the last): each is compared with the first such class, so
+    # that a large group of near copies is settled in linear work.
+    order = F.struct(*LINE, "n")
+    keys = F.array(*[F.col(x).cast("long") + (k << 32) for k, x in enumerate(("begin", "end", "second")) if x != "second"])
+    keys = F.when(F.col("n") >= 3 * ENDS, F.concat(keys, F.array(F.col("second").cast("long") + (2 << 32)))).otherwise(keys)
+    ends = classes.select(*LINE, "n", F.explode(keys).alias("k")).repartition("k")
     heads = ends.groupBy("k").agg(F.min(order).alias("x"), F.count("*").alias("m")).where("m > 1").drop("m")
     close = F.bit_count(F.col("sig").bitwiseXOR(F.col("x.sig"))) <= F.col("n") + F.col("x.n") - 2 * _need(F.col("n") + F.col("x.n"), similarity)
     led = ends.join(heads, "k").where((order > F.col("x")) & close)
-    led = checkpoint(led.select(*[F.col(c).alias(f"y_{c}") for c in line], *[F.col(f"x.{c}").alias(f"x_{c}") for c in line]).distinct())
-    settled = checkpoint(_similar(led, keyed, ranks, similarity, least))
+    led = checkpoint(led.select(*[F.col(c).alias(f"y_{c}") for c in LINE], *[F.col(f"x.{c}").alias(f"x_{c}") for c in LINE]).distinct())
+    settled = checkpoint(_similar(led, classes, keyed, ranks, similarity, least))
 
     # The join: every class is looked up by its prefix; only classes not settled look for an earlier one.
-    # Both sides are one exchange, as the filter on settled lines is part of the comparison.
-    open_ = classes.select("n", "prefix", *line).join(settled.withColumn("settled", F.lit(True)), line, "left")
-    top = F.when(F.col("settled"), LOWEST).otherwise(F.col("did")).alias("top")
-    postings = open_.select(*line, "n", top, F.posexplode("prefix").alias("i", "w"))
+    # Both sides are one exchange, as a settled line's places lie so far back that no position passes.
+    few = settled.count() <= ASKED
+    marked = settled.withColumn("settled", F.lit(SETTLED))
+    open_ = classes.select("n", "prefix", "half", *LINE).join(F.broadcast(marked) if few else marked, LINE, "left")
+    postings = open_.select(*LINE, "half", "n", F.coalesce("settled", F.lit(0)).alias("back"), F.posexplode("prefix").alias("i", "w"))
+    postings = postings.select(*LINE, "half", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR((F.col("back") + F.col("i")).cast("long")).alias("ni"), "w")
     y, x = postings.alias("y"), postings.alias("x")
-    total = F.col("y.n") + F.col("x.n")
-    rest = F.least(F.col("y.n") - F.col("y.i"), F.col("x.n") - F.col("x.i"))
+    yn, xn = (F.shiftright(f"{s}.ni", 32) for s in "yx")
+    yi, xi = F.col("y.ni").bitwiseAND(F.lit(0xFFFFFFFF)), F.col("x.ni").bitwiseAND(F.lit(SETTLED - 1))
+    total = yn + xn
+    later = (F.col("y.did") > F.col("x.did")) | ((F.col("y.did") == F.col("x.did")) & (F.struct("y.pos", "y.sig") > F.struct("x.pos", "x.sig")))
+    other = F.col("y.half").bitwiseXOR(F.col("x.half"))
+    apart = F.bit_count(F.col("y.sig").bitwiseXOR(F.col("x.sig")).bitwiseXOR(other)) + F.bit_count(other)
+    near = apart <= total - 2 * _need(total, similarity)
     pairs = y.join(
         x,
         (F.col("y.w") == F.col("x.w"))
-        & ((F.col("y.top") > F.col("x.did")) | ((F.col("y.top") == F.col("x.did")) & (F.struct("y.pos", "y.sig") > F.struct("x.pos", "x.sig"))))
-        & (F.least("y.n", "x.n") >= F.greatest("y.n", "x.n") * similarity - 1e-9)
-        & (rest >= _need(total, similarity) - F.least("y.i", "x.i"))
-        & (F.bit_count(F.col("y.sig").bitwiseXOR(F.col("x.sig"))) <= total - 2 * _need(total, similarity)),
+        & later
+        & (F.least(yn, xn) >= F.greatest(yn, xn) * similarity - 1e-9)
+        & (F.least(yn - yi, xn - xi) + F.least(yi, xi) >= _need(total, similarity))
+        & near,
     )
-    pairs = checkpoint(pairs.select(*[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "yx" for c in line]).distinct())
-    late = checkpoint(_similar(pairs, keyed, ranks, similarity, least))
+    pairs = checkpoint(pairs.select(*[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "yx" for c in LINE]).distinct())
+    late = checkpoint(_similar(pairs, classes, keyed, ranks, similarity, least))
 
-    gone = settled.unionByName(late).select("did", "dh", "pos").withColumn("stays", F.lit(False))
-    stays = classes.select("did", "dh", "pos").withColumn("stays", F.lit(True)).unionByName(gone)
-    lists = stays.groupBy("did", "dh").agg(F.collect_list(F.when(F.col("stays"), F.col("pos"))).alias("firsts"), F.collect_list(F.when(~F.col("stays"), F.col("pos"))).alias("gone"))
-    return lists.select("did", "dh", F.array_except("firsts", "gone").alias("kept"))
+    gone = settled.unionByName(late)
+    kept = classes.select("dh", *LINE).join(F.broadcast(gone) if gone.count() <= ASKED else gone, LINE, "left_anti")
+    return kept.groupBy("did", "dh").agg(F.collect_list("pos").alias("kept"))
 
 
-def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, least: int = LEAST) -> DataFrame:
-    """The rows and columns of ``docs`` with the removed lines cut from ``text``, and __n_lines and __n_removed.
+def cut_lines(docs: DataFrame, similarity: float = SIMILARITY, least: int = LEAST) -> DataFrame:
+    """row (all columns as a struct), text, n_lines, n_removed: texts without their removed lines.
 
     Rows alike in doc_id and text are one document and keep the same lines; a
     null doc_id comes before all others; a null text is empty; an empty table
-    gives no rows; other columns pass as they are. A document all of whose
-    lines are removed has an empty text.
+    gives no rows; other columns pass as they are, whatever their names. A
+    document all of whose lines are removed has an empty text.
     """
-    kept = kept_lines(docs, similarity, least).select(F.col("did").alias("__did"), F.col("dh").alias("__dh"), F.col("kept").alias("__kept"))
-    named = docs.withColumns({"__did": F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)), "__dh": F.xxhash64(F.coalesce("text", F.lit("")))})
-    met = named.join(kept, ["__did", "__dh"], "left").withColumn("__lines", F.split(F.coalesce("text", F.lit("")), "\n"))
-    firsts = F.coalesce("__kept", F.array().cast("array<int>"))
+    kept = checkpoint(kept_lines(docs, similarity, least))
+    rows, places = kept.agg(F.count("*"), F.coalesce(F.sum(F.size("kept")), F.lit(0))).first()
+    kept = F.broadcast(kept) if rows <= ASKED and places <= PLACES else kept
+    text = F.coalesce("text", F.lit(""))
+    named = docs.select(F.struct(*[docs[x] for x in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("did"), F.xxhash64(text).alias("dh"), F.split(text, "\n").alias("lines"))
+    met = named.join(kept, ["did", "dh"], "left")
+    firsts = F.coalesce("kept", F.array().cast("array<int>"))
 
     def stays(line: Column, pos: Column) -> Column:
-        different = F.size(F.array_distinct(F.array_remove(F.split(F.lower(line), r"[ \t\n\x0B\f\r]+"), "")))
-        return F.array_contains(firsts, pos) | (different < least)
+        return F.array_contains(firsts, pos) | (F.size(F.array_distinct(_words(line))) < least)
 
-    left = met.withColumn("__left", F.filter("__lines", stays))
-    out = left.withColumns({"text": F.array_join("__left", "\n"), "__n_lines": F.size("__lines").cast("long"), "__n_removed": (F.size("__lines") - F.size("__left")).cast("long")})
-    return out.select(*docs.columns, "__n_lines", "__n_removed")
+    left = met.withColumn("left", F.filter("lines", stays))
+    return left.select("row", F.array_join("left", "\n").alias("text"), F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("left")).cast("long").alias("n_removed"))
+
+
+def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, least: int = LEAST) -> DataFrame:
+    """The rows and columns of ``docs`` with the removed lines cut from ``text``; see ``cut_lines``."""
+    cut = cut_lines(docs, similarity, least)
+    return cut.select(*[F.col("text") if x == "text" else F.col("row")[x].alias(x) for x in docs.columns])
