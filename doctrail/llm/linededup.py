@@ -22,8 +22,10 @@ SIMILARITY, LEAST = 0.8, 5
 #: Words are counted in so many cells: a fixed size, whatever the corpus.
 CELL_BITS = 18
 CELLS = 1 << CELL_BITS
-#: Lines that begin or end with the same words are compared with the first of them before the join.
+#: Lines that share a run of so many words, from one of these places on, are compared with the first of them before the
+#: join; short lines at their ends alone.
 ENDS = 4
+RUNS = (1, -4, 5, -8, 9)
 LOWEST = -(1 << 63)
 #: Lines to be compared are broadcast to the scan of the texts up to so many; more meet them in a shuffle.
 ASKED = 500_000
@@ -128,16 +130,15 @@ def kept_lines(docs: DataFrame, similarity: float = SIMILARITY, least: int = LEA
     sets = _sets(lines, ranks, ["did", "dh", "pos"], least)
     n = F.size("words")
     prefix = F.transform(F.slice("words", F.lit(1), (n - F.ceil(n * similarity - 1e-9) + 1).cast("int")), lambda w: F.hash(w))
-    runs = [F.hash(F.slice("hashes", k, ENDS)).alias(name) for k, name in ((1, "begin"), (-ENDS, "end"), (1 + ENDS, "second"))]
+    runs = [F.hash(F.slice("hashes", at, ENDS)).alias(f"run{at}") for at in RUNS]
     first = F.struct("did", "pos", "dh", _signature(F.col("words")).alias("sig"), _signature(F.col("words"), True).alias("half"), prefix.alias("prefix"), *runs)
     # Lines with the same set are one class, led by the first of them; partial minima meet in the shuffle.
     classes = stored(sets.select(F.xxhash64("words").alias("c"), n.alias("n"), first.alias("f")).groupBy("c", "n").agg(F.min("f").alias("f")).select("n", "f.*"))
 
-    # Classes with a run of words alike (the first, the next or the last): each is compared with the first such class, so
+    # Classes with a run of words alike: each is compared with the first such class, so
     # that a large group of near copies is settled in linear work.
     order = F.struct(*LINE, "n")
-    keys = F.array(*[F.col(x).cast("long") + (k << 32) for k, x in enumerate(("begin", "end", "second")) if x != "second"])
-    keys = F.when(F.col("n") >= 3 * ENDS, F.concat(keys, F.array(F.col("second").cast("long") + (2 << 32)))).otherwise(keys)
+    keys = F.array_compact(F.array(*[F.when(F.col("n") >= 3 * ENDS * (k > 1), F.col(f"run{at}").cast("long") + (k << 32)) for k, at in enumerate(RUNS)]))
     ends = classes.select(*LINE, "n", F.explode(keys).alias("k")).repartition("k")
     heads = ends.groupBy("k").agg(F.min(order).alias("x"), F.count("*").alias("m")).where("m > 1").drop("m")
     close = F.bit_count(F.col("sig").bitwiseXOR(F.col("x.sig"))) <= F.col("n") + F.col("x.n") - 2 * _need(F.col("n") + F.col("x.n"), similarity)
