@@ -16,12 +16,14 @@ from doctrail.llm.common import arrow_map, numbered, stored, utf8
 SEED = 42
 #: The token that ends a text and stands before its first word; no word holds a blank.
 END = b" "
-#: Tokens of at least this share of all are states, so there are at most 32,768 of them.
-STATE_SHARE = 1 / 32_768
-#: Pairs of states of at least this share of all tokens are arcs: at most 262,144.
-ARC_SHARE = 1 / 262_144
+#: The most tokens and arcs that are broadcast. They only save rows of a join: results do not depend on them.
+HOT_TOKENS, HOT_ARCS = 131_072, 262_144
+#: Bigrams that the training texts hold so often are arcs, whatever the size of the input.
+LEAST_ARC = 2
 DISCOUNT = 0.5
 FLUSH = 400_000
+#: Neighbouring tokens that a task counts at once.
+CHUNK = 1_000_000
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -52,7 +54,9 @@ def token_counts(docs: DataFrame) -> DataFrame:
 
 
 class Automaton:
-    """States are frequent tokens; state 0, the root, is the empty history.
+    """The model in one memory; ``score`` gives the same from tables of any size.
+
+    States are tokens; state 0, the root, is the empty history.
 
     ``arcs[s]`` gives the log-probability of the tokens that have an arc from
     s; for the others the failure arc of weight ``fail[s]`` leads to the root,
@@ -94,83 +98,171 @@ class Automaton:
         return score, base, len(tokens) - len(rare), Counter(rare)
 
 
-def _pairs(docs: DataFrame, number: dict[bytes, int]) -> DataFrame:
-    """pair, n: counts of neighbouring states, as first * (states + 1) + second."""
-    size = len(number) + 1
+def keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """One number for two codes; exact for two hot tokens, and as good as a 64-bit hash for others."""
+    return first ^ (second << np.uint64(21) | second >> np.uint64(43))
+
+
+def _key(first: str, second: str):
+    return F.col(first).bitwiseXOR(F.shiftleft(second, 21).bitwiseOR(F.shiftrightunsigned(second, 43)))
+
+
+class Codes:
+    """Tokens as longs: hot ones by rank from 1 on, the others by their 64-bit hash."""
+
+    def __init__(self, hot: list[bytes]):
+        self.rank = {tok: k + 1 for k, tok in enumerate(hot)}
+
+    def __call__(self, tokens: list[bytes]) -> list[int]:
+        import xxhash
+
+        get, digest = self.rank.get, xxhash.xxh64_intdigest
+        return [get(x) or digest(x, SEED) for x in tokens]
+
+
+def _pairs(docs: DataFrame, codes) -> DataFrame:
+    """a, b, n: how often token b follows token a, by their codes; ``codes`` is broadcast."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, end = number.get, [number[END]] if END in number else [0]
+        code = codes.value
+        end, line = code([END]), []
+
+        def out() -> pa.RecordBatch:
+            ids = np.array(line + end, np.uint64)
+            line.clear()
+            _, at, n = np.unique(keys(ids[:-1], ids[1:]), return_index=True, return_counts=True)
+            found = [ids[:-1][at].view(np.int64), ids[1:][at].view(np.int64), n.astype(np.int64)]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b", "n"])
+
         for batch in batches:
-            line: list[int] = []
             for text in utf8(batch, "text"):
                 line += end
-                line += [get(x, 0) for x in text.lower().split()]
-            line += end
-            ids = np.array(line, np.int64)
-            both = (ids[1:] > 0) & (ids[:-1] > 0)
-            pair, n = np.unique((ids[:-1] * size + ids[1:])[both], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n.astype(np.int64))], ["pair", "n"])
+                line += code(text.lower().split())
+                if len(line) > CHUNK:
+                    yield out()
+        yield out()
+
+    return arrow_map(docs.select("text"), work, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
 
-    return arrow_map(docs.select("text"), work, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+def _most(table: DataFrame, name: str, most: int, least: int) -> int:
+    """The least bound, from ``least`` on, that at most ``most`` rows reach."""
+    bound, rows = None, 0
+    for x in table.groupBy(name).count().orderBy(F.desc(name)).toLocalIterator():
+        rows += x["count"]
+        if rows > most or x[name] < least:
+            break
+        bound = x[name]
+    return bound or (1 << 62)
 
 
-def score(docs: DataFrame) -> DataFrame:
+def score(docs: DataFrame, hot_tokens: int = HOT_TOKENS, hot_arcs: int = HOT_ARCS) -> DataFrame:
     """Scores of all documents by a model of those that are not held out.
 
     doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. The
     base is a smoothed unigram model of every training token; the automaton
-    adds smoothed bigrams of frequent tokens and backs off to it, so both give
-    a probability to every token. What is broadcast, states and arcs, is bounded
-    by the shares that make them frequent; the counts of the other tokens, which
-    grow with the corpus, meet the documents in a join on the token's 64-bit
-    hash, where no key is frequent.
+    adds every bigram that the training texts hold LEAST_ARC times, and backs
+    off to the base, so both give a probability to every token.
+
+    A text's score is its base, the failure weight of each of its tokens as a
+    history, and for each arc what it gives above failing. So arcs and tokens
+    are rows of one stored table, which the texts' tokens and bigrams meet in a
+    join by hash. The most frequent ones, at most ``hot_tokens`` and
+    ``hot_arcs``, are broadcast instead, so no key of a join is frequent.
 
     A null or empty text is the end token alone; a null doc_id trains; repeated
     rows are counted and scored each; an empty table gives no rows; other
     columns are ignored. Rows are known by their place in ``docs``, a stored table.
     """
+    spark = docs.sparkSession
     train = docs.where(~held_out())
-    counts = stored(token_counts(train).select("tok", F.xxhash64("tok").alias("h"), "c"))
+    counts = stored(token_counts(train).select("tok", F.xxhash64("tok").alias("code"), "c"))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    states = sorted(((bytes(x.tok), x.c) for x in counts.where(F.col("c") >= max(1, total * STATE_SHARE)).select("tok", "c").collect()), key=lambda x: (-x[1], x[0]))
-    number = {tok: k + 1 for k, (tok, _) in enumerate(states)}
-    kept = _pairs(train, number).where(F.col("n") >= max(2, math.ceil(total * ARC_SHARE))).toArrow()
-    model = Automaton(states, dict(zip(kept["pair"].to_pylist(), kept["n"].to_pylist(), strict=True)), total, distinct)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    norm = float(total + 0.5 * (distinct + 1))
+    bound = _most(counts, "c", hot_tokens, 1)
+    states = sorted(((bytes(x.tok), x.c) for x in counts.where(F.col("c") >= bound).select("tok", "c").collect()), key=lambda x: (-x[1], x[0]))
+    codes = spark.sparkContext.broadcast(Codes([tok for tok, _ in states]))
+    hot = spark.createDataFrame(pa.table({"code": pa.array(range(1, len(states) + 1), pa.int64()), "c": pa.array([c for _, c in states], pa.int64())}))
+    rare = counts.where(F.col("c") < bound).select("code", "c")
+
+    def with_values(rows: DataFrame, code: str, few: DataFrame, many: DataFrame) -> DataFrame:
+        """``rows`` with the columns that tables of hot and of rare tokens have for a code."""
+        is_hot = F.col(code).between(1, len(states))
+        return rows.where(is_hot).join(F.broadcast(few.withColumnRenamed("code", code)), code).unionByName(rows.where(~is_hot).join(many.withColumnRenamed("code", code), code))
+
+    share = lambda c: (F.col(c) + 0.5) / F.lit(norm)
+    pairs = stored(_pairs(train, codes).where(F.col("n") >= LEAST_ARC))
+    arcs = with_values(pairs, "b", hot.withColumnRenamed("c", "cb"), rare.withColumnRenamed("c", "cb"))
+    histories = arcs.groupBy(F.col("a").alias("code")).agg(F.sum(F.col("n") - DISCOUNT).alias("kept"), F.sum(share("cb")).alias("covered"))
+    histories = with_values(histories, "code", hot, rare)
+    fail = F.log10(F.greatest(1 - F.col("kept") / F.col("c"), F.lit(1e-12)) / (1 - F.col("covered")))
+    histories = stored(histories.select("code", F.col("c").alias("ca"), fail.alias("fail")))
+    hot_histories = histories.where(F.col("code").between(1, len(states)))
+    rare_histories = histories.where(~F.col("code").between(1, len(states)))
+    gain = F.log10((F.col("n") - DISCOUNT) / F.col("ca")) - F.col("fail") - F.log10(share("cb"))
+    arcs = stored(with_values(arcs, "a", hot_histories, rare_histories).select(_key("a", "b").alias("h"), "n", gain.alias("gain")))
+    hot_bound = _most(arcs, "n", hot_arcs, LEAST_ARC)
+    kept = arcs.where(F.col("n") >= hot_bound).select("h", "gain").orderBy("h").toArrow()
+    failing = hot_histories.toArrow()
+
+    unigram = np.array([0.0, *(math.log10((c + 0.5) / norm) for _, c in states)])
+    both = unigram.copy()
+    both[failing["code"].to_numpy()] += failing["fail"].to_numpy()
+    order = np.argsort(kept["h"].to_numpy().view(np.uint64))
+    shared = spark.sparkContext.broadcast((unigram, both, kept["h"].to_numpy().view(np.uint64)[order], kept["gain"].to_numpy()[order]))
     names = ["rid", "h", "tf", "doc_id", "held_out", "n_tokens", "n_states", "base", "auto"]
     kinds = [pa.int64()] * 4 + [pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        automaton, digest = shared.value, xxhash.xxh64_intdigest
+        code, (unigram, both, arc, gains) = codes.value, shared.value
+        end = code([END])
         for batch in batches:
-            rows, rid, hashes, times = [], [], [], []
-            for r, doc, held, text in zip(batch.column("rid").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), utf8(batch, "text"), strict=True):
-                tokens = text.lower().split()
-                tokens.append(END)
-                auto, base, known, rare = automaton.score(tokens)
-                # The row of the document itself has a key that spreads it and finds no token.
-                rows.append((r, r * 0x9E3779B97F4A7C15 & (1 << 63) - 1, 0, doc, held, len(tokens), known, base, auto))
-                rid.append(np.full(len(rare), r, np.int64))
-                hashes += [digest(x, SEED) for x in rare]
-                times += rare.values()
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds], names)
-            n = len(hashes)
-            if n:
-                found = [pa.array(np.concatenate(rid)), pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(np.array(times, np.int64))]
-                yield pa.RecordBatch.from_arrays(found + [pa.nulls(n, t) for t in kinds[3:]], names)
+            line, ends = [], []
+            for text in utf8(batch, "text"):
+                line += end
+                line += code(text.lower().split())
+                ends.append(len(line))
+            n = len(ends)
+            if not n:
+                continue
+            ids, sizes = np.array(line + end, np.uint64), np.diff([0, *ends])
+            rid = batch.column("rid").to_numpy()
+            # A text's tokens as histories, its end standing first, are its tokens; each is followed by the next or by the end.
+            doc, first, second = np.repeat(np.arange(n), sizes), ids[:-1], ids[1:]
+            known = (first > 0) & (first < len(unigram))
+            at = np.where(known, first, 0).astype(np.int64)
+            pair = keys(first, second)
+            place = np.minimum(np.searchsorted(arc, pair), max(len(arc) - 1, 0))
+            held = arc[place] == pair if len(arc) else np.zeros(len(pair), bool)
+            base = np.bincount(doc, unigram[at], n)
+            auto = np.bincount(doc, both[at], n) + np.bincount(doc[held], gains[place[held]], n)
+            # The row of the document itself has a key that spreads it and finds nothing.
+            own = [rid, rid.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) & np.uint64((1 << 63) - 1), np.zeros(n, np.int64), batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), sizes, np.bincount(doc[known], minlength=n), base, auto]
+            own[1] = own[1].view(np.int64)
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(own, kinds, strict=True)], names)
+            # Other tokens count above zero, other bigrams below it.
+            for value, chosen, sign in ((first, ~known, 1), (pair, ~held, -1)):
+                h, d = value[chosen], doc[chosen]
+                sort = np.lexsort((h, d))
+                h, d = h[sort], d[sort]
+                starts = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])[: len(h)])
+                times = sign * np.diff(np.append(starts, len(h)))
+                if len(starts):
+                    found = [pa.array(rid[d[starts]]), pa.array(h[starts].view(np.int64)), pa.array(times)]
+                    yield pa.RecordBatch.from_arrays(found + [pa.nulls(len(starts), t) for t in kinds[3:]], names)
 
     rows = arrow_map(numbered(docs.select("doc_id", held_out().alias("held_out"), "text")), work, "rid long, h long, tf long, doc_id long, held_out boolean, n_tokens long, n_states long, base double, auto double")
-    known = rows.join(counts.select("h", "c"), "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    weight = F.col("tf") * F.log10((F.col("c") + 0.5) / F.lit(float(total + 0.5 * (distinct + 1))))
-    own = F.col("n_tokens").isNotNull()
-    out = known.groupBy("rid").agg(
+    tokens = rare.join(rare_histories.select("code", "fail"), "code", "left").select(F.col("code").alias("h"), "c", F.coalesce("fail", F.lit(0.0)).alias("more"))
+    others = arcs.where(F.col("n") < hot_bound).select("h", F.lit(0).cast("long").alias("c"), F.col("gain").alias("more"))
+    met = rows.join(tokens.unionByName(others), "h", "left").withColumn("c", F.coalesce("c", F.lit(0))).withColumn("more", F.coalesce("more", F.lit(0.0)))
+    own, token = F.col("n_tokens").isNotNull(), F.col("tf") > 0
+    weight = F.when(token, F.col("tf") * F.log10(share("c"))).otherwise(0.0)
+    out = met.groupBy("rid").agg(
         F.max("doc_id").alias("doc_id"),
         F.max("held_out").alias("held_out"),
         F.max("n_tokens").alias("n_tokens"),
-        (F.max("n_states") + F.sum(F.when(~own & (F.col("c") > 0), F.col("tf")).otherwise(0))).alias("n_known"),
+        (F.max("n_states") + F.sum(F.when(token & (F.col("c") > 0), F.col("tf")).otherwise(0))).alias("n_known"),
         F.sum(F.when(own, F.col("base")).otherwise(weight)).alias("base_score"),
-        F.sum(F.when(own, F.col("auto")).otherwise(weight)).alias("score"),
+        F.sum(F.when(own, F.col("auto")).otherwise(weight + F.abs("tf") * F.col("more"))).alias("score"),
     )
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")

@@ -264,6 +264,29 @@ def test_lm(docs, none):
     assert {x.train_tokens for x in found} == {total} and lm.score(none).count() == 0
 
 
+@pytest.mark.parametrize("hot", [(lm.HOT_TOKENS, lm.HOT_ARCS), (9, 20), (0, 0)])
+def test_every_repeated_bigram_is_an_arc(spark, docs, tmp_path, hot):
+    r = random.Random(21)
+    # Rare words that follow each other twice, among a word so frequent that no fixed share of all tokens reaches them.
+    rows = texts(docs) + [(k, f"rare{k // 2} pair{k // 2} {prose(r, 9)}") for k in range(1000, 1100)] + [(2000 + k, "ka " * 40_000) for k in range(5)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    tokens = lambda t: [*t.encode().lower().split(), lm.END]
+    train = [tokens(t) for d, t in rows if zlib.crc32(("" if d is None else str(d)).encode()) % 5 != 1]
+    counts = Counter(x for t in train for x in t)
+    pairs = Counter(p for t in train for p in zip([lm.END, *t], t, strict=False))
+    states = sorted(counts.items())
+    number = {x: k + 1 for k, (x, _) in enumerate(states)}
+    arcs = {number[a] * (len(states) + 1) + number[b]: n for (a, b), n in pairs.items() if n > 1}
+    model = lm.Automaton(states, arcs, sum(counts.values()), len(counts))
+
+    def want(t):
+        auto, base, _, rare = model.score(tokens(t))
+        return round(auto + sum(rare.values()) * np.log10(0.5 / model.norm), 5)
+
+    found = lm.score(spark.read.parquet(str(tmp_path / "d")), *hot).collect()
+    assert Counter((x.doc_id, round(x.score, 5) + 0.0) for x in found) == Counter((d, want(t) + 0.0) for d, t in rows)
+
+
 def test_automaton_is_a_distribution():
     states = [(b"a", 50), (b"b", 30), (lm.END, 20)]
     n = len(states) + 1
