@@ -10,11 +10,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doctrail.llm.common import arrow_map, checkpoint, groups, numbered, utf8, without
+from doctrail.llm.common import arrow_map, checkpoint, groups, numbered, stored, utf8, without
 from doctrail.llm.components import components
+from doctrail.llm.tokens import mixed
 
 SEED = 42
 BLOCK = 1 << 16
+#: Documents alike: so many words in a shingle, and the least Jaccard similarity of their sets of shingles.
+SHINGLE, SIMILARITY = 5, 0.8
+#: Minima of a set, and so many of them in a band: of pairs at 0.8, three in a million share no band; above it, fewer.
+BANDS, IN_BAND = 32, 5
+#: Each round compares the classes of a band with one of them; then those still apart meet in pairs.
+ROUNDS = 2
+#: Rows to fetch texts for are broadcast up to so many.
+ASKED = 500_000
+_RANDOM = np.random.Generator(np.random.PCG64(29))
+_FLIPS, _FACTORS = (_RANDOM.integers(0, 1 << 63, (BANDS * IN_BAND, 1), np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+_PLACES = _RANDOM.integers(0, 1 << 63, (BANDS, IN_BAND), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint(text: bytes, shingle: int = 4) -> int:
@@ -184,3 +196,97 @@ def keep_representatives(docs: DataFrame, radius: int = 4) -> DataFrame:
     A stored table is expected, since rows are known by their place in it.
     """
     return without(docs, checkpoint(near_duplicates(docs, radius).where("not representative").select("rid")))
+
+
+def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
+    """Different hashes of the text's runs of ``size`` words, ascending; of all its words where they are fewer."""
+    import xxhash
+
+    words = text.lower().split()
+    digest = xxhash.xxh64_intdigest
+    h = np.array([digest(x, SEED) for x in words], np.uint64)
+    size = min(size, len(h))
+    if not size:
+        return h
+    out = np.zeros(len(h) - size + 1, np.uint64)
+    for k in range(size):
+        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - size + 1 + k])
+    return np.unique(out)
+
+
+def bands(found: np.ndarray) -> np.ndarray:
+    """BANDS numbers, each of IN_BAND minima of a set of shingles; none for an empty set."""
+    if not len(found):
+        return found
+    least = np.full(BANDS * IN_BAND, (1 << 64) - 1, np.uint64)
+    for k in range(0, len(found), 4096):
+        least = np.minimum(least, mixed((found[None, k : k + 4096] ^ _FLIPS) * _FACTORS).min(axis=1))
+    return mixed((least.reshape(BANDS, IN_BAND) * _PLACES).sum(axis=1, dtype=np.uint64))
+
+
+def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """rid, doc_id, representative: one of each group of documents joined by links of at least this Jaccard similarity.
+
+    Documents with the same set are one class. Classes that share a band of
+    minima are candidates; a link is only what the sets themselves confirm. A
+    band's classes are first compared with one of them, in rounds, and then in
+    pairs where no links join them yet, so large groups of near copies cost
+    linear work. Texts without words are one class; the representative has the
+    smallest doc_id (nulls last), then the first row.
+    """
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(x) for x in utf8(batch, "text")]
+            classes = np.array([int(mixed(x).sum(dtype=np.uint64)) ^ len(x) for x in sets], np.uint64)
+            made = pa.array([bands(x).view(np.int64) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id").cast(pa.int64()), pa.array(mixed(classes).view(np.int64)), made], ["rid", "doc_id", "c", "bands"])
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = pa.array([shingles(x).view(np.int64) for x in utf8(batch, "text")], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("c"), sets], ["c", "set"])
+
+    rows = numbered(docs.select("doc_id", "text"))
+    marked = stored(arrow_map(rows, sketch, "rid long, doc_id long, c long, bands array<long>"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
+    classes = checkpoint(marked.groupBy("c").agg(F.min(F.struct(order.alias("first"), "bands")).alias("s")).select("c", "s.first", "s.bands"))
+    ends = classes.select("c", F.posexplode("bands").alias("i", "k"))
+    shared = ends.groupBy("i", "k").agg(F.count("*").alias("m")).where("m > 1").drop("m")
+    ends = stored(ends.join(shared, ["i", "k"]))
+    wanted = checkpoint(ends.select("c").distinct().join(classes, "c").select("c", F.col("first.rid").alias("rid")))
+    met = rows.join(F.broadcast(wanted) if wanted.count() <= ASKED else wanted, "rid").select("c", "text")
+    sets = stored(arrow_map(met, fetch, "c long, set array<long>"))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        u, v = (sets.select(F.col("c").alias(x), F.col("set").alias(f"set_{x}")) for x in "uv")
+        both = pairs.distinct().join(u, "u").join(v, "v")
+        total = F.size("set_u") + F.size("set_v")
+        return both.where((F.least(F.size("set_u"), F.size("set_v")) >= similarity * F.greatest(F.size("set_u"), F.size("set_v")) - 1e-9) & (F.size(F.array_intersect("set_u", "set_v")) >= total * (similarity / (1 + similarity)) - 1e-9)).select("u", "v")
+
+    links, joined = None, None
+    for k in range(ROUNDS + 1):
+        labelled = ends.withColumn("label", F.col("c")) if joined is None else ends.join(joined.select(F.col("u").alias("c"), "v"), "c", "left").select("i", "k", "c", F.coalesce("v", "c").alias("label"))
+        if k < ROUNDS:
+            heads = labelled.groupBy("i", "k").agg(F.min(F.struct(F.xxhash64("c", F.lit(k)).alias("r"), "c", "label")).alias("x"))
+            pairs = labelled.join(heads, ["i", "k"]).where(F.col("label") != F.col("x.label")).select(F.col("c").alias("u"), F.col("x.c").alias("v"))
+        else:
+            # Bands of one group have nothing left to compare.
+            apart = labelled.groupBy("i", "k").agg((F.min("label") < F.max("label")).alias("apart")).where("apart").drop("apart")
+            left = labelled.join(apart, ["i", "k"])
+            a, b = left.alias("a"), left.alias("b")
+            pairs = a.join(b, (F.col("a.i") == F.col("b.i")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.c") < F.col("b.c")) & (F.col("a.label") != F.col("b.label"))).select(F.col("a.c").alias("u"), F.col("b.c").alias("v"))
+        found = checkpoint(confirmed(pairs))
+        links = found if links is None else links.unionByName(found)
+        joined = components(links)
+    roots = joined.select(F.col("v").alias("u"), "v").distinct().unionByName(joined)
+    led = roots.withColumnRenamed("u", "c").join(classes.select("c", "first"), "c")
+    lowest = led.groupBy("v").agg(F.min("first").alias("lowest"))
+    leaders = classes.join(led.join(lowest, "v").select("c", "lowest"), "c", "left").select("c", F.coalesce("lowest", "first").alias("lowest"))
+    out = marked.select("rid", "doc_id", "c").join(leaders, "c")
+    return out.select("rid", "doc_id", (F.col("lowest.rid") == F.col("rid")).alias("representative"))
+
+
+def keep_dissimilar(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` that represent their group of similar documents, with their columns; see ``keep_representatives``."""
+    return without(docs, checkpoint(similar_groups(docs, similarity).where("not representative").select("rid")))

@@ -97,6 +97,42 @@ def test_near_duplicates(docs, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_documents_at_a_similarity_of_0_8_are_found(spark, docs, tmp_path):
+    r = random.Random(31)
+    rows = texts(docs)
+    for k in range(40):
+        base = prose(r, 300)
+        rows += [(5000 + 10 * k + j, varied(r, base, r.randint(2, 8))) for j in range(3)]
+    for j in range(60):
+        rows.append((7000 + j, varied(r, prose(random.Random(77), 200), 3)))
+
+    def shingled(t):
+        w = t.encode().lower().split()
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+    sets = {t: shingled(t) for _, t in rows}
+    group = {t: t for t in sets}
+
+    def root(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    far = 0
+    for a in sets:
+        for b in sets:
+            if a < b and (sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9):
+                far += (neardup.fingerprint(a.encode()) ^ neardup.fingerprint(b.encode())).bit_count() > 4
+                group[root(a)] = root(b)
+    least = {}
+    for d, t in rows:
+        least[root(t)] = min(least.get(root(t), (True, 0)), (d is None, d or 0))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    kept = neardup.keep_dissimilar(spark.read.parquet(str(tmp_path / "d"))).collect()
+    assert far > 40 and Counter((x.doc_id is None, x.doc_id or 0) for x in kept) == Counter(least.values())
+    assert neardup.keep_dissimilar(spark.read.parquet(str(tmp_path / "d")).where("1 = 0")).count() == 0
+
+
 def test_large_shards_are_cut(spark):
     r = random.Random(2)
     values = {((7 << 40) ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64))) for _ in range(120)}
