@@ -21,12 +21,16 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN = frozenset(("article", "main"))
+#: Stands for an open article element that is a comment or a card; no tag has this name.
+CARD = "article "
 #: Words of a class, id or role that mark furniture: adverts, menus, notices, sidebars and reader comments.
 FURNITURE = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs "
     "sidebar aside widget related recommended share sharing social newsletter subscribe signup login cookie cookies consent gdpr notice notices "
     "popup modal alert overlay footer header masthead comment comments respond reply replies disqus complementary contentinfo search pagination pager".split()
 )
+#: Class, id or role of an article element that is a reader's comment or a card, not the page's article.
+ASIDE = re.compile(r"(?:comment|reply|respond|teaser|card|promo|related|recommended|sponsored|ad|advert)s?(?:[-_].*)?", re.IGNORECASE)
 TAG = re.compile(r"<(?:!--(?:.*?-->|>|->|.*)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)(>|$)|[!?/][^>]*(?:>|$))", re.DOTALL)
 MARKS = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?:[\s=]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.IGNORECASE)
@@ -45,17 +49,26 @@ def _furniture(attributes: str) -> bool:
     return False
 
 
-def lines(page: str) -> list[tuple[str, bool, bool]]:
-    """The page's text blocks in order: (text, within an article or main element, whole text of links).
+def _card(attributes: str) -> bool:
+    """Whether an article element is a comment or a card, by a whole name of its class, id or role."""
+    return any(ASIDE.fullmatch(x) for m in MARKS.finditer(attributes) for x in (m[1] or m[2] or m[3] or "").split())
+
+
+def lines(page: str) -> list[tuple[str, int, bool]]:
+    """The page's text blocks in order: (text, its element, whole text of links).
+
+    The element is the number of the outermost article or main element around
+    the block, 0 where there is none and -1 in an article that is a comment or
+    a card.
 
     Markup goes; what stands in furniture is left out. Character references are
     decoded once, and white space inside a block, line breaks included, becomes
     one blank.
     """
-    out: list[tuple[str, bool, bool]] = []
+    out: list[tuple[str, int, bool]] = []
     text: list[str] = []
     stack: list[tuple[str, bool]] = []
-    dropped = main = links = linked = plain = 0
+    dropped = main = cards = element = links = linked = plain = 0
     at, lower = 0, None
 
     def data(x: str) -> None:
@@ -71,7 +84,7 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
     def flush() -> None:
         nonlocal linked, plain
         if text and (block := " ".join("".join(text).split())):
-            out.append((block, main > 0, bool(linked) and not plain))
+            out.append((block, -1 if cards else element if main else 0, bool(linked) and not plain))
         text.clear()
         linked = plain = 0
 
@@ -84,12 +97,13 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
         if m[1]:
             if name in BLOCKS or name in DROPPED:
                 flush()
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
+            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in (name, CARD if name == "article" else name)), None)
             # A stray end tag closes nothing, and one inside furniture does not close what is around it.
             if depth is not None:
                 for gone, drops in stack[depth:]:
                     dropped -= drops
                     main -= gone in MAIN
+                    cards -= gone == CARD
                     links -= gone == "a"
                 del stack[depth:]
             continue
@@ -110,9 +124,13 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
             dropped -= drops
         # A header inside an article holds its title; elsewhere it is the page's.
         drops = (name in DROPPED and not (name == "header" and main)) or (name not in MAIN and name not in ("body", "html") and _furniture(m[3]))
-        stack.append((name, drops))
+        card = name == "article" and _card(m[3])
+        stack.append((CARD if card else name, drops))
         dropped += drops
-        main += name in MAIN
+        cards += card
+        if name in MAIN and not card:
+            element += not main
+            main += 1
         links += name == "a"
     data(page[at:])
     flush()
@@ -144,18 +162,34 @@ def regions(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> lis
 def main_text(page: str) -> str:
     """The article's blocks, joined by an empty line; '' where there are none.
 
-    Where the page marks its article, surge and dive are the first and last
-    line of it, so that short paragraphs stay. Elsewhere lines of links alone
-    count as empty, the regions of the line-block distribution are found, and
-    their lines are kept; a page whose text never surges keeps all its lines
-    but those of links.
+    The regions of the line-block distribution are found on every page, where
+    lines of links alone and those of comments and cards count as empty. Where
+    an article or main element holds most of the text found, its borders are
+    the region's, so that short paragraphs stay; else each region has the
+    borders of the element that holds most of it, and its own where none does.
+    A page whose text never surges is one region.
     """
     found = lines(page)
-    if any(inside for _, inside, _ in found):
-        return "\n\n".join(text for text, inside, _ in found if inside)
-    lengths = [0 if links else len(text) for text, _, links in found]
+    if all(element < 0 or links for _, element, links in found):
+        found = [(text, max(element, 0), links) for text, element, links in found]
+    lengths = [0 if links or element < 0 else len(text) for text, element, links in found]
     spans = regions(lengths) or [(0, len(found))]
-    return "\n\n".join(found[k][0] for a, b in spans for k in range(a, b) if lengths[k])
+
+    def holder(places: list[int]) -> int:
+        held: dict[int, int] = {}
+        for k in places:
+            held[found[k][1]] = held.get(found[k][1], 0) + lengths[k]
+        return next((x for x, n in held.items() if x > 0 and 2 * n > sum(held.values())), 0)
+
+    def bounded(places: list[int], element: int) -> list[int]:
+        return [k for k in range(len(found)) if found[k][1] == element] if element else [k for k in places if lengths[k]]
+
+    regioned = [list(range(a, b)) for a, b in spans]
+    if main := holder([k for places in regioned for k in places]):
+        kept = set(bounded([], main))
+    else:
+        kept = {k for places in regioned for k in bounded(places, holder(places))}
+    return "\n\n".join(found[k][0] for k in sorted(kept))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -264,6 +264,16 @@ def test_html(spark):
     assert html.regions([0, 200, 10, 0, 0, 0, 5, 0, 0, 0, 0, 300]) == [(1, 3), (11, 12)] or html.regions([0, 200, 10, 0, 0, 0]) == [(1, 3)]
 
 
+def test_articles_that_are_cards_do_not_hide_the_text():
+    text = "word " * 60
+    for card in ("<article class='card'><p>Teaser.</p></article>", "<article><p>Other.</p></article>", f"<article class='comment'><p>{text}said</p></article>"):
+        found = html.main_text(f"<body><div><p>{text}one</p><p>{text}two</p></div><p></p>{card}</body>")
+        assert f"{text}one" in found and f"{text}two" in found and "Teaser" not in found and "said" not in found
+    page = f"<p>{text}out</p><article><p>Short.</p><p>{text}</p><p>{text}</p><p>End.</p></article>"
+    assert html.main_text(page) == f"Short.\n\n{text.strip()}\n\n{text.strip()}\n\nEnd."
+    assert html.main_text("<article class='comment'><p>All there is.</p></article>") == "All there is."
+
+
 LANGUAGES = {"en": "the of and to in is that with for was this are", "fr": "le la les des une est dans pour avec sur qui que", "de": "der die und das nicht ein ist mit auf für von dem"}
 
 
