@@ -138,7 +138,7 @@ def kept_lines(docs: DataFrame, similarity: float = SIMILARITY, least: int = LEA
     # Classes with a run of words alike: each is compared with the first such class, so
     # that a large group of near copies is settled in linear work.
     order = F.struct(*LINE, "n")
-    keys = F.array_compact(F.array(*[F.when(F.col("n") >= 3 * ENDS * (k > 1), F.col(f"run{at}").cast("long") + (k << 32)) for k, at in enumerate(RUNS)]))
+    keys = F.array_compact(F.array(*[F.when(F.col("n") >= (3 * ENDS if k > 1 else ENDS * k), F.col(f"run{at}").cast("long") + (k << 32)) for k, at in enumerate(RUNS)]))
     ends = classes.select(*LINE, "n", F.explode(keys).alias("k")).repartition("k")
     heads = ends.groupBy("k").agg(F.min(order).alias("x"), F.count("*").alias("m")).where("m > 1").drop("m")
     close = F.bit_count(F.col("sig").bitwiseXOR(F.col("x.sig"))) <= F.col("n") + F.col("x.n") - 2 * _need(F.col("n") + F.col("x.n"), similarity)

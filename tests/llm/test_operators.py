@@ -70,6 +70,19 @@ def test_line_dedup(docs, none):
     assert linededup.dedup_lines(none).count() == 0
 
 
+def test_short_lines_are_compared_too(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(41)
+    rows = [(k, "\n".join(prose(r, r.randint(0, 7)) for _ in range(4)) + "\nRead more\nka lo mi ne" + (" su" if k % 2 else "")) for k in range(60)]
+    lines = sorted((d, k, frozenset(x.lower().split())) for d, t in rows for k, x in enumerate(t.split("\n")))
+    gone = {(d, k) for i, (d, k, s) in enumerate(lines) if s and any(o and len(s & o) >= 0.8 * len(s | o) - 1e-9 for _, _, o in lines[:i])}
+    want = {d: "\n".join(x for k, x in enumerate(t.split("\n")) if (d, k) not in gone) for d, t in rows}
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    found = corpus_pipeline.line_dedup(spark, spark.read.parquet(str(tmp_path / "d")), "")
+    assert {x.doc_id: x.text for x in found.collect()} == want and len(gone) > 100
+
+
 def test_near_duplicates(docs, none):
     rows = texts(docs)
     ids = {t: neardup.fingerprint(t.encode()) for _, t in rows}
