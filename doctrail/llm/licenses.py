@@ -32,6 +32,8 @@ NOTICES = {
     "eclipse public license version 2 0": "epl-2",
     "all rights reserved": "all-rights-reserved",
 }
+#: Words that tell notices apart, besides the one after "version": they are matched without errors.
+TELLING = frozenset(("mit", "nc", "sa"))
 FOUND = (
     "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, "
     "spans array<struct<label: string, word: bigint, words: bigint, errors: int>>"
@@ -50,6 +52,12 @@ def seeds(notice: str) -> list[tuple[str, int]]:
     return [(notice[a:b], a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def telling(notice: str) -> set[str]:
+    """The words of a notice in which no error is allowed."""
+    words = notice.split()
+    return {b for a, b in zip(["", *words], words, strict=False) if b in TELLING or a == "version"}
+
+
 class Finder:
     """Finds notices in texts of words joined by single blanks (as Latin-1 strings)."""
 
@@ -58,6 +66,7 @@ class Finder:
         import regex
 
         self.notices = list(notices.items())
+        self.telling = [telling(x) for x, _ in self.notices]
         self.allowed = [errors_allowed(x) for x, _ in self.notices]
         self.exact = [regex.compile(rf"(?b)(?:{regex.escape(x, special_only=True)}){{e<={k}}}") for (x, _), k in zip(self.notices, self.allowed, strict=True)]
         where: dict[str, list[tuple[int, int]]] = {}
@@ -75,18 +84,35 @@ class Finder:
         return sorted(out)
 
     def __call__(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(notice, start, end, errors) of each verified place; one for places of a notice that overlap, that with the fewest errors."""
+        """(notice, start, end, errors) of each verified place.
+
+        Of places of a notice that overlap, that with the fewest errors stays;
+        of those of a label, the longest; then of all, that with the fewest
+        errors, and of equals the longest.
+        """
         found: list[tuple[int, int, int, int]] = []
         for i, at in self.candidates(text):
             k, n = self.allowed[i], len(self.notices[i][0])
             low = max(0, at - k)
             if m := self.exact[i].search(text, low, at + n + k):
+                if self.telling[i] and not self.telling[i] <= set(text[text.rfind(" ", 0, m.start() + 1) + 1 : text.find(" ", m.end() - 1) if " " in text[m.end() - 1 :] else len(text)].split()):
+                    continue
                 hit = (i, m.start(), m.end(), sum(m.fuzzy_counts))
                 if found and found[-1][0] == i and hit[1] < found[-1][2]:
                     found[-1] = min(found[-1], hit, key=lambda x: (x[3], x[1]))
                 else:
                     found.append(hit)
-        return found
+        label = lambda x: self.notices[x[0]][1]
+        apart = lambda x, y: x[2] <= y[1] or y[2] <= x[1]
+        whole: list[tuple[int, int, int, int]] = []
+        for hit in sorted(found, key=lambda x: (x[1] - x[2], x[3])):
+            if all(label(hit) != label(y) or apart(hit, y) for y in whole):
+                whole.append(hit)
+        out: list[tuple[int, int, int, int]] = []
+        for hit in sorted(whole, key=lambda x: (x[3], x[1] - x[2])):
+            if all(apart(hit, y) for y in out):
+                out.append(hit)
+        return sorted(out)
 
 
 def scan(docs: DataFrame, notices: dict[str, str] | None = None, base: dict[str, str] | None = None) -> DataFrame:
@@ -101,7 +127,8 @@ def scan(docs: DataFrame, notices: dict[str, str] | None = None, base: dict[str,
     notices, base = NOTICES if notices is None else notices, BASE if base is None else base
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, phrases = Finder(notices), [(f" {x} ".encode(), label) for x, label in base.items()]
+        # Base phrases are found with errors too, those long enough for any.
+        find, phrases = Finder({x: label for x, label in base.items() if errors_allowed(x)} | notices), [(f" {x} ".encode(), label) for x, label in base.items()]
         kinds = [pa.field(x.split()[0], pa.int64()) for x in FOUND.split(", ")[:5]] + [pa.field("base_labels", pa.string()), pa.field("labels", pa.string()), pa.field("score", pa.float64())]
         kinds.append(pa.field("spans", pa.list_(pa.struct([("label", pa.string()), ("word", pa.int64()), ("words", pa.int64()), ("errors", pa.int32())]))))
         for batch in batches:

@@ -198,6 +198,13 @@ def test_licences(docs, none):
         assert any(licenses.NOTICES[list(licenses.NOTICES)[i]] == label and e == 0 for i, _, _, e in hits)
 
 
+def test_each_notice_has_its_own_label(spark):
+    cases = ["Licensed under CC BY-NC 4.0", "GNU General Public License, version 3", "This code is under the MIT Licence", "Apache Licence, version 2", "released under the BSD license", "GNU General Public License, version 4", "GNU Lesser General Public License version 3", "Mozilla Public License, version 2", "Apache License, version 22"]
+    want = ["cc-by-nc", "gpl-3", "mit", "apache-2", "", "", "lgpl", "mpl-2", ""]
+    found = licenses.scan(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).collect()
+    assert [x.labels for x in sorted(found)] == want
+
+
 def test_packing_is_whole(docs, none):
     from tokenizers import Tokenizer
 
