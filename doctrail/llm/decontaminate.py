@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from doctrail.llm.common import small_batches, utf8
 from doctrail.llm.tokens import batch_hashes, mixed, word_hashes
 
-#: Fixed masks: a 0 is a word that may differ.
-MASKS = ("110010111", "1011011001", "111001011")
+#: Fixed masks: a 0 is a word that may differ. Any 10 words or more of which at most a fifth differ hold three unchanged in
+#: a row, so the last mask alone misses no overlap of them.
+MASKS = ("110010111", "1011011001", "111001011", "111")
 SIMILARITY, LEAST_WORDS = 0.8, 13
 #: Bytes of benchmark text that one broadcast holds; a larger benchmark is worked off in blocks.
 BLOCK_BYTES = 16 << 20
@@ -59,11 +60,12 @@ class Seeds:
         self.words = [np.frombuffer(x, np.uint64) for x in words]
         self.items = list(words.values())
         short = {len(x) for x in self.words if len(x) < max(map(len, MASKS))}
-        self.masks = [*MASKS, *("1" * n for n in sorted(short))]
+        longest_mask = max(map(len, MASKS))
+        self.masks = list(dict.fromkeys([*MASKS, *("1" * n for n in sorted(short))]))
         parts = []
         for mask in self.masks:
             for k, h in enumerate(self.words):
-                if mask in MASKS or len(h) == len(mask):
+                if mask in MASKS and (len(h) >= longest_mask or mask != MASKS[-1]) or len(h) == len(mask):
                     s = spaced(h, mask)
                     parts.append((s, np.full(len(s), k), np.arange(len(s))))
         hashes, which, place = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 2)

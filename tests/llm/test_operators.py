@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -382,6 +383,12 @@ def test_decontamination(spark, docs, none):
     assert len(blocks) > 1 and sum(len(b.items) for b in blocks) == 4
 
 
+def test_masks_hit_every_pattern():
+    for n in range(10, 22):
+        for wrong in combinations(range(n), n // 5):
+            assert any(all(i + k not in wrong for k, x in enumerate(m) if x == "1") for m in decontaminate.MASKS for i in range(n - len(m) + 1)), (n, wrong)
+
+
 def test_longest_stretch():
     r = random.Random(6)
     for _ in range(60):
