@@ -11,28 +11,29 @@ before the sets themselves are compared.
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from doctrail.llm.common import checkpoint, stored
 
-SIMILARITY, LEAST = 0.8, 5
+SIMILARITY, LEAST = 0.8, 1
 #: Words are counted in so many cells: a fixed size, whatever the corpus.
 CELL_BITS = 18
 CELLS = 1 << CELL_BITS
-#: Lines that share a run of so many words, from one of these places on, are compared with the first of them before the
-#: join; short lines at their ends alone.
-ENDS = 4
-RUNS = (1, -4, 5, -8, 9)
+#: Lines with a key alike (their least and greatest hash, or their first RUN words) are compared with
+#: the closest of the first HEADS of them before the join.
+RUN, HEADS = 4, 16
+#: Signatures of lines with more words have twice the cells.
+LONG = 32
+#: A line has a signature of its words from place 0 on, and from (2 << k) - 2 on for k to this one.
+STEPS = 4
 LOWEST = -(1 << 63)
-#: Lines to be compared are broadcast to the scan of the texts up to so many; more meet them in a shuffle.
+#: Lines to be compared, and keys, are broadcast up to so many; more meet in a shuffle.
 ASKED = 500_000
 #: The positions that stay are broadcast to the texts up to so many, in lists of up to ASKED documents.
 PLACES = 4_000_000
-#: Added to the places of a settled line's words: more words than any line has.
-SETTLED = 1 << 30
+#: A posting's number: the line's words, the place, whether the line is settled, and the signature's step.
+WORDS, PLACE, SETTLED, STEP = 32, 4, 8, 7
 
 
 #: White space within a line besides the blank.
@@ -40,16 +41,17 @@ BLANKS = "\t\x0b\f\r"
 
 
 def _words(line: Column) -> Column:
-    """Lower-cased words; a split on one character is a plain search, so other white space becomes blanks where there is any."""
+    """Lower-cased words, and empty ones; a split on one character is a plain search, so other white space becomes blanks where there is any."""
     other = F.lit(False)
-    for x in BLANKS + "\n":
+    for x in BLANKS:
         other = other | line.contains(x)
-    plain = F.when(other, F.translate(line, BLANKS + "\n", " " * (len(BLANKS) + 1))).otherwise(line)
-    return F.array_remove(F.split(F.lower(plain), " "), "")
+    plain = F.when(other, F.translate(line, BLANKS, " " * len(BLANKS))).otherwise(line)
+    return F.split(F.lower(plain), " ")
 
 
 def _hashes(line: Column) -> Column:
-    return F.transform(_words(line), lambda w: F.xxhash64(w))
+    """Hashes of the different words, by their first places; the empty word's is taken out, as longs are cheaper to compare."""
+    return F.array_remove(F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
 def _cell(h: Column) -> Column:
@@ -58,7 +60,7 @@ def _cell(h: Column) -> Column:
 
 def rarity(texts: DataFrame) -> DataFrame:
     """One row: an array with the rank of each cell, rarest first, as the high bits of a word."""
-    words = texts.select(F.explode(_words(F.col("text"))).alias("w"))
+    words = texts.select(F.explode(_words(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("w"))
     counts = words.select(_cell(F.xxhash64("w")).alias("cell")).groupBy("cell").count()
     every = texts.sparkSession.range(CELLS).select(F.col("id").cast("int").alias("cell")).join(counts, "cell", "left").select("cell", F.coalesce("count", F.lit(0)).alias("count"))
     by_count = F.sort_array(F.collect_list(F.struct("count", "cell")))
@@ -68,8 +70,22 @@ def rarity(texts: DataFrame) -> DataFrame:
 
 
 def _ordered(hashes: Column, ranks: Column) -> Column:
-    """Different words as longs in order of rarity: the cell's rank, then the other bits; no two words' hashes become one."""
-    return F.sort_array(F.transform(F.array_distinct(hashes), lambda h: F.get(ranks, _cell(h)).bitwiseOR(F.shiftrightunsigned(h, CELL_BITS))))
+    """Words as longs in order of rarity: the cell's rank, then the other bits; no two words' hashes become one.
+
+    The rank is declared never null, so that the sort is one of plain longs.
+    """
+    rank = lambda h: F.coalesce(F.get(ranks, _cell(h)), F.lit(0).cast("long"))
+    return F.sort_array(F.transform(hashes, lambda h: rank(h).bitwiseOR(F.shiftrightunsigned(h, CELL_BITS))))
+
+
+def _tag(word: Column) -> Column:
+    """31 bits of a word's hash: the word itself in the join, and its cell in the signatures."""
+    return F.shiftrightunsigned(word, 33).cast("int")
+
+
+def _bit(tag: Column, unit: Column) -> Column:
+    """The tag's cell, its low six bits, as a shift takes no others."""
+    return F.call_function("shiftleft", unit, tag)
 
 
 def _signature(words: Column, half: bool = False) -> Column:
@@ -79,8 +95,21 @@ def _signature(words: Column, half: bool = False) -> Column:
     more bits than the sets in words. The half's signature and the rest's make
     one of 128 cells, which tells longer lines apart.
     """
-    unit = (lambda w: F.shiftrightunsigned(w, 12).bitwiseAND(F.lit(1))) if half else (lambda w: F.lit(1).cast("long"))
-    return F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", unit(w), w.bitwiseAND(F.lit(63)).cast("int"))))
+    unit = (lambda w: F.shiftrightunsigned(w, 39).bitwiseAND(F.lit(1))) if half else (lambda w: F.lit(1).cast("long"))
+    return F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(_bit(_tag(w), unit(w))))
+
+
+def _parity(tags: Column, half: bool) -> Column:
+    """The same of tags."""
+    unit = (lambda p: F.shiftrightunsigned(p, 6).bitwiseAND(F.lit(1)).cast("long")) if half else (lambda p: F.lit(1).cast("long"))
+    return F.aggregate(tags, F.lit(0).cast("long"), lambda a, p: a.bitwiseXOR(_bit(p, unit(p))))
+
+
+def _apart(a: str, b: str, na: Column, nb: Column) -> Column:
+    """Bits in which the signatures (sig and, for long lines, half) of two lines differ: at most the words in which they do."""
+    whole = F.col(f"{a}sig").bitwiseXOR(F.col(f"{b}sig"))
+    half = F.when((na > LONG) & (nb > LONG), F.col(f"{a}half").bitwiseXOR(F.col(f"{b}half"))).otherwise(F.lit(0).cast("long"))
+    return F.bit_count(whole.bitwiseXOR(half)) + F.bit_count(half)
 
 
 def _need(n: Column, similarity: float) -> Column:
@@ -89,32 +118,33 @@ def _need(n: Column, similarity: float) -> Column:
 
 
 def _sets(lines: DataFrame, ranks: Column, keep: list[str], least: int) -> DataFrame:
-    """``keep``, hashes (the words in their order) and words (ordered by rarity) of lines with enough words.
+    """``keep``, hashes (of the words in their order) and words (ordered by rarity) of lines with enough words.
 
     A generator, unlike a projection or filter, is not merged with its
     neighbours, so that no array is computed twice; the ranks, a scalar
     subquery, are read within one projection and never copied into rows.
     """
-    enough = F.filter(F.array(_hashes(F.col("line"))), lambda h: F.size(h) >= least)
-    hashed = lines.select(*keep, F.explode(enough).alias("hashes"))
+    enough = lambda words: F.explode(F.filter(F.array(words), lambda w: F.size(w) >= least))
+    hashed = lines.select(*keep, _hashes(F.col("line")).alias("hashes")).select(*keep, enough(F.col("hashes")).alias("hashes"))
     sets = hashed.withColumn("ranks", ranks).select(*keep, "hashes", _ordered(F.col("hashes"), F.col("ranks")).alias("words"))
-    return sets.select(*keep, "hashes", F.explode(F.filter(F.array("words"), lambda w: F.size(w) >= least)).alias("words"))
+    return sets.select(*keep, "hashes", enough(F.col("words")).alias("words"))
+
+
+#: What tells a line: its document, its place, and its words for documents of one id.
+LINE = ["did", "pos", "id"]
 
 
-LINE = ["did", "pos", "sig"]
+def _meet(rows: DataFrame, few: DataFrame, on: list[str] | str, how: str = "inner") -> DataFrame:
+    """A join with a checkpointed table, which is broadcast where its counted rows are few."""
+    return rows.join(F.broadcast(few) if few.count() <= ASKED else few, on, how)
 
 
-def _similar(pairs: DataFrame, classes: DataFrame, keyed: DataFrame, ranks: Column, similarity: float, least: int) -> DataFrame:
-    """Of pairs of lines (y_..., x_... with did, pos, sig), the y whose sets are similar: did, pos, sig."""
+def _similar(pairs: DataFrame, classes: DataFrame, lines: DataFrame, ranks: Column, similarity: float, least: int) -> DataFrame:
+    """Of pairs of lines (y_..., x_... with did, pos, id), the y whose sets are similar: did, pos, id."""
     y, x = (F.struct(*[F.col(f"{s}_{c}").alias(c) for c in LINE]) for s in "yx")
     wanted = checkpoint(pairs.select(F.explode(F.array(y, x)).alias("l")).select("l.*").distinct())
-    few = wanted.count() <= ASKED
-    placed = classes.select("dh", *LINE).join(F.broadcast(wanted) if few else wanted, LINE)
-    asked = placed.groupBy("did", "dh").agg(F.collect_list(F.struct("pos", "sig")).alias("wanted"))
-    found = keyed.join(F.broadcast(asked) if few else asked, ["did", "dh"])
-    line = lambda p: F.struct(p["pos"].alias("pos"), p["sig"].alias("sig"), F.get(F.split("text", "\n"), p["pos"]).alias("line"))
-    found = found.select("did", F.explode(F.transform("wanted", line)).alias("l")).select("did", "l.*")
-    sets = _sets(found, ranks, LINE, least).drop("hashes").dropDuplicates(LINE)
+    asked = checkpoint(_meet(classes.select("dh", *LINE), wanted, LINE))
+    sets = _sets(_meet(lines, asked, ["did", "dh", "pos"]), ranks, LINE, least).drop("hashes").dropDuplicates(LINE)
     left = pairs.join(sets.select(*[F.col(c).alias(f"y_{c}") for c in LINE], F.col("words").alias("y_words")), [f"y_{c}" for c in LINE])
     both = left.join(sets.select(*[F.col(c).alias(f"x_{c}") for c in LINE], F.col("words").alias("x_words")), [f"x_{c}" for c in LINE])
     shared = F.size(F.array_intersect("y_words", "x_words"))
@@ -122,6 +152,24 @@ def _similar(pairs: DataFrame, classes: DataFrame, keyed: DataFrame, ranks: Colu
     return good.select(*[F.col(f"y_{c}").alias(c) for c in LINE]).distinct()
 
 
+def _led(classes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (y_..., x_...) of a line and the closest of the first lines that have a key in common with it, where it may be similar."""
+    keys = F.array(*[F.when(F.col("n") > RUN, F.col(f"key{i}").cast("long") + (i << 32)) for i in range(2)])
+    ends = classes.select(*LINE, "sig", "half", "n", F.explode(F.array_compact(keys)).alias("k"))
+    shared = checkpoint(ends.groupBy("k").count().where("count > 1").select("k"))
+    ends = stored(_meet(ends, shared, "k"))
+    # Only the first few of a key leave each task, however many lines have it.
+    first = ends.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy(*LINE))).where(F.col("r") <= HEADS)
+    heads = checkpoint(first.select("k", *[F.col(c).alias(f"x_{c}") for c in (*LINE, "sig", "half", "n")]))
+    met = _meet(ends.select("k", *[F.col(c).alias(f"y_{c}") for c in (*LINE, "sig", "half", "n")]), heads, "k")
+    total, apart = F.col("y_n") + F.col("x_n"), _apart("y_", "x_", F.col("y_n"), F.col("x_n"))
+    later = F.struct(*[f"y_{c}" for c in LINE]) > F.struct(*[f"x_{c}" for c in LINE])
+    sized = F.least("y_n", "x_n") >= F.greatest("y_n", "x_n") * similarity - 1e-9
+    close = met.where(later & sized & (apart <= total - 2 * _need(total, similarity)))
+    best = close.groupBy(*[f"y_{c}" for c in LINE]).agg(F.min(F.struct((apart / total).alias("apart"), *[f"x_{c}" for c in LINE])).alias("x"))
+    return best.select(*[f"y_{c}" for c in LINE], *[f"x.x_{c}" for c in LINE])
+
+
 def kept_lines(docs: DataFrame, similarity: float = SIMILARITY, least: int = LEAST) -> DataFrame:
     """did, dh, kept: by document (its id, null as the lowest long, and its text's hash) the positions of its compared lines that stay."""
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("did"), F.coalesce("text", F.lit("")).alias("text")).select("did", F.xxhash64("text").alias("dh"), "text")
@@ -129,51 +177,48 @@ def kept_lines(docs: DataFrame, similarity: float = SIMILARITY, least: int = LEA
     lines = keyed.select("did", "dh", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     sets = _sets(lines, ranks, ["did", "dh", "pos"], least)
     n = F.size("words")
-    prefix = F.transform(F.slice("words", F.lit(1), (n - F.ceil(n * similarity - 1e-9) + 1).cast("int")), lambda w: F.hash(w))
-    runs = [F.hash(F.slice("hashes", at, ENDS)).alias(f"run{at}") for at in RUNS]
-    first = F.struct("did", "pos", "dh", _signature(F.col("words")).alias("sig"), _signature(F.col("words"), True).alias("half"), prefix.alias("prefix"), *runs)
+    prefix = F.transform(F.slice("words", F.lit(1), (n - F.ceil(n * similarity - 1e-9) + 1).cast("int")), _tag)
+    keys = [F.hash(F.array_min("hashes"), F.array_max("hashes")), F.hash(F.slice("hashes", 1, RUN))]
+    half = F.when(n > LONG, _signature(F.col("words"), True)).otherwise(F.lit(0).cast("long"))
+    first = F.struct("did", "pos", F.xxhash64("words").alias("id"), "dh", _signature(F.col("words")).alias("sig"), half.alias("half"), prefix.alias("prefix"), *[k.alias(f"key{i}") for i, k in enumerate(keys)])
     # Lines with the same set are one class, led by the first of them; partial minima meet in the shuffle.
     classes = stored(sets.select(F.xxhash64("words").alias("c"), n.alias("n"), first.alias("f")).groupBy("c", "n").agg(F.min("f").alias("f")).select("n", "f.*"))
 
-    # Classes with a run of words alike: each is compared with the first such class, so
-    # that a large group of near copies is settled in linear work.
-    order = F.struct(*LINE, "n")
-    keys = F.array_compact(F.array(*[F.when(F.col("n") >= (3 * ENDS if k > 1 else ENDS * k), F.col(f"run{at}").cast("long") + (k << 32)) for k, at in enumerate(RUNS)]))
-    ends = classes.select(*LINE, "n", F.explode(keys).alias("k")).repartition("k")
-    heads = ends.groupBy("k").agg(F.min(order).alias("x"), F.count("*").alias("m")).where("m > 1").drop("m")
-    close = F.bit_count(F.col("sig").bitwiseXOR(F.col("x.sig"))) <= F.col("n") + F.col("x.n") - 2 * _need(F.col("n") + F.col("x.n"), similarity)
-    led = ends.join(heads, "k").where((order > F.col("x")) & close)
-    led = checkpoint(led.select(*[F.col(c).alias(f"y_{c}") for c in LINE], *[F.col(f"x.{c}").alias(f"x_{c}") for c in LINE]).distinct())
-    settled = checkpoint(_similar(led, classes, keyed, ranks, similarity, least))
-
-    # The join: every class is looked up by its prefix; only classes not settled look for an earlier one.
-    # Both sides are one exchange, as a settled line's places lie so far back that no position passes.
-    few = settled.count() <= ASKED
-    marked = settled.withColumn("settled", F.lit(SETTLED))
-    open_ = classes.select("n", "prefix", "half", *LINE).join(F.broadcast(marked) if few else marked, LINE, "left")
-    postings = open_.select(*LINE, "half", "n", F.coalesce("settled", F.lit(0)).alias("back"), F.posexplode("prefix").alias("i", "w"))
-    postings = postings.select(*LINE, "half", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR((F.col("back") + F.col("i")).cast("long")).alias("ni"), "w")
+    # Most lines of a large group of near copies are settled in linear work, by one comparison each.
+    settled = checkpoint(_similar(checkpoint(_led(classes, similarity)), classes, lines, ranks, similarity, least))
+
+    # The join: every class is looked up by its prefix; only classes not settled look for an earlier one. A similar pair
+    # passes at its first common word: all words before it differ, so the signatures from there on differ little. Both
+    # sides are one exchange, as the condition tells settled lines.
+    open_ = _meet(classes.select("n", "prefix", "sig", "half", *LINE), checkpoint(settled.withColumn("settled", F.lit(SETTLED))), LINE, "left")
+    cut = lambda k, half: _parity(F.slice("prefix", (2 << k) - 1, 2 << k), half)
+    cuts = [cut(k, False).alias(f"sig{k}") for k in range(STEPS)] + [F.when(F.col("n") > LONG, cut(k, True)).otherwise(F.lit(0).cast("long")).alias(f"half{k}") for k in range(STEPS)]
+    postings = open_.select("*", *cuts).select("*", F.posexplode("prefix").alias("i", "w"))
+    reached = [F.col("i") >= (4 << k) - 2 for k in range(STEPS)]
+
+    def from_step(name: str) -> Column:
+        out = F.col(name)
+        for k in range(STEPS):
+            out = out.bitwiseXOR(F.when(reached[k], F.col(f"{name}{k}")).otherwise(F.lit(0).cast("long")))
+        return out.alias(name)
+
+    step = sum((x.cast("long") for x in reached), F.coalesce("settled", F.lit(0)))
+    number = F.shiftleft(F.col("n").cast("long"), WORDS).bitwiseOR(F.shiftleft(F.col("i").cast("long"), PLACE)).bitwiseOR(step)
+    postings = postings.select(*LINE, from_step("sig"), from_step("half"), number.alias("number"), "w")
     y, x = postings.alias("y"), postings.alias("x")
-    yn, xn = (F.shiftright(f"{s}.ni", 32) for s in "yx")
-    yi, xi = F.col("y.ni").bitwiseAND(F.lit(0xFFFFFFFF)), F.col("x.ni").bitwiseAND(F.lit(SETTLED - 1))
-    total = yn + xn
-    later = (F.col("y.did") > F.col("x.did")) | ((F.col("y.did") == F.col("x.did")) & (F.struct("y.pos", "y.sig") > F.struct("x.pos", "x.sig")))
-    other = F.col("y.half").bitwiseXOR(F.col("x.half"))
-    apart = F.bit_count(F.col("y.sig").bitwiseXOR(F.col("x.sig")).bitwiseXOR(other)) + F.bit_count(other)
-    near = apart <= total - 2 * _need(total, similarity)
-    pairs = y.join(
-        x,
-        (F.col("y.w") == F.col("x.w"))
-        & later
-        & (F.least(yn, xn) >= F.greatest(yn, xn) * similarity - 1e-9)
-        & (F.least(yn - yi, xn - xi) + F.least(yi, xi) >= _need(total, similarity))
-        & near,
-    )
+    yn, xn = (F.shiftright(f"{s}.number", WORDS) for s in "yx")
+    yi, xi = (F.shiftright(F.col(f"{s}.number").bitwiseAND(F.lit((1 << WORDS) - 1)), PLACE) for s in "yx")
+    steps = [F.call_function("shiftleft", F.lit(2).cast("long"), F.col(f"{s}.number").bitwiseAND(F.lit(STEP)).cast("int")) for s in "yx"]
+    later = (F.col("y.did") > F.col("x.did")) | ((F.col("y.did") == F.col("x.did")) & (F.struct("y.pos", "y.id") > F.struct("x.pos", "x.id")))
+    open_y = F.col("y.number").bitwiseAND(F.lit(SETTLED)) <= F.col("x.number").bitwiseAND(F.lit(0))
+    left = F.least(yn - yi, xn - xi) * ((1 + similarity) / similarity) >= yn + xn - 1e-9
+    near = steps[0] + steps[1] - 4 + _apart("y.", "x.", yn, xn) <= (yn + xn) * ((1 - similarity) / (1 + similarity)) + 1e-9
+    pairs = y.join(x, (F.col("y.w") == F.col("x.w")) & open_y & later & left & near)
     pairs = checkpoint(pairs.select(*[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "yx" for c in LINE]).distinct())
-    late = checkpoint(_similar(pairs, classes, keyed, ranks, similarity, least))
+    late = _similar(pairs, classes, lines, ranks, similarity, least)
 
-    gone = settled.unionByName(late)
-    kept = classes.select("dh", *LINE).join(F.broadcast(gone) if gone.count() <= ASKED else gone, LINE, "left_anti")
+    gone = checkpoint(settled.unionByName(late))
+    kept = _meet(classes.select("dh", *LINE), gone, LINE, "left_anti")
     return kept.groupBy("did", "dh").agg(F.collect_list("pos").alias("kept"))
 
 
@@ -191,12 +236,11 @@ def cut_lines(docs: DataFrame, similarity: float = SIMILARITY, least: int = LEAS
     text = F.coalesce("text", F.lit(""))
     named = docs.select(F.struct(*[docs[x] for x in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("did"), F.xxhash64(text).alias("dh"), F.split(text, "\n").alias("lines"))
     met = named.join(kept, ["did", "dh"], "left")
-    firsts = F.coalesce("kept", F.array().cast("array<int>"))
-
-    def stays(line: Column, pos: Column) -> Column:
-        return F.array_contains(firsts, pos) | (F.size(F.array_distinct(_words(line))) < least)
-
-    left = met.withColumn("left", F.filter("lines", stays))
+    # Places are put together and looked up, so that a document of many lines costs linear work.
+    few = (lambda line: F.btrim(line, F.lit(" " + BLANKS)) == "") if least == 1 else (lambda line: F.size(_hashes(line)) < least)
+    other = F.filter(F.transform("lines", lambda line, pos: F.when(few(line), pos)), lambda pos: pos.isNotNull())
+    places = F.sort_array(F.concat(F.coalesce("kept", F.array().cast("array<int>")), other))
+    left = met.withColumn("left", F.transform(places, lambda pos: F.get("lines", pos)))
     return left.select("row", F.array_join("left", "\n").alias("text"), F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("left")).cast("long").alias("n_removed"))
 
 

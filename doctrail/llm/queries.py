@@ -21,6 +21,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of one word or more are compared; lines without words stay."""
     found = linededup.cut_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("row.doc_id", "n_lines", "n_removed", "text")
 
@@ -75,7 +76,7 @@ WITH lines AS (
 ), sets AS (
   SELECT doc_id, pos, line, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(line), '[ \t\n\x0B\f\r]+'), lambda w: w <> ''))) AS words FROM lines
 ), classes AS (
-  SELECT words, len(words) AS n, min((doc_id, pos)) AS first, row_number() OVER () AS id FROM sets WHERE len(words) >= 5 GROUP BY words
+  SELECT words, len(words) AS n, min((doc_id, pos)) AS first, row_number() OVER () AS id FROM sets WHERE len(words) >= 1 GROUP BY words
 ), words AS (SELECT id, n, first, unnest(words) AS w FROM classes
 ), freq AS (SELECT w, count(*) AS c FROM words GROUP BY w
 ), ranked AS (
@@ -87,8 +88,8 @@ WITH lines AS (
   SELECT DISTINCT y FROM pairs JOIN classes a ON a.id = y JOIN classes b ON b.id = x
   WHERE len(list_intersect(a.words, b.words)) >= 0.8 * (a.n + b.n - len(list_intersect(a.words, b.words))) - 1e-9
 ), kept AS (
-  SELECT s.doc_id, s.pos, s.line, len(s.words) < 5 OR (c.first = (s.doc_id, s.pos) AND c.id NOT IN (SELECT y FROM late)) AS stays
-  FROM sets s LEFT JOIN classes c ON c.words = s.words AND len(s.words) >= 5
+  SELECT s.doc_id, s.pos, s.line, len(s.words) < 1 OR (c.first = (s.doc_id, s.pos) AND c.id NOT IN (SELECT y FROM late)) AS stays
+  FROM sets s LEFT JOIN classes c ON c.words = s.words AND len(s.words) >= 1
 )
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (stays), '') AS text
 FROM kept GROUP BY doc_id
