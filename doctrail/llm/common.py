@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch: whole texts travel in them, so a batch stays small.
-BATCH_ROWS = 512
+#: Rows in an Arrow batch, and bytes of a batch that is worked on at once: whole texts travel in them.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,15 +43,51 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def without(docs: DataFrame, gone: DataFrame, most: int = 500_000) -> DataFrame:
-    """``docs`` without the rows whose number (see ``numbered``) is in ``gone``, a stored table of the one long column rid.
+#: Files of one table, and rows of one file, that a row's number has room for: 2 ** 23 and 2 ** 40.
+ROW_BITS = 40
 
-    Up to ``most`` numbers are broadcast, so that texts stay where they are;
-    more are joined by a shuffle, to the same result. The row travels as one
-    struct, so no column of it can clash with the number.
+
+class Rows:
+    """The rows of a table with a number of their own, the same in every scan.
+
+    A number is the place of the row's file among the table's files, by path,
+    and the row's place in the file. Neither depends on how a scan is split, so
+    numbers from different jobs, sessions and sets of executors are the same.
+    A table that is no plain scan of files is written to the shared folder
+    first. Only paths reach the driver, and go back as a broadcast.
     """
-    rows = docs.select(F.struct(*[docs[x] for x in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("rid"))
-    return rows.join(F.broadcast(gone) if gone.count() <= most else gone, "rid", "left_anti").select("row.*")
+
+    def __init__(self, docs: DataFrame):
+        self.docs = docs if self._of_files(docs) else stored(docs)
+        found = self.docs.select(self.docs.metadataColumn("_metadata")["file_path"].alias("file")).distinct().collect()
+        files = sorted(x.file for x in found)
+        self.files = docs.sparkSession.createDataFrame([(x, k << ROW_BITS) for k, x in enumerate(files)], "`its file` string, base long")
+
+    @staticmethod
+    def _of_files(docs: DataFrame) -> bool:
+        plan = docs._jdf.queryExecution().analyzed()
+        while plan.nodeName() in ("Project", "SubqueryAlias") and plan.children().size() == 1:
+            plan = plan.children().head()
+        return plan.children().isEmpty() and plan.nodeName().startswith("LogicalRelation")
+
+    def _numbered(self, *columns: F.Column) -> DataFrame:
+        place = self.docs.metadataColumn("_metadata")
+        rows = self.docs.select(*columns, place["file_path"].alias("its file"), place["row_index"].alias("its place"))
+        return rows.join(F.broadcast(self.files), "its file")
+
+    def numbered(self, *columns: str) -> DataFrame:
+        """The named columns and rid."""
+        return self._numbered(*[self.docs[x] for x in columns]).select(*columns, (F.col("base") + F.col("its place")).alias("rid"))
+
+    def without(self, gone: DataFrame, most: int = 500_000) -> DataFrame:
+        """The table without the rows whose number is in ``gone``, a stored table of the one long column rid.
+
+        Up to ``most`` numbers are broadcast, so that texts stay where they are;
+        more are joined by a shuffle, to the same result. The row travels as one
+        struct, so no column of it can clash with the number.
+        """
+        rows = self._numbered(F.struct(*[self.docs[x] for x in self.docs.columns]).alias("row")).select("row", (F.col("base") + F.col("its place")).alias("rid"))
+        return rows.join(F.broadcast(gone) if gone.count() <= most else gone, "rid", "left_anti").select("row.*")
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -59,9 +95,20 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def pieces(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of about so many bytes at most, a row at least."""
+    for batch in batches:
+        step = max(1, int(batch.num_rows * most / max(1, batch.nbytes)))
+        if step >= batch.num_rows:
+            yield batch
+        else:
+            for k in range(0, batch.num_rows, step):
+                yield batch.slice(k, step)
+
+
 def arrow_map(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     small_batches(df.sparkSession)
-    return df.mapInArrow(work, schema)
+    return df.mapInArrow(lambda batches: work(pieces(batches)), schema)
 
 
 def utf8(batch: pa.RecordBatch, name: str) -> list[bytes]:
@@ -74,11 +121,6 @@ def ascii_lower(text) -> F.Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def numbered(df: DataFrame, name: str = "rid") -> DataFrame:
-    """Rows with a number of their own, fixed by the split of a stored table."""
-    return df.withColumn(name, F.monotonically_increasing_id())
-
-
 def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list]]:
     """Runs of rows alike in their first ``keys`` columns, of a stream sorted by them: (key, the other columns).
 

@@ -8,15 +8,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from doctrail.llm.common import arrow_map, checkpoint, numbered, stored, utf8, without
+from doctrail.llm.common import Rows, arrow_map, checkpoint, stored, utf8
 
 #: Cells of the hashed byte trigrams, and pseudo-count of each.
 CELLS, SMOOTH = 1 << 15, 0.5
-#: Labelled documents of each language that the text model is fitted on, and the most languages.
-SAMPLE, LANGUAGES = 200, 64
+#: Labelled documents of each language that the text model is fitted on: a bounded sample, the first by a hash of their texts.
+SAMPLE = 200
 #: No language: text of evenly spread trigrams.
 NONE = "und"
 #: Trigrams count as this many independent ones at most, as neighbours depend on each other.
@@ -61,11 +61,16 @@ class TextModel:
 
 
 def fit(labelled: DataFrame) -> TextModel:
-    """A text model of at most SAMPLE labelled texts (columns lang, text) of each of the LANGUAGES most frequent languages."""
-    labelled = labelled.where("lang is not null and text is not null")
-    names = [x.lang for x in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    rows = [(name, x.text.encode()) for name in sorted(names) for x in labelled.where(F.col("lang") == name).select("text").limit(SAMPLE).collect()]
-    return TextModel(rows)
+    """A text model of at most SAMPLE labelled texts (columns lang, text) of each language.
+
+    The sample is the first texts by hash, so it is the same in every run; no
+    more than SAMPLE rows of a language leave a task.
+    """
+    labelled = labelled.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("h"))
+    first = Window.partitionBy("lang").orderBy("h")
+    chosen = labelled.select("lang", "h").distinct().withColumn("k", F.row_number().over(first)).where(F.col("k") <= SAMPLE).select("lang", "h")
+    rows = labelled.join(F.broadcast(checkpoint(chosen)), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
+    return TextModel(sorted((x.lang, x.text.encode()) for x in rows))
 
 
 def _likelihoods(texts: DataFrame, model: TextModel) -> DataFrame:
@@ -130,10 +135,9 @@ def identify_pages(pages: DataFrame, labelled: DataFrame) -> DataFrame:
     The declared language is that of the html element, the suffix the last
     label of the host. A null html has no text evidence, a null url the host
     ''; such rows are decided by what is left. Repeated rows each have a row;
-    an empty table gives no rows; other columns are ignored. Rows are known by
-    their place in ``pages``, a stored table.
+    an empty table gives no rows; other columns are ignored.
     """
-    rows = numbered(pages.select("page_id", "url", "html"))
+    rows = Rows(pages).numbered("page_id", "url", "html")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]+)", 1))
     declared = F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", 1))
     text = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"<[^>]*>", " ")
@@ -147,7 +151,10 @@ def keep_identified(docs: DataFrame) -> DataFrame:
 
     ``source`` serves as the host and ``lang`` as the declared language. A
     text without letters says nothing of its own and is decided by declaration
-    and source; null sources make one host. A stored table is expected.
+    and source; null sources make one host; a null text is as an empty one;
+    repeated rows are each decided; an empty table gives no rows; columns of
+    any other name pass as they are.
     """
-    texts = numbered(docs.select("source", "lang", "text")).select("rid", F.lit("").alias("suffix"), F.col("source").alias("host"), F.col("lang").alias("declared"), "text")
-    return without(docs, checkpoint(fuse(texts, fit(docs)).where("not accepted").select("rid")))
+    rows = Rows(docs)
+    texts = rows.numbered("source", "lang", "text").select("rid", F.lit("").alias("suffix"), F.col("source").alias("host"), F.col("lang").alias("declared"), "text")
+    return rows.without(checkpoint(fuse(texts, fit(docs)).where("not accepted").select("rid")))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doctrail.llm.common import arrow_map, numbered, stored, utf8
+from doctrail.llm.common import Rows, arrow_map, stored, utf8
 
 SEED = 42
 #: The token that ends a text and stands before its first word; no word holds a blank.
@@ -172,7 +172,7 @@ def score(docs: DataFrame, hot_tokens: int = HOT_TOKENS, hot_arcs: int = HOT_ARC
 
     A null or empty text is the end token alone; a null doc_id trains; repeated
     rows are counted and scored each; an empty table gives no rows; other
-    columns are ignored. Rows are known by their place in ``docs``, a stored table.
+    columns are ignored.
     """
     spark = docs.sparkSession
     train = docs.where(~held_out())
@@ -251,7 +251,7 @@ def score(docs: DataFrame, hot_tokens: int = HOT_TOKENS, hot_arcs: int = HOT_ARC
                     found = [pa.array(rid[d[starts]]), pa.array(h[starts].view(np.int64)), pa.array(times)]
                     yield pa.RecordBatch.from_arrays(found + [pa.nulls(len(starts), t) for t in kinds[3:]], names)
 
-    rows = arrow_map(numbered(docs.select("doc_id", held_out().alias("held_out"), "text")), work, "rid long, h long, tf long, doc_id long, held_out boolean, n_tokens long, n_states long, base double, auto double")
+    rows = arrow_map(Rows(docs).numbered("doc_id", "text").withColumn("held_out", held_out()), work, "rid long, h long, tf long, doc_id long, held_out boolean, n_tokens long, n_states long, base double, auto double")
     tokens = rare.join(rare_histories.select("code", "fail"), "code", "left").select(F.col("code").alias("h"), "c", F.coalesce("fail", F.lit(0.0)).alias("more"))
     others = arcs.where(F.col("n") < hot_bound).select("h", F.lit(0).cast("long").alias("c"), F.col("gain").alias("more"))
     met = rows.join(tokens.unionByName(others), "h", "left").withColumn("c", F.coalesce("c", F.lit(0))).withColumn("more", F.coalesce("more", F.lit(0.0)))

@@ -17,13 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doctrail.llm.common import arrow_map, checkpoint, numbered, utf8
+from doctrail.llm.common import Rows, arrow_map, checkpoint, stored, utf8
 
 RATE, UNIT, PAD = 8000, 192, b" "
 #: Chunk lengths: at least, usually beyond that, at most.
 LEAST, USUAL, MOST = 1024, 4096, 16384
 #: Bytes that the gear hash looks back on.
 REACH = 32
+#: Shared chunks are broadcast, without their bytes, up to so many; places that one copy of a lent chunk serves.
+ASKED, PLACES_SERVED = 500_000, 512
 READ = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
     "feature string, chunks long"
@@ -85,7 +87,7 @@ def feature(data: bytes) -> str:
     return f"mean={int(x.sum()) / len(x):.4f};rms={(int((x * x).sum()) / len(x)) ** 0.5:.4f};crossings={crossings}"
 
 
-def chunked(docs: DataFrame, with_data: bool) -> DataFrame:
+def chunked(numbers: Rows, with_data: bool) -> DataFrame:
     """rid, doc_id, n_bytes, seq, digest, and data (compressed) if asked for: a row a chunk."""
     names = ["rid", "doc_id", "n_bytes", "seq", "digest"] + ["data"] * with_data
 
@@ -106,7 +108,7 @@ def chunked(docs: DataFrame, with_data: bool) -> DataFrame:
                 kinds = [pa.int64()] * 4 + [pa.binary()] * 2
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=False)], names)
 
-    return arrow_map(numbered(docs.select("doc_id", "text")), work, "rid long, doc_id long, n_bytes long, seq long, digest binary" + ", data binary" * with_data)
+    return arrow_map(numbers.numbered("doc_id", "text"), work, "rid long, doc_id long, n_bytes long, seq long, digest binary" + ", data binary" * with_data)
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
@@ -121,15 +123,20 @@ def round_trip(docs: DataFrame) -> DataFrame:
     null; repeated rows are each stored; an empty table gives no rows; other
     columns are ignored.
     """
-    place = F.struct("rid", "seq")
-    lists = chunked(docs, False).select("rid", "seq", "digest")
-    shared = lists.groupBy("digest").agg(F.min(place).alias("owner"), F.count("*").alias("n")).where("n > 1").select("digest", "owner")
-    borrowed = checkpoint(lists.join(shared, "digest").where(place != F.col("owner")).select("rid", "seq", "digest", "owner"))
-    lent = borrowed.groupBy(F.col("owner.rid").alias("rid")).agg(F.collect_set("owner.seq").alias("lent"))
+    numbers, place = Rows(docs), F.struct("rid", "seq")
+    lists = stored(chunked(numbers, False).select("rid", "seq", "digest"))
+    shared = lists.groupBy("digest").agg(F.min(place).alias("owner"), F.count("*").alias("n")).where("n > 1")
+    # A chunk that very many places share is lent in copies, each to so many of them, so no task serves them all.
+    shared = checkpoint(shared.select("digest", "owner", F.ceil(F.col("n") / PLACES_SERVED).cast("int").alias("copies")))
+    met = lists.join(F.broadcast(shared) if shared.count() <= ASKED else shared, "digest").where(place != F.col("owner"))
+    borrowed = checkpoint(met.select("rid", "seq", "digest", F.pmod(F.xxhash64("rid", "seq"), "copies").cast("int").alias("copy")))
+    lent = shared.groupBy(F.col("owner.rid").alias("rid")).agg(F.collect_list(F.struct(F.col("owner.seq").alias("seq"), "copies")).alias("lent"))
     # All that a file needs is one value, so that both uses of it share one shuffle.
-    files = chunked(docs, True).groupBy("rid").agg(F.collect_list(F.struct("seq", "digest", "data", "doc_id", "n_bytes")).alias("own"))
-    stored_ = files.join(lent, "rid", "left").select(F.explode(F.filter("own", lambda x: F.array_contains("lent", x["seq"]))).alias("x")).select("x.digest", "x.data")
-    fetched = borrowed.join(stored_, "digest").groupBy("rid").agg(F.collect_list(F.struct("seq", "data")).alias("fetched"))
+    files = chunked(numbers, True).groupBy("rid").agg(F.collect_list(F.struct("seq", "digest", "data", "doc_id", "n_bytes")).alias("own"))
+    owned = files.join(lent, "rid").select(F.map_from_entries("lent").alias("lent"), F.explode("own").alias("x"))
+    owned = owned.select("x.digest", "x.data", F.try_element_at("lent", F.col("x.seq")).alias("copies")).where("copies is not null")
+    owned = owned.select("digest", "data", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    fetched = borrowed.join(owned, ["digest", "copy"]).groupBy("rid").agg(F.collect_list(F.struct("seq", "data")).alias("fetched"))
     whole = files.join(fetched, "rid", "left")
     away = F.transform("fetched", lambda x: x["seq"])
     kept = F.filter("own", lambda x: ~F.coalesce(F.array_contains(away, x["seq"]), F.lit(False)))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doctrail.llm.common import arrow_map, checkpoint, groups, numbered, stored, utf8, without
+from doctrail.llm.common import Rows, arrow_map, checkpoint, groups, stored, utf8
 from doctrail.llm.components import components
 from doctrail.llm.tokens import mixed
 
@@ -107,7 +107,7 @@ def linked(tree: list[int], probes: list[int], radius: int) -> list[tuple[int, i
     return out
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(rows: Rows) -> DataFrame:
     """rid, doc_id, fp (the fingerprint's bits as a long)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +115,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fps = np.array([fingerprint(x) for x in utf8(batch, "text")], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id").cast(pa.int64()), pa.array(fps)], ["rid", "doc_id", "fp"])
 
-    return arrow_map(numbered(docs.select("doc_id", "text")), work, "rid long, doc_id long, fp long")
+    return arrow_map(rows.numbered("doc_id", "text"), work, "rid long, doc_id long, fp long")
 
 
 def links(fps: DataFrame, radius: int = 4, tree_size: int = 2048) -> DataFrame:
@@ -166,19 +166,19 @@ def links(fps: DataFrame, radius: int = 4, tree_size: int = 2048) -> DataFrame:
     return dealt.mapInArrow(work, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame | Rows, radius: int = 4) -> DataFrame:
     """One row a document: rid, doc_id, fp, component_id, representative.
 
     Documents whose fingerprints differ in at most ``radius`` bits are linked;
     ``component_id`` is the smallest doc_id reachable and ``representative`` is
     true for one row of each component: the smallest doc_id (nulls last), then
-    the first row. ``rid`` is the row's number in ``docs``, a stored table.
+    the first row. ``rid`` is the row's number (see ``Rows``).
 
     Null and empty texts have fingerprint zero and are linked like any other;
     repeated rows share a component; a component of null doc_ids alone has a
     null id; an empty table gives no rows; other columns are ignored.
     """
-    marked = checkpoint(fingerprints(docs))
+    marked = checkpoint(fingerprints(docs if isinstance(docs, Rows) else Rows(docs)))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
     fps = checkpoint(marked.groupBy("fp").agg(F.min(order).alias("first")))
     stars = components(links(fps.select("fp"), radius))
@@ -191,11 +191,9 @@ def near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
 
 
 def keep_representatives(docs: DataFrame, radius: int = 4) -> DataFrame:
-    """The rows of ``docs`` that represent their component, with their columns.
-
-    A stored table is expected, since rows are known by their place in it.
-    """
-    return without(docs, checkpoint(near_duplicates(docs, radius).where("not representative").select("rid")))
+    """The rows of ``docs`` that represent their component, with their columns."""
+    rows = Rows(docs)
+    return rows.without(checkpoint(near_duplicates(rows, radius).where("not representative").select("rid")))
 
 
 def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -224,7 +222,7 @@ def bands(found: np.ndarray) -> np.ndarray:
     return mixed((least.reshape(BANDS, IN_BAND) * _PLACES).sum(axis=1, dtype=np.uint64))
 
 
-def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def similar_groups(numbers: Rows, similarity: float = SIMILARITY) -> DataFrame:
     """rid, doc_id, representative: one of each group of documents joined by links of at least this Jaccard similarity.
 
     Documents with the same set are one class. Classes that share a band of
@@ -247,7 +245,7 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
             sets = pa.array([shingles(x).view(np.int64) for x in utf8(batch, "text")], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("c"), sets], ["c", "set"])
 
-    rows = numbered(docs.select("doc_id", "text"))
+    rows = numbers.numbered("doc_id", "text")
     marked = stored(arrow_map(rows, sketch, "rid long, doc_id long, c long, bands array<long>"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
     classes = checkpoint(marked.groupBy("c").agg(F.min(F.struct(order.alias("first"), "bands")).alias("s")).select("c", "s.first", "s.bands"))
@@ -288,5 +286,10 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
 
 
 def keep_dissimilar(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` that represent their group of similar documents, with their columns; see ``keep_representatives``."""
-    return without(docs, checkpoint(similar_groups(docs, similarity).where("not representative").select("rid")))
+    """The rows of ``docs`` that represent their group of similar documents, with all their columns.
+
+    A null text is as an empty one; texts without words are one group; repeated
+    rows are one group; a null doc_id comes last; an empty table gives no rows.
+    """
+    rows = Rows(docs)
+    return rows.without(checkpoint(similar_groups(rows, similarity).where("not representative").select("rid")))
