@@ -164,31 +164,41 @@ class Callout(NamedTuple):
     lines: list[str]
 
 
+_CALLOUT = re.compile(r">\s*\[!([a-zA-Z]+)\]\s*(.*)")
+
+
+def _line_kind(line: str) -> str:
+    """What a line is to the blocks around it."""
+    bare = line.strip()
+    return "callout" if _CALLOUT.match(bare) else "quote" if bare.startswith(">") else "text" if bare else "blank"
+
+
 def callouts(text: str) -> tuple[str, list[Callout]]:
     """Callouts, replaced in the text by numbered tokens.
 
     A callout takes the quoted lines that follow, and an empty line where a
     quoted one comes after it, up to the next callout.
     """
-    rows, out, found = text.splitlines(keepends=True), [], []
-    start = re.compile(r">\s*\[!([a-zA-Z]+)\]\s*(.*)")
-    k = 0
-    while k < len(rows):
-        m = start.fullmatch(rows[k].strip())
-        if not m:
-            out.append(rows[k])
-            k += 1
-            continue
-        end = k + 1
-        while end < len(rows):
-            bare, after = rows[end].strip(), rows[end + 1].strip() if end + 1 < len(rows) else ""
-            if start.match(bare) or not (bare.startswith(">") or (not bare and after.startswith(">"))):
-                break
-            end += 1
-        found.append(Callout(m[1].upper(), m[2].strip(), rows[k:end]))
-        out.append(CALLOUT_TOKEN.format(len(found) - 1) + ("\n" if rows[end - 1].endswith("\n") else ""))
-        k = end
-    return "".join(out), found
+    rows = text.splitlines(keepends=True)
+    kinds = [*map(_line_kind, rows), "text"]
+    # An empty line before a quoted one, callouts included, belongs to what precedes.
+    inner = [kind == "quote" or kind == "blank" and after in ("quote", "callout") for kind, after in zip(kinds, kinds[1:], strict=False)]
+    out, found = [], []
+    for k, row in enumerate(rows):
+        head = _CALLOUT.fullmatch(row.strip())
+        if head:
+            found.append(Callout(head[1].upper(), head[2].strip(), [row]))
+            out.append([CALLOUT_TOKEN.format(len(found) - 1), row])
+        elif out and len(out[-1]) == 2 and inner[k]:
+            found[-1].lines.append(row)
+            out[-1][1] = row
+        else:
+            out.append([row])
+    return "".join(x[0] + "\n" * x[1].endswith("\n") if len(x) == 2 else x[0] for x in out), found
+
+
+#: What gets an empty line before it and, where the second value is true, after it.
+APART = ((r"\$\$.*?\$\$", True), (CODE_MARK, True), (r">\s*\[![A-Z]+\]", False))
 
 
 def units(text: str) -> list[str]:
@@ -198,42 +208,41 @@ def units(text: str) -> list[str]:
     block with an odd number of ``$$`` takes the next ones in; quotes are cut at
     their empty lines.
     """
-    for before, after in ((r"\$\$.*?\$\$", True), (CODE_MARK, True), (r">\s*\[![A-Z]+\]", False)):
-        text = re.sub(rf"([^\n])\s*({before})", r"\1\n\n\2", text, flags=re.DOTALL)
-        if after:
-            text = re.sub(rf"({before})\s*([^\n])", r"\1\n\n\2", text, flags=re.DOTALL)
-    out: list[str] = []
-    pending = ""
+    for block, after in APART:
+        text = re.sub(rf"([^\n])\s*({block})", r"\1\n\n\2", text, flags=re.DOTALL)
+        text = re.sub(rf"({block})\s*([^\n])", r"\1\n\n\2", text, flags=re.DOTALL) if after else text
+    whole: list[list[str]] = []
+    open_ = False
     for block in re.split(r"\n\s*\n+", text.strip()):
-        pending = f"{pending}\n\n{block.strip()}" if pending else block.strip()
-        if not pending or pending.count("$$") % 2:
-            continue
-        out.append(pending)
-        pending = ""
-    if pending:
-        out.append(pending)
-    cut: list[str] = []
-    for unit in out:
-        if unit.startswith(">") and not ADMONITION.match(unit):
-            cut += [x.strip() for x in re.split(r"\n>\s*\n", unit) if x.strip()]
+        block = block.strip()
+        if open_:
+            whole[-1].append(block)
+        elif block:
+            whole.append([block])
         else:
-            cut.append(unit)
-    return cut
+            continue
+        open_ ^= block.count("$$") % 2 == 1
+    out: list[str] = []
+    for unit in map("\n\n".join, whole):
+        quoted = unit.startswith(">") and not ADMONITION.match(unit)
+        out += filter(None, map(str.strip, re.split(r"\n>\s*\n", unit))) if quoted else [unit]
+    return out
+
+
+#: Types of a unit with their tests of its stripped text; the first that holds counts.
+TYPES = (
+    ("code_block", lambda x: "___MD_CODE_BLOCK_" in x or re.match(r"(?:>+\s*)?[ \t]*(?:`{3,}|~{3,})", x)),
+    ("table", lambda x: "___MD_TABLE_BLOCK_" in x or _table_line(x)),
+    ("math", lambda x: x.startswith("$$") and x.endswith("$$")),
+    ("image", lambda x: re.fullmatch(r"!\[.*?\]\(.*?\)|!\[\[.*?\]\]", x)),
+)
+FIRST_SIGN = {">": "quote", "#": "heading"}
 
 
 def unit_type(unit: str) -> str:
     bare = unit.strip()
-    if "___MD_CODE_BLOCK_" in bare or re.match(r"(?:>+\s*)?[ \t]*(?:`{3,}|~{3,})", bare):
-        return "code_block"
-    if "___MD_TABLE_BLOCK_" in bare or _table_line(bare):
-        return "table"
-    if bare.startswith("$$") and bare.endswith("$$"):
-        return "math"
-    if re.fullmatch(r"!\[.*?\]\(.*?\)|!\[\[.*?\]\]", bare):
-        return "image"
-    if ADMONITION.match(unit):
-        return "callout"
-    return {">": "quote", "#": "heading"}.get(bare[:1], "paragraph")
+    found = next((kind for kind, holds in TYPES if holds(bare)), None)
+    return found or ("callout" if ADMONITION.match(unit) else FIRST_SIGN.get(bare[:1], "paragraph"))
 
 
 def manuscript(text: str) -> str:
