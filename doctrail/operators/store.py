@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from doctrail.functions.tables import checkpoint
+
 #: The author whose commits are baselines; a parameter wherever it counts.
 BASELINE_AUTHOR = "baseline"
 
@@ -83,16 +85,44 @@ def survivors(log: DataFrame, baseline_author: str = BASELINE_AUTHOR) -> DataFra
     """The commits that a write-ordered log leaves of each target, where timestamps rise with writes.
 
     A baseline commit clears its target and is pinned; after it only the last
-    commit stays with it. Without one the first and the last stay. One window
-    by target, or rather two aggregates of it, decides all rows.
+    commit stays with it. Without one the first and the last stay. Partial
+    aggregates find them, so a target with many commits meets in no one task.
     """
-    by = Window.partitionBy("target")
-    base = F.max(F.when(is_baseline("author", baseline_author), F.col("write_seq"))).over(by)
-    anchor = F.coalesce(base, F.min("write_seq").over(by))
-    marked = log.withColumns({"anchor": anchor, "last": F.max("write_seq").over(by)})
-    kept = marked.where((F.col("write_seq") == F.col("anchor")) | (F.col("write_seq") == F.col("last")))
+    base = F.max(F.when(is_baseline("author", baseline_author), F.col("write_seq")))
+    ends = log.groupBy("target").agg(F.coalesce(base, F.min("write_seq")).alias("anchor"), F.max("write_seq").alias("last"))
+    kept = ends.select("target", "anchor", F.explode(F.array_distinct(F.array("anchor", "last"))).alias("write_seq"))
     parent = F.when(F.col("write_seq") != F.col("anchor"), F.col("anchor"))
-    return kept.select(*log.columns, parent.alias("parent_seq"), is_baseline("author", baseline_author).alias("by_baseline"))
+    return log.join(kept, ["target", "write_seq"]).select(*[log[x] if x not in ("target", "write_seq") else F.col(x) for x in log.columns], parent.alias("parent_seq"), is_baseline("author", baseline_author).alias("by_baseline"))
+
+
+def write(commits: DataFrame, held: DataFrame, writes: DataFrame, baseline_author: str = BASELINE_AUTHOR) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The store after writes: its commits, blobs and heads.
+
+    ``commits`` has commit_id, target, message, author, timestamp, is_pinned,
+    mode, blob_hash, byte_size, parent_commit_id and write_seq, ``held`` the
+    blobs (blob_hash, content, byte_size); ``writes`` has write_seq, target,
+    message, author, timestamp, is_pinned, mode and content, written after all
+    commits, by write_seq. A baseline write is pinned. A commit's id names its
+    parent, the target's anchor. Blobs that only commits evicted here referred
+    to go; others that nothing refers to stay until a prune.
+    """
+    made = writes.select(
+        *"write_seq target message author timestamp mode content".split(),
+        (F.coalesce("is_pinned", F.lit(False)) | is_baseline("author", baseline_author)).alias("is_pinned"),
+        blob_hash("content").alias("blob_hash"),
+        F.octet_length("content").cast("long").alias("byte_size"),
+    )
+    none = F.lit(None).cast("string")
+    log = commits.unionByName(made.drop("content").withColumns({"commit_id": none, "parent_commit_id": none}))
+    left = checkpoint(survivors(log, baseline_author))
+    named = lambda parent: F.coalesce("commit_id", commit_id(*[F.col(x) for x in "target timestamp blob_hash message author".split()], parent))
+    anchors = left.where("parent_seq IS NULL").withColumn("commit_id", named(none))
+    others = left.where("parent_seq IS NOT NULL").drop("parent_commit_id").join(anchors.select("target", F.col("commit_id").alias("parent_commit_id")), "target")
+    others = others.withColumn("commit_id", named(F.col("parent_commit_id")))
+    after = anchors.unionByName(others).select(*commits.columns)
+    gone = log.select("blob_hash").distinct().join(left.select("blob_hash"), "blob_hash", "left_anti")
+    kept = held.unionByName(put_absent(held, blobs(made))).join(gone, "blob_hash", "left_anti")
+    return after, kept, heads(after)
 
 
 def fold(log: DataFrame, baseline_author: str = BASELINE_AUTHOR) -> DataFrame:
@@ -120,21 +150,47 @@ def fold(log: DataFrame, baseline_author: str = BASELINE_AUTHOR) -> DataFrame:
     return log.select("target", "write_seq", "author", "timestamp").groupBy("target").applyInPandas(run, "target string, write_seq long, parent_seq long")
 
 
-def lineage(commits: DataFrame, depth_limit: int = 100) -> DataFrame:
+def ancestry(commits: DataFrame, chains: bool = False) -> DataFrame:
+    """commit_id, depth (commits on the way to the last known ancestor, itself included) and, if asked for, chain (itself first).
+
+    Every commit points to an ancestor, and each round to its ancestor's, so
+    the rounds grow with the logarithm of the longest chain, and no chain is too
+    long. A chain ends where there is no parent, where it is missing, or before
+    it would repeat.
+    """
+    up = commits.where("commit_id IS NOT NULL").groupBy("commit_id").agg(F.min("parent_commit_id").alias("up"))
+    up = up.withColumn("up", F.when(F.col("up") != F.col("commit_id"), F.col("up")))
+    known = up.select(F.col("commit_id").alias("up"))
+    none = F.lit(None).cast("string")
+    first = up.join(known, "up", "left_semi").unionByName(up.join(known, "up", "left_anti").withColumn("up", none))
+    first = first.select("commit_id", "up", F.lit(1).alias("depth"), *([F.array("commit_id").alias("chain")] if chains else []))
+    state = checkpoint(first)
+    todo, rounds = state.where("up IS NOT NULL").count(), max(1, state.count()).bit_length()
+    for _ in range(rounds):
+        if not todo:
+            break
+        far = state.select(F.col("commit_id").alias("up"), F.col("up").alias("farther"), F.col("depth").alias("more"), *([F.col("chain").alias("rest")] if chains else []))
+        met = state.join(far, "up", "left")
+        longer = [F.when(F.col("more").isNull(), F.col("chain")).otherwise(F.concat("chain", "rest")).alias("chain")] if chains else []
+        state = checkpoint(met.select("commit_id", F.col("farther").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), *longer))
+        todo = state.where("up IS NOT NULL").count()
+    if not todo:
+        return state.drop("up")
+    # Only circles of parents, and what leads into them, are left: they are followed step by step until they would repeat.
+    step = first.select("commit_id", "up")
+    walk = checkpoint(state.where("up IS NOT NULL").select("commit_id").join(step, "commit_id").select("commit_id", "up", F.array("commit_id").alias("chain")))
+    while walk.where("up IS NOT NULL").count():
+        hop = step.select(F.col("commit_id").alias("up"), F.col("up").alias("farther"))
+        seen = F.array_contains("chain", F.col("farther"))
+        met = walk.join(hop, "up", "left").withColumn("chain", F.when(F.col("up").isNull(), F.col("chain")).otherwise(F.array_append("chain", F.col("up"))))
+        walk = checkpoint(met.select("commit_id", F.when(~seen, F.col("farther")).alias("up"), "chain"))
+    circles = walk.select("commit_id", F.size("chain").alias("depth"), *(["chain"] if chains else []))
+    return state.where("up IS NULL").drop("up").unionByName(circles)
+
+
+def lineage(commits: DataFrame) -> DataFrame:
     """commit_id, depth, chain (itself first): parents followed until there is none, it is missing, or it would repeat."""
-    spark = commits.sparkSession
-    commits.select("commit_id", "parent_commit_id").createOrReplaceTempView("__lineage")
-    return spark.sql(
-        f"""
-        WITH RECURSIVE up (commit_id, at, depth, chain) MAX RECURSION LEVEL {depth_limit} AS (
-          SELECT commit_id, parent_commit_id, 0, array(commit_id) FROM __lineage
-          UNION ALL
-          SELECT u.commit_id, c.parent_commit_id, u.depth + 1, concat(u.chain, array(c.commit_id))
-          FROM up u JOIN __lineage c ON c.commit_id = u.at WHERE NOT array_contains(u.chain, c.commit_id)
-        )
-        SELECT commit_id, max(depth) AS depth, max_by(chain, depth) AS chain FROM up GROUP BY commit_id
-        """
-    )
+    return ancestry(commits, True)
 
 
 def list_commits(commits: DataFrame, target: str = "", mode: str = "", limit: int | None = 10) -> DataFrame:
@@ -152,10 +208,8 @@ def list_commits(commits: DataFrame, target: str = "", mode: str = "", limit: in
         out = out.where(same)
     if mode:
         out = out.where(F.lower("mode") == mode.lower())
-    # Commits of a store hang on an anchor at most, so a parent that is left means one level.
-    parents = out.select(F.col("commit_id").alias("parent_commit_id"), F.lit(1).alias("depth"))
-    out = out.join(parents, "parent_commit_id", "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
-    out = out.orderBy(F.desc("timestamp"), F.desc("depth"), "commit_id").drop("depth")
+    out = out.join(ancestry(out.select("commit_id", "parent_commit_id")), "commit_id", "left")
+    out = out.orderBy(F.desc("timestamp"), F.desc("depth"), "commit_id").select(*commits.columns)
     return out if limit is None else out.limit(limit)
 
 
@@ -285,6 +339,14 @@ def orphan_blobs(store: DataFrame, commits: DataFrame) -> DataFrame:
     return store.join(commits.select("blob_hash"), "blob_hash", "left_anti")
 
 
+def prune(commits: DataFrame, now: str, ttl_days: float = 14, quota_bytes: int = 500 << 20, keep_baselines: bool = True, protected_targets: DataFrame | None = None, baseline_author: str = BASELINE_AUTHOR) -> DataFrame:
+    """Commits with ``is_protected`` and ``fate``: expired by age first, then evicted, oldest first, until the rest is within the quota, else keep."""
+    plan = checkpoint(prune_plan(commits, now, ttl_days, keep_baselines, protected_targets, baseline_author))
+    left = prune_quota(plan.where("fate = 'keep'"), quota_bytes)
+    left = left.withColumn("fate", F.when(F.col("evicted"), "evicted").otherwise("keep")).select(*plan.columns)
+    return plan.where("fate <> 'keep'").unionByName(left)
+
+
 def prune_report(plan: DataFrame, store: DataFrame) -> DataFrame:
     """One row: pruned and kept commits, pruned blobs, freed bytes (of blobs alone), kept bytes."""
     left = plan.where("fate = 'keep'")

@@ -112,10 +112,65 @@ def heads_last_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.heads(_log(spark, sf_dir))
 
 
-@query(f"WITH {LOG_SQL} SELECT commit_id, target, author, timestamp FROM log WHERE lower(target) = 'src3' ORDER BY timestamp DESC, commit_id LIMIT 10")
+@query("""
+WITH RECURSIVE c AS (SELECT conv_id || '-' || turn AS commit_id, CASE WHEN turn > 0 THEN conv_id || '-' || (turn - 1) END AS parent, role, conv_id % 5 AS hour FROM conversations WHERE role <> 'system'),
+up AS (SELECT commit_id, parent AS at, 1 AS depth FROM c UNION ALL SELECT u.commit_id, c.parent, u.depth + 1 FROM up u JOIN c ON c.commit_id = u.at)
+SELECT commit_id, rank::INTEGER AS rank FROM (
+  SELECT commit_id, row_number() OVER (ORDER BY hour DESC, max(depth) DESC, commit_id) AS rank FROM up JOIN c USING (commit_id) GROUP BY commit_id, hour) WHERE rank <= 200""")
 def list_commits_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = _log(spark, sf_dir).withColumn("parent_commit_id", F.lit(None).cast("string"))
-    return store.list_commits(log, "SRC3", "PAPER", 10).select("commit_id", "target", "author", "timestamp")
+    """Turns as commits on their predecessors, many of one time: the depth within the filter decides their order."""
+    c = _table(spark, sf_dir, "conversations")
+    name = lambda t: F.concat_ws("-", F.col("conv_id").cast("string"), t.cast("string"))
+    commits = c.select(
+        name(F.col("turn")).alias("commit_id"),
+        F.when(F.col("turn") > 0, name(F.col("turn") - 1)).alias("parent_commit_id"),
+        F.when(F.col("role") == "system", "notes/other.md").otherwise("notes/Chat.md").alias("target"),
+        F.concat(F.lit("2024-01-01T0"), (F.col("conv_id") % 5).cast("string"), F.lit(":00:00+00:00")).alias("timestamp"),
+        F.lit("paper").alias("mode"),
+    )
+    listed = store.list_commits(commits, "chat.md", "PAPER", 200)
+    # The listed rows are at most the limit.
+    return listed.withColumn("rank", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).cast("int")).select("commit_id", "rank")
+
+
+WRITES_SQL = """
+w AS (SELECT doc_id AS seq, source AS target, lang AS author, strftime(make_timestamp((1700000000 + doc_id) * 1000000), '%Y-%m-%dT%H:%M:%S+00:00') AS ts, sha256(text) AS h, strlen(text)::BIGINT AS n FROM documents),
+ends AS (SELECT target, coalesce(max(seq) FILTER (author = 'es'), min(seq)) AS a, max(seq) AS l FROM w GROUP BY target),
+anchors AS (SELECT w.*, sha256(concat_ws('|', w.target, ts, h, 'm', author, '')) AS commit_id, NULL AS parent_commit_id FROM w JOIN ends e ON w.target = e.target AND w.seq = e.a),
+others AS (SELECT w.*, sha256(concat_ws('|', w.target, w.ts, w.h, 'm', w.author, p.commit_id)) AS commit_id, p.commit_id AS parent_commit_id
+  FROM w JOIN ends e ON w.target = e.target AND w.seq = e.l AND e.l <> e.a JOIN anchors p ON p.target = w.target),
+after AS (SELECT * FROM anchors UNION ALL SELECT * FROM others)"""
+
+
+def _written(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents written in two lots: the first half into an empty store, the others into what that leaves."""
+    docs = _documents(spark, sf_dir)
+    time = F.date_format(F.timestamp_seconds(F.col("doc_id") + 1700000000), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    writes = docs.select(
+        F.col("doc_id").alias("write_seq"), F.col("source").alias("target"), F.lit("m").alias("message"), F.col("lang").alias("author"), time.alias("timestamp"),
+        F.lit(False).alias("is_pinned"), F.lit("paper").alias("mode"), F.col("text").alias("content"),
+    )
+    half = docs.agg(F.expr("percentile_approx(doc_id, 0.5)")).first()[0] or 0
+    kinds = "commit_id string, target string, message string, author string, timestamp string, is_pinned boolean, mode string, blob_hash string, byte_size long, parent_commit_id string, write_seq long"
+    state = spark.createDataFrame([], kinds), spark.createDataFrame([], "blob_hash string, content string, byte_size long")
+    for part in (writes.where(F.col("write_seq") <= half), writes.where(F.col("write_seq") > half)):
+        *state, heads = store.write(*state, part, "es")
+    return *state, heads
+
+
+@query(f"WITH {WRITES_SQL} SELECT commit_id, parent_commit_id, target, author = 'es' AS is_pinned, n AS byte_size FROM after")
+def commit_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _written(spark, sf_dir)[0].select("commit_id", "parent_commit_id", "target", "is_pinned", "byte_size")
+
+
+@query(f"WITH {WRITES_SQL} SELECT DISTINCT h AS blob_hash, n AS byte_size FROM after")
+def commit_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _written(spark, sf_dir)[1].select("blob_hash", "byte_size")
+
+
+@query(f"WITH {WRITES_SQL} SELECT target, arg_max(commit_id, seq) AS commit_id FROM after GROUP BY target")
+def commit_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _written(spark, sf_dir)[2]
 
 
 @query("""
@@ -161,12 +216,12 @@ def retention_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH RECURSIVE c AS (SELECT conv_id || '-' || turn AS id, CASE WHEN turn > 0 THEN conv_id || '-' || (turn - 1) END AS parent FROM conversations),
 up AS (SELECT id, parent AS at, 0 AS depth FROM c UNION ALL SELECT u.id, c.parent, u.depth + 1 FROM up u JOIN c ON c.id = u.at)
-SELECT id AS commit_id, max(depth)::INTEGER AS depth FROM up GROUP BY id""")
+SELECT id AS commit_id, (max(depth) + 1)::INTEGER AS depth FROM up GROUP BY id""")
 def lineage_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _table(spark, sf_dir, "conversations")
     name = lambda t: F.concat_ws("-", F.col("conv_id").cast("string"), t.cast("string"))
     commits = c.select(name(F.col("turn")).alias("commit_id"), F.when(F.col("turn") > 0, name(F.col("turn") - 1)).alias("parent_commit_id"))
-    return store.lineage(commits).select("commit_id", "depth")
+    return store.ancestry(commits)
 
 
 def _event_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,6 +250,28 @@ def prune_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.prune_quota(commits, 1_000_000).select("commit_id", "evicted")
 
 
+PRUNE_SQL = f"""{LOG_SQL}, aged AS (
+  SELECT *, author = 'es' AS p, date_diff('microsecond', strptime(timestamp[:19], '%Y-%m-%dT%H:%M:%S'), TIMESTAMP '2023-11-28 22:20:00') / 86400000000.0 > 14 AS old FROM log
+), left_ AS (
+  SELECT *, CASE WHEN row_number() OVER (PARTITION BY blob_hash ORDER BY timestamp DESC, commit_id DESC) = 1 THEN byte_size ELSE 0 END AS b FROM aged WHERE p OR NOT old
+), run AS (
+  SELECT *, coalesce(sum(CASE WHEN p THEN 0 ELSE b END) OVER (ORDER BY timestamp, commit_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone, sum(b) OVER () AS total FROM left_
+), fates AS (
+  SELECT commit_id, blob_hash, 'expired' AS fate FROM aged WHERE NOT p AND old
+  UNION ALL SELECT commit_id, blob_hash, CASE WHEN NOT p AND total - gone > 1000000 THEN 'evicted' ELSE 'keep' END FROM run)"""
+
+
+def _pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as commits a second apart: those of the first 400 ids are older than 14 days, others go by quota."""
+    log = _log(spark, sf_dir).withColumn("is_pinned", F.lit(False))
+    return store.prune(log, "2023-11-28T22:20:00+00:00", 14, 1_000_000, baseline_author="es")
+
+
+@query(f"WITH {PRUNE_SQL} SELECT commit_id, fate FROM fates")
+def prune_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pruned(spark, sf_dir).select("commit_id", "fate")
+
+
 @query("""
 SELECT DISTINCT sha256(text) AS blob_hash, strlen(text)::BIGINT AS byte_size FROM documents
 WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE lang = 'en')""")
@@ -204,15 +281,12 @@ def orphan_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.orphan_blobs(store.blobs(docs, "text"), left).select("blob_hash", "byte_size")
 
 
-@query("""
-WITH left_ AS (SELECT DISTINCT sha256(text) AS h FROM documents WHERE lang = 'en'), b AS (SELECT sha256(text) AS h, any_value(strlen(text)) AS n FROM documents GROUP BY 1)
-SELECT (SELECT count(*) FROM documents WHERE lang <> 'en') AS pruned_commits, (SELECT count(*) FROM documents WHERE lang = 'en') AS kept_commits,
-  count(*) FILTER (h NOT IN (SELECT h FROM left_)) AS pruned_blobs, coalesce(sum(n) FILTER (h NOT IN (SELECT h FROM left_)), 0)::BIGINT AS freed_bytes,
-  coalesce(sum(n) FILTER (h IN (SELECT h FROM left_)), 0)::BIGINT AS kept_bytes FROM b""")
+@query(f"""
+WITH {PRUNE_SQL}, b AS (SELECT sha256(text) AS h, any_value(strlen(text)) AS n, sha256(text) IN (SELECT blob_hash FROM fates WHERE fate = 'keep') AS held FROM documents GROUP BY 1)
+SELECT (SELECT count(*) FROM fates WHERE fate <> 'keep') AS pruned_commits, (SELECT count(*) FROM fates WHERE fate = 'keep') AS kept_commits,
+  count(*) FILTER (NOT held) AS pruned_blobs, coalesce(sum(n) FILTER (NOT held), 0)::BIGINT AS freed_bytes, coalesce(sum(n) FILTER (held), 0)::BIGINT AS kept_bytes FROM b""")
 def prune_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _documents(spark, sf_dir)
-    plan = docs.select(store.blob_hash("text").alias("blob_hash"), F.when(F.col("lang") == "en", "keep").otherwise("expired").alias("fate"))
-    return store.prune_report(plan, store.blobs(docs, "text"))
+    return store.prune_report(_pruned(spark, sf_dir), store.blobs(_documents(spark, sf_dir), "text"))
 
 
 @query(f"""

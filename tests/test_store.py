@@ -48,6 +48,48 @@ def test_list_filters(spark):
     assert ids(target="a.md") == ["c2", "c1"] and ids(target="x/a.md") == [] and ids() == ["c3", "c2", "c1"] and ids(mode="DRAFT") == []
 
 
+def test_children_stand_before_their_parents_however_long_the_chain(spark):
+    rows = [("z", None), ("m", "z"), ("x", "m"), ("a", "gone"), ("s", "s")]
+    commits = spark.createDataFrame([(c, p, "t", "t1", "paper") for c, p in rows], "commit_id string, parent_commit_id string, target string, timestamp string, mode string")
+    assert [x.commit_id for x in store.list_commits(commits).collect()] == ["x", "m", "a", "s", "z"]
+    assert store.list_commits(commits.where("1 = 0")).count() == 0
+
+
+def test_ancestry(spark):
+    """A chain of 1,000, a missing parent, a commit that is its own parent, and a circle with a way into it."""
+    parent = {f"c{k}": f"c{k - 1}" if k else None for k in range(1000)} | {"a": "gone", "s": "s", "p": "q", "q": "r", "r": "p", "w": "v", "v": "q"}
+
+    def chain(c):
+        out = []
+        while c in parent and c not in out:
+            out.append(c)
+            c = parent[c]
+        return out
+
+    commits = spark.createDataFrame(list(parent.items()), "commit_id string, parent_commit_id string")
+    assert {x.commit_id: x.depth for x in store.ancestry(commits).collect()} == {c: len(chain(c)) for c in parent}
+    few = commits.where("commit_id NOT LIKE 'c%' OR length(commit_id) < 4")
+    parent = {c: p for c, p in parent.items() if c[0] != "c" or len(c) < 4}
+    assert {x.commit_id: (x.depth, x.chain) for x in store.lineage(few).collect()} == {c: (len(chain(c)), chain(c)) for c in parent}
+
+
+def test_write_keeps_blobs_that_commits_share(spark):
+    kinds = "write_seq long, target string, message string, author string, timestamp string, is_pinned boolean, mode string, content string"
+    none = spark.createDataFrame([], "commit_id string, target string, message string, author string, timestamp string, is_pinned boolean, mode string, blob_hash string, byte_size long, parent_commit_id string, write_seq long")
+    lots = [[("x", "a", "one"), ("x", "a", "two"), ("y", "a", "two")], [("x", "a", "three")], [("y", "B ", "four"), ("y", "a", "one")]]
+    state, at = (none, spark.createDataFrame([("h0", "lost", 4)], "blob_hash string, content string, byte_size long")), 0
+    for lot in lots:
+        rows = [(at + k, t, "m", a, f"2024-01-01T00:00:{at + k:02d}+00:00", None, "paper", c) for k, (t, a, c) in enumerate(lot)]
+        at += len(lot)
+        *state, heads = store.write(*state, spark.createDataFrame(rows, kinds), "b")
+    commits = {x.write_seq: x for x in state[0].collect()}
+    assert {(x.target, k) for k, x in commits.items()} == {("x", 0), ("x", 3), ("y", 4), ("y", 5)}
+    assert commits[3].parent_commit_id == commits[0].commit_id and commits[5].parent_commit_id == commits[4].commit_id and commits[4].is_pinned and not commits[5].is_pinned
+    # "two" is evicted with its last commit; "one" is held by two; what nothing ever referred to stays.
+    assert {x.content for x in state[1].collect()} == {"one", "three", "four", "lost"}
+    assert {x.target: x.commit_id for x in heads.collect()} == {"x": commits[3].commit_id, "y": commits[5].commit_id}
+
+
 def test_quota_and_undated(spark):
     rows = [("c1", "t", "a", "2024-01-01T00:00:00+00:00", False, "h1", 10), ("c2", "t", "a", "2024-01-02T00:00:00+00:00", True, "h2", 10), ("c3", "u", "a", None, False, "h1", 10)]
     commits = spark.createDataFrame(rows, "commit_id string, target string, author string, timestamp string, is_pinned boolean, blob_hash string, byte_size long")
