@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Bytes of a word after A-Z are lower-cased: ASCII letters and digits and all that is not ASCII.
+#: Bytes of a word after A-Z are lower-cased: ASCII letters and digits and all that is not ASCII; or all but white space.
 IN_WORD = np.array([chr(x).isalnum() if x < 128 else True for x in range(256)])
+NOT_BLANK = np.array([x != 32 and not 9 <= x <= 13 for x in range(256)])
 SEGMENT = 1 << 20
 _RANDOM = np.random.Generator(np.random.PCG64(9))
 _BYTE = _RANDOM.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -27,16 +28,16 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _segment(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _segment(data: bytes, in_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(data, np.uint8)
-    inside = IN_WORD[raw]
+    inside = in_word[raw]
     edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).view(np.int8)))
     starts, ends = edge[::2], edge[1::2]
     total = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[raw] * _power(_BASE, len(raw)), dtype=np.uint64)])
     return mixed((total[ends] - total[starts]) * _power(_INVERSE, len(raw) + 1)[starts]), starts
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: bytes, in_word: np.ndarray = IN_WORD) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word, case of A-Z aside, and where it starts.
 
     A text is worked off in pieces of about ``SEGMENT`` bytes, cut at a byte
@@ -45,9 +46,9 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     out, at = [], 0
     while at < len(data):
         end = at + SEGMENT
-        while end < len(data) and IN_WORD[data[end]]:
+        while end < len(data) and in_word[data[end]]:
             end += 1
-        h, starts = _segment(data[at:end])
+        h, starts = _segment(data[at:end], in_word)
         out.append((h, starts + at))
         at = end
     if not out:
@@ -55,8 +56,8 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
 
 
-def batch_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def batch_hashes(texts: list[bytes], in_word: np.ndarray = IN_WORD) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts in a row, and the bounds of each text's words (one more than there are texts)."""
-    h, starts = word_hashes(b"\n".join(texts))
+    h, starts = word_hashes(b"\n".join(texts), in_word)
     edges = np.cumsum([0, *(len(x) + 1 for x in texts)])
     return h, np.searchsorted(starts, edges)
