@@ -17,6 +17,8 @@ from doctrail.llm.common import Rows, arrow_map, checkpoint, stored, utf8
 CELLS, SMOOTH = 1 << 15, 0.5
 #: Labelled documents of each language that the text model is fitted on: a bounded sample, the first by a hash of their texts.
 SAMPLE = 200
+#: Parts of a language that are ranked apart first.
+PARTS = 256
 #: No language: text of evenly spread trigrams.
 NONE = "und"
 #: Trigrams count as this many independent ones at most, as neighbours depend on each other.
@@ -67,8 +69,11 @@ def fit(labelled: DataFrame) -> TextModel:
     more than SAMPLE rows of a language leave a task.
     """
     labelled = labelled.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("h"))
-    first = Window.partitionBy("lang").orderBy("h")
-    chosen = labelled.select("lang", "h").distinct().withColumn("k", F.row_number().over(first)).where(F.col("k") <= SAMPLE).select("lang", "h")
+    # The first of each part of a language, then of those: a frequent language is not gathered in one task.
+    chosen = labelled.select("lang", "h", F.pmod("h", F.lit(PARTS)).alias("part")).distinct()
+    for by in (["lang", "part"], ["lang"]):
+        chosen = chosen.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("h"))).where(F.col("k") <= SAMPLE).drop("k")
+    chosen = chosen.select("lang", "h")
     rows = labelled.join(F.broadcast(checkpoint(chosen)), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
     return TextModel(sorted((x.lang, x.text.encode()) for x in rows))
 
