@@ -130,12 +130,11 @@ def round_trip(docs: DataFrame) -> DataFrame:
     shared = checkpoint(shared.select("digest", "owner", F.ceil(F.col("n") / PLACES_SERVED).cast("int").alias("copies")))
     met = lists.join(F.broadcast(shared) if shared.count() <= ASKED else shared, "digest").where(place != F.col("owner"))
     borrowed = checkpoint(met.select("rid", "seq", "digest", F.pmod(F.xxhash64("rid", "seq"), "copies").cast("int").alias("copy")))
-    lent = shared.groupBy(F.col("owner.rid").alias("rid")).agg(F.collect_list(F.struct(F.col("owner.seq").alias("seq"), "copies")).alias("lent"))
-    # All that a file needs is one value, so that both uses of it share one shuffle.
+    lent = shared.groupBy(F.col("owner.rid").alias("rid")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("owner.seq").alias("seq"), "copies"))).alias("lent"))
+    # All that a file needs is one value, so that both uses of it share one shuffle; an inner join would part them.
     files = chunked(numbers, True).groupBy("rid").agg(F.collect_list(F.struct("seq", "digest", "data", "doc_id", "n_bytes")).alias("own"))
-    owned = files.join(lent, "rid").select(F.map_from_entries("lent").alias("lent"), F.explode("own").alias("x"))
-    owned = owned.select("x.digest", "x.data", F.try_element_at("lent", F.col("x.seq")).alias("copies")).where("copies is not null")
-    owned = owned.select("digest", "data", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    owned = files.join(lent, "rid", "left").select("lent", F.explode(F.filter("own", lambda x: F.map_contains_key("lent", x["seq"]))).alias("x"))
+    owned = owned.select("x.digest", "x.data", F.explode(F.sequence(F.lit(0), F.element_at("lent", F.col("x.seq")) - 1)).alias("copy"))
     fetched = borrowed.join(owned, ["digest", "copy"]).groupBy("rid").agg(F.collect_list(F.struct("seq", "data")).alias("fetched"))
     whole = files.join(fetched, "rid", "left")
     away = F.transform("fetched", lambda x: x["seq"])
