@@ -41,7 +41,7 @@ def latex_to_markdown(docs: DataFrame, entries: DataFrame | None = None) -> Data
         return row_map(docs, ["text"], lambda t: latex.convert(t or ""), "markdown", "string", ["doc_id"])
     keyed = docs.withColumn("__h", F.xxhash64("text"))
     keys = F.flatten(F.transform(F.regexp_extract_all("text", F.lit(r"\\(?:cite|citep|citet|citealt|citeauthor|citeyear|autocite)\s*(?:\[[^\]]*\]\s*)*\{([^}]+)\}"), F.lit(1)), lambda x: F.split(x, r"\s*,\s*")))
-    asked = keyed.select("doc_id", "__h", F.explode(F.array_distinct(F.transform(keys, F.trim))).alias("key")).distinct()
+    asked = keyed.select("doc_id", "__h", F.explode(F.array_distinct(F.transform(keys, lambda x: F.trim(x)))).alias("key")).distinct()
     got = asked.join(entries.select("key", "fields"), "key").groupBy("doc_id", "__h").agg(F.map_from_entries(F.collect_list(F.struct("key", "fields"))).alias("bib"))
     met = keyed.join(got, ["doc_id", "__h"], "left")
     return row_map(met, ["text", "bib"], lambda t, b: latex.convert(t or "", {k: dict(v) for k, v in (dict(b) if b else {}).items()}), "markdown", "string", ["doc_id"])

@@ -259,7 +259,9 @@ def mentioned_stems(notes: DataFrame, stems: DataFrame, skipped: tuple[str, ...]
     line is joined by its first word, so notes and names never meet all with all.
     """
     skip = rf"(?i)^({'|'.join(skipped)})(/|$)|(^|/)(\.git|\.obsidian|node_modules|\.trash|\.venv|__pycache__)(/|$)"
-    text = F.lower(F.coalesce(F.try_url_decode(F.regexp_replace("text", r"\+", "%2B")), F.col("text")))
+    # A per cent sign that codes nothing stays, as in plain texts.
+    coded = F.regexp_replace(F.regexp_replace("text", r"\+", "%2B"), "%(?![0-9A-Fa-f]{2})", "%25")
+    text = F.lower(F.coalesce(F.try_url_decode(coded), F.col("text")))
     tails = notes.where(~F.col("path").rlike(skip)).select(F.explode(F.regexp_extract_all(text, F.lit(r"(?=(?:🤖 |project_diffs/(?:🤖 )?)([^\n]+))"), F.lit(1))).alias("tail")).distinct()
     names = stems.select(F.lower(F.trim("stem")).alias("stem")).where("stem <> ''").distinct()
     first = F.substring_index(F.col("tail"), " ", 1)

@@ -105,3 +105,26 @@ def test_stream_retains_as_the_fold(spark, tmp_path):
     run = streaming.retained(stream, "b").writeStream.format("memory").queryName("retained").outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     run.awaitTermination(120)
     assert {(x.target, x.write_seq) for x in spark.table("retained").collect()} == {(t, k) for t, k, _ in plain(writes)}
+
+
+def test_stray_per_cent_sign_does_not_hide_a_mention(spark):
+    notes = spark.createDataFrame([("a.md", "100 %% [x](_agents/project_diffs/%F0%9F%A4%96%20Beta%20one.md)")], "path string, text string")
+    stems = spark.createDataFrame([("beta one",), ("gamma",)], "stem string")
+    assert [x.stem for x in store.mentioned_stems(notes, stems).collect()] == ["beta one"]
+
+
+def test_audits_of_short_ids(spark):
+    from doctrail.operators import style
+
+    asked = spark.createDataFrame([("abc",), ("abcdef0123456789",), ("",), ("zz",), (None,)], "asked string")
+    audits = spark.createDataFrame([("abcdef01",), ("abcd",), ("zy",)], "commit_id string")
+    found = {(x.asked, x.commit_id) for x in style.find_audits(asked, audits).collect()}
+    assert found == {("abc", "abcd"), ("abcdef0123456789", "abcdef01")}
+
+
+def test_citation_keys_that_end_in_nought(spark):
+    from doctrail.operators import convert
+
+    docs = spark.createDataFrame([(1, "\\begin{document}x \\cite{doe2020}\\end{document}")], "doc_id long, text string")
+    entries = spark.createDataFrame([("doe2020", {"author": "Doe, J.", "year": "2020", "title": "T"})], "key string, fields map<string,string>")
+    assert "[Doe, 2020]" in convert.latex_to_markdown(docs, entries).first().markdown
