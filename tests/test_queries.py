@@ -9,7 +9,7 @@ import pytest
 from doctrail.plans.queries import QUERIES, SQL, flagship
 
 DATA = Path(os.environ.get("DOCTRAIL_DATA", "/root/testdata/sf0.001"))
-TABLES = "documents events conversations pages".split()
+TABLES = "documents events conversations pages part".split()
 
 
 def rows(frame):
