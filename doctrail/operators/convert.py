@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doctrail.functions.rows import flat_map, row_map
-from doctrail.textcore import bib, html_markdown, latex
+from doctrail.textcore import bib, html_markdown, latex, residue
 
 
 def is_html(text: Column, path: Column | None = None) -> Column:
@@ -27,6 +27,18 @@ def html_to_markdown(docs: DataFrame) -> DataFrame:
     return row_map(docs, ["text"], lambda t: html_markdown.convert(t or ""), "markdown", "string", ["doc_id"])
 
 
+def clean_latex(docs: DataFrame) -> DataFrame:
+    """doc_id, text without what a conversion left of LaTeX; texts without a backslash or tag are tidied the same way."""
+    return row_map(docs, ["text"], lambda t: residue.clean_latex(t or ""), "text", "string", ["doc_id"])
+
+
+def strip_markup(docs: DataFrame) -> DataFrame:
+    """doc_id, text without spans, styles and layout tags; texts without a tag or style pass without Python."""
+    marked = F.coalesce(F.col("text").rlike(r"<|style="), F.lit(False))
+    done = row_map(docs.where(marked), ["text"], lambda t: residue.strip_markup(t), "text", "string", ["doc_id"])
+    return docs.where(~marked).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).unionByName(done)
+
+
 def parse_bib(files: DataFrame) -> DataFrame:
     """doc_id, key, fields of files (doc_id, text)."""
     return flat_map(files, ["text"], lambda t: bib.parse(t or "").items(), "key string, fields map<string,string>", ["doc_id"])

@@ -8,10 +8,10 @@ Expressions that both engines read alike are written once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from doctrail.operators import convert, links, segment, store, style, versions
+from doctrail.operators import convert, links, reports, segment, store, style, versions
 from doctrail.plans.registry import query, table
 from doctrail.schema import ITERATION
 from doctrail.sources import readers
@@ -347,3 +347,81 @@ def latex_includes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def latex_macros(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = r"'\\newcommand{\\m' || chr(97 + p_size % 26) || '}' || CASE WHEN p_partkey % 3 > 0 THEN '[' || (p_partkey % 3) || ']' ELSE '' END || '{\\textbf{' || p_name || '}} % x' || chr(10) || 'text'"
     return convert.latex_macros(_rows(spark, sf_dir, "part", doc_id="p_partkey", text=text))
+
+
+# ---------------------------------------------------------------- audits, revisions and reports
+
+
+@query("""
+SELECT user_id::VARCHAR AS commit_id, coalesce(arg_max(event_type, event_id) FILTER (event_id % 3 = 1), arg_max(event_type, event_id)) AS final_verdict,
+  coalesce(max(event_id) FILTER (event_id % 3 = 1), max(event_id)) AS write_seq FROM events GROUP BY user_id""")
+def audit_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as audits of their users: every third is a new one, which goes before all held."""
+    rows = _rows(spark, sf_dir, "events", commit_id="string(user_id)", final_verdict="event_type", write_seq="event_id")
+    held, new = rows.where("write_seq % 3 <> 1"), rows.where("write_seq % 3 = 1")
+    return reports.record_audits(reports.record_audits(held.limit(0), held), new)
+
+
+@query("""
+WITH a AS (SELECT sha256(text) AS h, min(source) AS s FROM documents WHERE doc_id % 3 <> 0 GROUP BY 1)
+SELECT d.doc_id, CASE WHEN d.doc_id % 5 = 0 THEN 'own' ELSE a.s END AS style_audit FROM documents d LEFT JOIN a ON a.h = sha256(d.text)""")
+def commits_with_audits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as commits, some with an audit of their own, others with one recorded under ten digits of their id."""
+    commits = table(spark, sf_dir, "documents").select("doc_id", store.blob_hash("text").alias("commit_id"), F.expr("CASE WHEN doc_id % 5 = 0 THEN 'own' END").alias("style_audit"))
+    audits = table(spark, sf_dir, "documents").where("doc_id % 3 <> 0").groupBy(F.substring(store.blob_hash("text"), 1, 10).alias("commit_id")).agg(F.min("source").alias("style_audit"))
+    return reports.with_audits(commits, audits).select("doc_id", "style_audit")
+
+
+@query("""
+WITH r AS (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_id % 4 <> 0)
+SELECT 'user ' || user_id AS target, lpad(event_id::VARCHAR, 8, '0') AS commit_id, event_type AS message FROM r WHERE n <= 2""")
+def git_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as revisions of their users' files, every fourth known already; of the others, written newest first, the two oldest stay."""
+    e = table(spark, sf_dir, "events")
+    pos = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))) - 1
+    number = F.lpad(F.col("event_id").cast("string"), 8, "0")
+    log = e.select(
+        F.concat(F.lit("user "), "user_id").alias("target"), pos.alias("pos"), F.concat(number, F.sha2(number, 256)).alias("commit"), F.lit("agent").alias("author"),
+        F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("."), number).alias("date"), F.col("event_type").alias("subject"),
+    )
+    held = e.where("event_id % 4 = 0").select(F.concat(number, F.lit("ff")).alias("commit_id"))
+    writes = reports.revisions_to_write(log, held)
+    return store.fold(writes).select("target", "write_seq").join(writes, ["target", "write_seq"]).select("target", "commit_id", "message")
+
+
+@query("""
+SELECT user_id AS seg_id, round(avg(coalesce(CASE WHEN event_id % 7 > 0 THEN (event_id % 100) / 100.0::DOUBLE END, 0)), 4) AS risk_before, round(avg((event_id % 30) / 100.0::DOUBLE), 4) AS risk_after FROM events GROUP BY user_id""")
+def segment_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, sf_dir, "events", seg_id="user_id", score_before="CASE WHEN event_id % 7 > 0 THEN double(event_id % 100) / 100 END", score_after="double(event_id % 30) / 100")
+    return reports.average_risk(rows)
+
+
+@query("""
+WITH s AS (SELECT conv_id, turn, (conv_id % 9) * 5 AS b, (turn % 9) * 5 AS a, CASE turn % 3 WHEN 0 THEN '🟢 Validé' WHEN 1 THEN '🟢 Certifié (≤ 20%)' ELSE '⚠️ ' || role END AS st, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+l AS (SELECT conv_id, string_agg('> | ' || n || ' | ' || CASE WHEN turn % 4 = 3 THEN '—' ELSE 'L' || turn || '-L' || (turn + 1) END || ' | ' || b || '.0% | ' || a || '.0% | ' || CASE WHEN a = b THEN '0.0%' WHEN b > a THEN '-' || (b - a) || '.0%' ELSE '+' || (a - b) || '.0%' END || ' | ' || st || ' |' || chr(10), '' ORDER BY n) AS rows, count(*) AS c FROM s GROUP BY conv_id)
+SELECT conv_id AS report_id, '> [!NOTE]' || chr(10) || '> **🛡️ Réécriture automatique**' || chr(10) || '> - **Mode Moteur** : `daemon` | **Latence GPU** : `' || conv_id || '.0 ms` | **Passages réécrits** : `1/' || c || '`' || chr(10)
+  || '>' || chr(10) || '> | Passage | Lignes | Risque Avant | Risque Après | Delta | Statut |' || chr(10) || '> | :--- | :--- | :---: | :---: | :---: | :---: |' || chr(10) || rows || chr(10) AS callout FROM l""")
+def rewriter_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as runs of a rewriter, a segment for each turn."""
+    c = table(spark, sf_dir, "conversations")
+    runs = c.groupBy(F.col("conv_id").alias("report_id")).agg(F.lit("daemon").alias("engine_mode"), F.max(F.col("conv_id").cast("double")).alias("elapsed_ms"), F.lit(1).alias("rewritten"), F.count("*").alias("modified"))
+    segments = _rows(
+        spark, sf_dir, "conversations", report_id="conv_id", pos="turn", lines="CASE WHEN turn % 4 <> 3 THEN 'L' || turn || '-L' || (turn + 1) END", risk_before="double(conv_id % 9) / 20",
+        risk_after="double(turn % 9) / 20", status="CASE turn % 3 WHEN 0 THEN 'VALIDÉ' WHEN 1 THEN 'ALREADY_CLEAN' ELSE role END",
+    )
+    return reports.rewrite_report(runs, segments)
+
+
+@query("""
+SELECT doc_id, 'Seen **' || source || '** ' || translate(text, '%&#*~_^$`', '') || ' $a_{1}$ x — y' || chr(10) || chr(10) || '> ' || lang AS text FROM documents""")
+def residual_latex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, without signs that LaTeX reads, between what a conversion may leave."""
+    text = r"""'\\label{x}Seen \\textbf{\\textsf{' || source || '}} \\vspace{1em}' || translate(text, '%&#*~_^$`', '') || '\\color{red} $a_{1}$ {x} --- \\small y' || chr(10) || '\\begin{quote}' || lang || '\\end{quote}'"""
+    return convert.clean_latex(_rows(spark, sf_dir, "documents", doc_id="doc_id", text=text))
+
+
+@query("""
+SELECT doc_id, text || ' ' || source || ' <span style="color:#e11d48;font-weight:600">red</span> `<div>` <XXX why ' || lang || '> end' AS text FROM documents""")
+def markup_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = """'<div class="a">' || text || '</div> <span style="x">' || source || '</span> <span style="color:#e11d48;font-weight:600">red</span> `<div>` <XXX why ' || lang || '><style>p{}</style> end</span>'"""
+    return convert.strip_markup(_rows(spark, sf_dir, "documents", doc_id="doc_id", text=text))
