@@ -9,9 +9,13 @@ from doctrail.functions.rows import flat_map, row_map
 from doctrail.textcore import bib, html_markdown, latex, residue
 
 
+#: What tells HTML, anywhere in a text.
+HTML_HEAD = r"(?i)<!DOCTYPE\s+html|<html\b|<body\b"
+
+
 def is_html(text: Column, path: Column | None = None) -> Column:
     """True for texts with an HTML head, or with a path that says so."""
-    found = F.coalesce(text, F.lit("")).rlike(r"(?i)<!DOCTYPE\s+html|<html\b|<body\b")
+    found = F.coalesce(text, F.lit("")).rlike(HTML_HEAD)
     if path is not None:
         found = found | ((F.coalesce(text, F.lit("")) != "") & F.coalesce(F.lower(path).rlike(r"\.html?$"), F.lit(False)))
     return found

@@ -89,6 +89,23 @@ def annotate(pairs: DataFrame, threshold: float = diff.THRESHOLD, collab: bool =
     return flat_map(_spread(pairs), ["old_text", "new_text"], lambda a, b: [diff.render(a or "", b or "", threshold, collab)], "body string, toc string", ["pair_id"])
 
 
+def callout_pairs(pairs: DataFrame, threshold: float = diff.THRESHOLD, collab: bool = False) -> DataFrame:
+    """pair_id, text, added, deleted of pairs whose old_text and new_text are callouts; a side that is none makes the row null."""
+
+    def one(old: str | None, new: str | None):
+        whole = all(x and md.ADMONITION.match(x) for x in (old, new))
+        yield diff.callout_pair(old, new, threshold, collab) if whole else (None, None, None)
+
+    return flat_map(pairs, ["old_text", "new_text"], one, "text string, added int, deleted int", ["pair_id"])
+
+
+def whole_paragraphs(docs: DataFrame, threshold: float = diff.THRESHOLD) -> DataFrame:
+    """doc_id, text: annotated texts whose much changed paragraphs show the whole old and the whole new one; unmarked texts pass without Python."""
+    marked = F.coalesce(F.col("text").contains("<span"), F.lit(False))
+    done = row_map(docs.where(marked), ["text"], lambda t: diff.whole_paragraphs(t, threshold), "text", "string", ["doc_id"])
+    return docs.where(~marked).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).unionByName(done)
+
+
 def accept_revisions(docs: DataFrame, line: int) -> DataFrame:
     """doc_id, text, validated, remaining: the revisions above a line accepted."""
     return flat_map(docs, ["text"], lambda t: [md.accept_up_to(t or "", line)], "text string, validated int, remaining int", ["doc_id"])

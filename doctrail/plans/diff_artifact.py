@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +33,7 @@ def to_markdown(pairs: DataFrame) -> DataFrame:
 
     def run(text: str | None) -> str:
         text = text or ""
-        head = text[:4096].lower()
-        return html_markdown.convert(text) if "<html" in head or "<!doctype html" in head or "<body" in head else latex.convert(text)
+        return html_markdown.convert(text) if re.search(convert.HTML_HEAD, text) else latex.convert(text)
 
     out = pairs
     for side in ("old_text", "new_text"):

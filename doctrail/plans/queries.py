@@ -430,6 +430,24 @@ def annotated_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versions.annotate(_near_pairs(spark, sf_dir))
 
 
+@query()
+def paragraph_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return versions.whole_paragraphs(versions.annotate(_near_pairs(spark, sf_dir)).select(F.col("pair_id").alias("doc_id"), F.col("body").alias("text")))
+
+
+@query("""
+WITH p AS (SELECT conv_id * 1000 + turn AS pair_id, lag(role) OVER w AS o, role AS n, lag(text) OVER w AS a, text AS b FROM conversations WINDOW w AS (PARTITION BY conv_id, role ORDER BY turn))
+SELECT pair_id, '> [!NOTE] ' || n || chr(10) || '> ' || replace(b, chr(10), ' ') || chr(10) AS text FROM p WHERE a IS NOT NULL""")
+def callout_pair_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as callouts against the ones before them: the new side of the marked callout is the new callout."""
+    as_callout = lambda x: F.concat(F.lit("> [!NOTE] "), F.col("role"), F.lit("\n> "), F.replace(x, F.lit("\n"), F.lit(" ")), F.lit("\n"))
+    c = _table(spark, sf_dir, "conversations")
+    before = F.lag("text").over(Window.partitionBy("conv_id", "role").orderBy("turn"))
+    pairs = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), "role", before.alias("old"), F.col("text").alias("new")).where("old IS NOT NULL")
+    marked = versions.callout_pairs(pairs.select("pair_id", as_callout(F.col("old")).alias("old_text"), as_callout(F.col("new")).alias("new_text")))
+    return versions.one_side(marked.select(F.col("pair_id").alias("doc_id"), "text")).withColumnRenamed("doc_id", "pair_id").withColumn("text", F.regexp_replace("text", r"(?m)^>[ \t]*\n", ""))
+
+
 @query()
 def accept_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = versions.annotate(_near_pairs(spark, sf_dir)).select(F.col("pair_id").alias("doc_id"), F.col("body").alias("text"))

@@ -16,7 +16,7 @@ CONFLICTS = ("UU", "AA", "UD", "DU", "DD", "AU", "UA")
 def texts(spark: SparkSession, path: str) -> DataFrame:
     """path, text of whole files (Markdown, LaTeX, HTML, BibTeX); bytes that are no UTF-8 are replaced."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.decode("content", F.lit("UTF-8")).alias("text"))
+    return files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def commit_files(spark: SparkSession, path: str) -> DataFrame:
@@ -34,7 +34,7 @@ def blob_files(spark: SparkSession, path: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.split("path", "/")
-    return files.select(F.concat(F.element_at(name, -2), F.element_at(name, -1)).alias("blob_hash"), F.decode(inflate("content"), F.lit("UTF-8")).alias("content"))
+    return files.select(F.concat(F.element_at(name, -2), F.element_at(name, -1)).alias("blob_hash"), F.make_valid_utf8(inflate("content").cast("string")).alias("content"))
 
 
 def file_listing(spark: SparkSession, path: str) -> DataFrame:
@@ -68,5 +68,10 @@ def write_blobs(blobs: DataFrame, path: str) -> None:
 
 
 def write_artifacts(artifacts: DataFrame, path: str) -> None:
-    """Artefacts as a text column, one row each."""
-    artifacts.select(F.col("artifact").alias("value")).write.mode("overwrite").option("lineSep", "\n\0\n").text(path)
+    """Artefacts (target, artifact) as JSON rows, so that each text keeps its target and its line breaks."""
+    artifacts.select("target", "artifact").write.mode("overwrite").json(path)
+
+
+def artifacts(spark: SparkSession, path: str) -> DataFrame:
+    """target, artifact as written."""
+    return spark.read.schema("target string, artifact string").json(path)

@@ -32,6 +32,9 @@ TOKEN = re.compile(
 )
 #: The styles of marks.
 STYLE = 'style="background-color: {}; color: {}; padding: 2px 4px; border-radius: 3px;"'
+#: A changed block of code: title, colours, stroke, language, content.
+PRE = '<pre{} style="background-color: {}; color: {}; padding: 10px 12px; border-radius: 6px; overflow-x: auto; white-space: pre-wrap; margin: 8px 0;{}"><code{} style="background-color: transparent; color: inherit; padding: 0;">{}</code></pre>'
+STRUCK, AUTHORED = " text-decoration: line-through;", {"del": "Supprimé par", "ins": "Ajouté par"}
 COLOURS = {("del", False): ("#fee2e2", "#991b1b"), ("ins", False): ("#dcfce7", "#166534"), ("del", True): ("#ffedd5", "#9a3412"), ("ins", True): ("#dbeafe", "#1e40af")}
 #: Gains of the alignment: same unit, table or code, and the least ratios of formulas and prose.
 SAME, BLOCK, MATH_RATIO, PROSE_RATIO, BORDER_GAP = 2.0, 1.5, 0.35, 0.20, -0.1
@@ -295,16 +298,58 @@ def mark(text: str, kind: str, collab: bool = False) -> str:
     return "\n".join(out)
 
 
-def render_unit(old: str | None, new: str | None, diff: UnitDiff, blocks: dict[str, str], collab: bool = False) -> str:
+def fence_parts(block: str) -> tuple[str, str, str]:
+    """(quote prefix, info, content) of a fenced block; a block without a fence is all content."""
+    lines = block.strip("\r\n").splitlines()
+    filled = [x.lstrip() for x in lines if x.strip()]
+    quote = ""
+    if filled and all(x.startswith(">") for x in filled):
+        quote = re.match(r"\s*>+\s?", next(x for x in lines if x.strip()))[0]
+        lines = [re.sub(r"^\s*>+\s?", "", x) for x in lines]
+    first = md.FENCE.fullmatch(lines[0]) if lines else None
+    if not first:
+        return quote, "", "\n".join(lines)
+    rest, fence = lines[1:], md.Fence()
+    fence.feed(lines[0])
+    if rest and [fence.feed(x) for x in rest] and not fence.mark:
+        rest = rest[:-1]
+    return quote, first["info"].strip(), "\n".join(rest)
+
+
+def mark_code(block: str, kind: str, collab: bool = False, author: str = "") -> str:
+    """A fenced block as coloured HTML, escaped, behind its quote marks, so that no fence is left open."""
+    quote, info, body = fence_parts(block)
+    back, fore = COLOURS[kind, collab]
+    title = f' title="{AUTHORED[kind]} {html.escape(author)}"' if collab and author else ""
+    shown = PRE.format(title, back, fore, STRUCK if kind == "del" else "", f' data-lang="{html.escape(info)}"' if info else "", html.escape(body, quote=False))
+    return "\n".join(quote + x for x in shown.splitlines()) if quote else shown
+
+
+RULER = re.compile(r"[>\s]*\|[\s:|-]+")
+
+
+def mark_table(block: str, kind: str, collab: bool = False) -> str:
+    """A table with the text of each cell marked; bars, blanks, quote marks and the ruler stay as they are."""
+    out = []
+    for row in block.splitlines():
+        quote, cells = re.fullmatch(r"(>*\s*)(.*)", row).groups()
+        if RULER.fullmatch(row) or not cells.startswith("|"):
+            out.append(row if RULER.fullmatch(row) else mark(row, kind, collab))
+            continue
+        parts = re.split(r"(?<!\\)\|", cells)
+        inner = [mark(x, kind, collab) if x.strip() else x for x in parts[1:-1]]
+        out.append(quote + "|".join([parts[0], *inner, *([parts[-1]] if len(parts) > 1 else [])]))
+    return "\n".join(out)
+
+
+def render_unit(old: str | None, new: str | None, diff: UnitDiff, blocks: dict[str, str], collab: bool = False, author: str = "") -> str:
     """Markdown of one aligned unit, with coloured marks."""
 
     def whole(text: str, kind: str) -> str:
         if md.unit_type(text) == "code_block":
-            body = html.escape(md.unmask(text, blocks))
-            return f"<pre {STYLE.format(*COLOURS[kind, collab])}>{body}</pre>"
+            return mark_code(md.unmask(text, blocks), kind, collab, author)
         if md.unit_type(text) == "table":
-            rows = md.unmask(text, blocks).splitlines()
-            return "\n".join(r if re.fullmatch(r"\|[\s:|-]+", r.strip()) else "| " + " | ".join(mark(c.strip(), kind, collab) for c in re.split(r"(?<!\\)\|", r.strip().strip("|"))) + " |" for r in rows)
+            return mark_table(md.unmask(text, blocks), kind, collab)
         return mark(text, kind, collab)
 
     if diff.mode in ("same", "image"):
@@ -325,6 +370,75 @@ def render_unit(old: str | None, new: str | None, diff: UnitDiff, blocks: dict[s
     return "\n\n".join(whole(t, k) for t, k in ((old, "del"), (new, "ins")) if t)
 
 
+def callout_pair(old: str, new: str, threshold: float = THRESHOLD, collab: bool = False) -> tuple[str, int, int]:
+    """(the new callout with marks, lines or runs added, and deleted) of two versions of one callout; its head stays a head."""
+    if old.strip() == new.strip():
+        return new, 0, 0
+    (head, *body), (was, *gone) = new.rstrip("\n").split("\n"), old.rstrip("\n").split("\n")
+    kind = re.match(r">\s*\[![a-zA-Z]+\]", head)[0]
+    titles = diff_pair(was[len(re.match(r">\s*\[![a-zA-Z]+\]", was)[0]) :].strip(), head[len(kind) :].strip(), threshold)
+    inner = diff_section(*("\n".join(_unquote(x) for x in rows) for rows in (gone, body)), threshold)
+    title = render_unit(was.partition("]")[2].strip(), head.partition("]")[2].strip(), titles, {}, collab).replace("\n\n", " ")
+    text = "\n\n".join(render_unit(x, y, d, inner.blocks, collab) for x, y, d in inner.units) if inner.units else "\n".join(_unquote(x) for x in body)
+    lines = [f"{kind} {title}".rstrip(), *[f"> {x}" if x.strip() else ">" for x in text.splitlines()]]
+    return "\n".join(lines) + ("\n" if new.endswith("\n") else ""), titles.added + inner.added, titles.deleted + inner.deleted
+
+
+#: How a paragraph begins that is never shown as two blocks.
+NO_PARAGRAPH = ("#", "|", "$$", "![", ">", "<pre", "```", "~~~")
+MARKED = re.compile(r"<span\b[^>]*(?:" + "|".join(md.DELETED + md.INSERTED) + r")")
+
+
+def whole_paragraphs(text: str, threshold: float = THRESHOLD) -> str:
+    """An annotated text whose much changed paragraphs are shown as the whole old one and the whole new one."""
+
+    def one(part: str) -> str:
+        if part.strip().startswith(NO_PARAGRAPH) or not MARKED.search(part):
+            return part
+        old, new = (re.sub(r"[ \t]+", " ", md.strip_marks(part, side)).strip() for side in ("old", "new"))
+        if old and new and diff_pair(old, new, threshold).mode != "block":
+            return part
+        collab = any(x in part for x in (COLOURS["del", True][0], COLOURS["ins", True][0]))
+        return "\n\n".join(mark(t, kind, collab) for t, kind in ((old, "del"), (new, "ins")) if t)
+
+    return "\n\n".join(map(one, text.split("\n\n")))
+
+
+_GUARDED = re.compile(r"<pre\b[^>]*>[\s\S]*?</pre>|^ {0,3}(?P<f>`{3,}|~{3,})[^\r\n]*\r?\n[\s\S]*?^ {0,3}(?P=f)[ \t]*$|(?<!`)(?P<q>`{1,3})(?!`)(?P<code>[^\r\n]+?)(?<!`)(?P=q)(?!`)", re.MULTILINE)
+_CHANGE = re.compile(r"(<(?:span|ins|del)\b[^>]*>.*?</(?:span|ins|del)>)")
+
+
+def free_code_spans(text: str) -> str:
+    """Marks taken out of inline code: each piece of the code stands in backticks of its own, inside or beside the marks."""
+
+    def piece(x: str, ticks: str) -> str:
+        m = re.fullmatch(r"((?:<(?:span|ins|del)\b[^>]*>)*)(\s*)(.*?)(\s*)((?:</(?:span|ins|del)>)*)", x)
+        done = not m[3] or m[3].startswith(ticks) and m[3].endswith(ticks) and len(m[3]) >= 2 * len(ticks)
+        return x if done else f"{m[1]}{m[2]}{ticks}{m[3]}{ticks}{m[4]}{m[5]}"
+
+    def write(m: re.Match) -> str:
+        return "".join(piece(x, m["q"]) for x in _CHANGE.split(m["code"])) if m["q"] and _CHANGE.search(m["code"]) else m[0]
+
+    return _GUARDED.sub(write, text)
+
+
+def free_pipes(text: str) -> str:
+    """Marks that no bar of a table crosses: each is closed before the bar and opened behind it; rulers have none."""
+
+    def write(m: re.Match) -> str:
+        return "|".join(f"{x[: len(x) - len(x.lstrip())]}{m[1]}{x.strip()}{m[4]}{x[len(x.rstrip()) :]}" if x.strip() else x for x in m[3].split("|"))
+
+    out = []
+    for row in text.split("\n"):
+        bare = re.sub(r"</?(?:ins|del|span)\b[^>]*>", "", row)
+        if "--" in bare and RULER.fullmatch(bare.strip()):
+            row = bare
+        elif re.match(r"[>\s]*\|", row):
+            row = re.sub(r"(<(ins|del|span)\b[^>]*>)([^<]*\|[^<]*)(</\2>)", write, row)
+        out.append(row)
+    return "\n".join(out)
+
+
 def balance_math(text: str) -> str:
     """A text whose display formulas are closed and stand on lines of their own."""
     if text.count("$$") % 2:
@@ -344,7 +458,8 @@ def render(old: str, new: str, threshold: float = THRESHOLD, collab: bool = Fals
             body.append(s.heading)
             toc.append(f"{'  ' * (s.level - 1)}- {title}" + (f" (+{one.added} / -{one.deleted})" if one.added + one.deleted else ""))
         if one.units:
-            body.append(balance_math("\n\n".join(render_unit(x, y, d, one.blocks, collab) for x, y, d in one.units)))
+            units = "\n\n".join(render_unit(x, y, d, one.blocks, collab) for x, y, d in one.units)
+            body.append(balance_math(free_pipes(free_code_spans(units))))
         else:
             text = "\n".join(s.lines).strip()
             body.append(mark(text, "ins", collab) if i is None and text else text)

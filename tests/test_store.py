@@ -128,3 +128,29 @@ def test_citation_keys_that_end_in_nought(spark):
     docs = spark.createDataFrame([(1, "\\begin{document}x \\cite{doe2020}\\end{document}")], "doc_id long, text string")
     entries = spark.createDataFrame([("doe2020", {"author": "Doe, J.", "year": "2020", "title": "T"})], "key string, fields map<string,string>")
     assert "[Doe, 2020]" in convert.latex_to_markdown(docs, entries).first().markdown
+
+
+def test_artifacts_keep_their_targets(spark, tmp_path):
+    from doctrail.sources import readers
+
+    rows = [("a/x.md", "one\n\ntwo   é"), ("b.md", "")]
+    readers.write_artifacts(spark.createDataFrame(rows, "target string, artifact string"), str(tmp_path / "out"))
+    assert sorted(map(tuple, readers.artifacts(spark, str(tmp_path / "out")).collect())) == rows
+
+
+def test_files_of_the_store(spark, tmp_path):
+    import hashlib
+    import json
+    import zlib
+
+    from doctrail.sources import readers
+
+    text = "a\n\né"
+    name = hashlib.sha256(text.encode()).hexdigest()
+    for folder, file, data in (("blobs/" + name[:2], name[2:], zlib.compress(text.encode(), 9)), ("commits", "c.json", json.dumps({"commit_id": "c", "target": "t", "byte_size": 5}, indent=1).encode()), ("commits", "bad.json", b"{"), ("notes", "n.md", b"x\xff")):
+        (tmp_path / folder).mkdir(parents=True, exist_ok=True)
+        (tmp_path / folder / file).write_bytes(data)
+    assert [tuple(x) for x in readers.blob_files(spark, str(tmp_path / "blobs")).collect()] == [(name, text)]
+    assert [(x.commit_id, x.byte_size) for x in readers.commit_files(spark, str(tmp_path / "commits")).collect()] == [("c", 5)]
+    assert [x.text for x in readers.texts(spark, str(tmp_path / "notes")).collect()] == ["x�"]
+    assert [(x.rel_path, x.size) for x in readers.file_listing(spark, str(tmp_path / "notes")).collect()] == [("n.md", 2)]

@@ -103,3 +103,39 @@ def test_ratio_is_that_of_the_library(a, b):
 @given(WORDS)
 def test_retention_of_itself(a):
     assert draft.retention(a, a) == 100.0
+
+
+def test_code_and_tables_are_marked_whole():
+    assert diff.fence_parts("```py x\na < b\n```") == ("", "py x", "a < b")
+    assert diff.fence_parts("> ~~~\n> a\n> ~~~") == ("> ", "", "a")
+    assert diff.fence_parts("```\nopen\nb") == ("", "", "open\nb")
+    assert diff.fence_parts("plain") == ("", "", "plain")
+    shown = diff.mark_code("> ```py\n> a < b\n> ```", "del", True, "Ann")
+    assert shown.startswith('> <pre title="Supprimé par Ann" style="background-color: #ffedd5;') and 'data-lang="py"' in shown and "a &lt; b</code></pre>" in shown
+    rows = diff.mark_table("| a |  |\n|---|---|\n| b | c |", "ins").split("\n")
+    assert rows[1] == "|---|---|" and rows[0].endswith("</span> |  |") and rows[2].count("<span") == 2
+    assert md.strip_marks("\n".join(rows)) == "| a |  |\n|---|---|\n| b | c |"
+
+
+def test_callouts_keep_their_head():
+    old, new = "> [!NOTE] Title\n> one two three four five\n", "> [!NOTE] Title\n> one two three four six\n"
+    text, added, deleted = diff.callout_pair(old, new)
+    assert text.startswith("> [!NOTE] Title\n> one two three four ") and (added, deleted) == (1, 1)
+    assert all(x.startswith(">") for x in text.splitlines())
+    assert md.strip_marks(text) == new and diff.callout_pair(new, new) == (new, 0, 0)
+    assert diff.callout_pair(old, new.replace("Title", "Other"))[0].startswith("> [!NOTE] <span")
+
+
+def test_much_changed_paragraphs_become_two():
+    old, new = diff.mark("all old words here", "del"), diff.mark("quite other things now", "ins")
+    text = diff.whole_paragraphs(f"{old} {new}\n\nkept {diff.mark('a', 'del')}{diff.mark('b', 'ins')} " + "word " * 20 + f"\n\n# {old}")
+    first, second, third, fourth = text.split("\n\n")
+    assert (first, second, fourth) == (old, new, f"# {old}") and third.startswith("kept ")
+
+
+def test_marks_leave_code_and_cells():
+    a, b = diff.mark("x", "del"), diff.mark("y", "ins")
+    assert md.strip_marks(diff.free_code_spans(f"see `f({a}{b})` end")) == "see `f(``y``)` end"
+    assert diff.free_code_spans(f"```\n`{a}`\n```") == f"```\n`{a}`\n```"
+    assert diff.free_pipes("| <span s>a | b</span> |\n| <span s>--- | ---</span> |") == "| <span s>a</span> | <span s>b</span> |\n| --- | --- |"
+    assert diff.free_pipes("no | <span s>a | b</span>") == "no | <span s>a | b</span>"
