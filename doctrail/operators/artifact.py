@@ -54,9 +54,9 @@ def for_copy(text: Column) -> Column:
     return F.trim(F.regexp_replace(plain, r"\n{3,}", "\n\n"))
 
 
-def assemble(parts: DataFrame) -> DataFrame:
-    """target, artifact of parts (target, source, commit_id, body, toc, table, audit, n_added, n_deleted)."""
-    text = F.concat(
+def assembled() -> Column:
+    """The text of an artefact, of the columns that ``assemble`` names."""
+    return F.concat(
         header(F.col("source"), F.col("target"), F.col("commit_id")),
         F.lit("\n## 🔄 Synthèse des Changements & Diffs Récents\n\n"),
         F.format_string("+%d / -%d — %s\n\n", F.col("n_added"), F.col("n_deleted"), F.coalesce("audit", F.lit("N/A"))),
@@ -65,4 +65,8 @@ def assemble(parts: DataFrame) -> DataFrame:
         F.col("body"),
         F.lit("\n\n## 💬 Commentaires & Retours d'Arbitrage\n"),
     )
-    return parts.select("target", text.alias("artifact"))
+
+
+def assemble(parts: DataFrame) -> DataFrame:
+    """target, artifact of parts (target, source, commit_id, body, toc, table, audit, n_added, n_deleted)."""
+    return parts.select("target", assembled().alias("artifact"))

@@ -89,6 +89,17 @@ def annotate(pairs: DataFrame, threshold: float = diff.THRESHOLD, collab: bool =
     return flat_map(_spread(pairs), ["old_text", "new_text"], lambda a, b: [diff.render(a or "", b or "", threshold, collab)], "body string, toc string", ["pair_id"])
 
 
+def compare(pairs: DataFrame, threshold: float = diff.THRESHOLD, collab: bool = False) -> DataFrame:
+    """pair_id, body, toc, added, deleted, retention_percent: all that a report needs, of one comparison of each pair."""
+
+    def one(old: str | None, new: str | None):
+        a, b = old or "", new or ""
+        found = diff.diff_document(a, b, threshold)
+        yield *diff.render_document(found, b, collab), found.added, found.deleted, draft.retention(a, b)
+
+    return flat_map(_spread(pairs), ["old_text", "new_text"], one, "body string, toc string, added int, deleted int, retention_percent double", ["pair_id"])
+
+
 def callout_pairs(pairs: DataFrame, threshold: float = diff.THRESHOLD, collab: bool = False) -> DataFrame:
     """pair_id, text, added, deleted of pairs whose old_text and new_text are callouts; a side that is none makes the row null."""
 

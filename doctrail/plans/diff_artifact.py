@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from doctrail.functions.tables import stored
 from doctrail.operators import artifact, convert, store, style, versions
 
 COLUMNS = "pair_id long, target string, old_text string, new_text string, mode string"
@@ -44,23 +45,22 @@ def to_markdown(pairs: DataFrame) -> DataFrame:
     return out
 
 
-def diff_artifacts(pairs: DataFrame, language: str = "en", threshold: float = 0.5) -> DataFrame:
+def diff_artifacts(pairs: DataFrame, language: str = "en", threshold: float = 0.5, history: DataFrame | None = None) -> DataFrame:
     """target, verdict, retention_percent, added, deleted, preserved, artifact of pairs (pair_id, target, old_text, new_text, commit_id).
 
-    A failed style check does not stop a row; its verdict stands in the result.
-    Each step is joined on pair_id, which keeps texts out of the shuffles but for
-    the last one.
+    ``history`` (target, table) is the table of each target's recent commits. A
+    failed style check does not stop a row; its verdict stands in the result.
+    Texts are converted once and written; one comparison of a pair gives its
+    marks and its counts, and the steps meet on pair_id.
     """
-    pairs = to_markdown(pairs)
+    pairs = stored(to_markdown(pairs))
     docs = pairs.select(F.col("pair_id").alias("doc_id"), F.col("new_text").alias("text"), F.lit(language).alias("language"), F.array().cast("array<string>").alias("allowed"))
     verdict = style.check_style(docs).select(F.col("doc_id").alias("pair_id"), "verdict", "n_hard", "n_soft")
-    counts = versions.diff_counts(pairs, threshold).select("pair_id", "added", "deleted")
-    kept = versions.retention(pairs).select("pair_id", "retention_percent")
     same = style.preservation(pairs).select("pair_id", "preserved")
     parts = pairs.select("pair_id", "target", "commit_id")
-    for step in (verdict, counts, kept, same, versions.annotate(pairs, threshold)):
+    for step in (verdict, same, versions.compare(pairs, threshold)):
         parts = parts.join(step, "pair_id")
+    parts = parts.withColumn("table", F.lit(None).cast("string")) if history is None else parts.join(history.select("target", "table"), "target", "left")
     audit = F.concat(F.col("verdict"), F.lit(" ("), F.col("n_hard").cast("string"), F.lit(" / "), F.col("n_soft").cast("string"), F.lit(")"))
-    full = parts.withColumns({"source": F.col("target"), "audit": audit, "table": F.lit(None).cast("string"), "n_added": F.col("added"), "n_deleted": F.col("deleted")})
-    text = artifact.assemble(full)
-    return full.drop("body", "toc", "table").join(text, "target").select("target", "verdict", "retention_percent", "added", "deleted", "preserved", "artifact")
+    full = parts.withColumns({"source": F.col("target"), "audit": audit, "n_added": F.col("added"), "n_deleted": F.col("deleted")})
+    return full.select("target", "verdict", "retention_percent", "added", "deleted", "preserved", artifact.assembled().alias("artifact"))

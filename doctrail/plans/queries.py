@@ -493,7 +493,8 @@ def diff_artifact_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The composite: each source's oldest document against its newest, compared, audited and assembled."""
     log = _log(spark, sf_dir)
     blobs = store.blobs(_documents(spark, sf_dir), "text")
-    return diff_artifact.diff_artifacts(diff_artifact.versions_of(log, blobs))
+    history = artifact.recent_table(log.withColumn("message", F.concat(F.lit("m"), F.col("write_seq").cast("string"))))
+    return diff_artifact.diff_artifacts(diff_artifact.versions_of(log, blobs), history=history)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

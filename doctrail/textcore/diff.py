@@ -448,7 +448,12 @@ def balance_math(text: str) -> str:
 
 def render(old: str, new: str, threshold: float = THRESHOLD, collab: bool = False) -> tuple[str, str]:
     """(body, table of contents) of the annotated new text."""
-    found, b = diff_document(old, new, threshold), md.sections(new)
+    return render_document(diff_document(old, new, threshold), new, collab)
+
+
+def render_document(found: DocumentDiff, new: str, collab: bool = False) -> tuple[str, str]:
+    """The same of a comparison made before."""
+    b = md.sections(new)
     body, toc = [], []
     for i, j, title, one in found.rows:
         if j is None:

@@ -154,3 +154,21 @@ def test_files_of_the_store(spark, tmp_path):
     assert [(x.commit_id, x.byte_size) for x in readers.commit_files(spark, str(tmp_path / "commits")).collect()] == [("c", 5)]
     assert [x.text for x in readers.texts(spark, str(tmp_path / "notes")).collect()] == ["x�"]
     assert [(x.rel_path, x.size) for x in readers.file_listing(spark, str(tmp_path / "notes")).collect()] == [("n.md", 2)]
+
+
+def test_composite_is_one_comparison_of_each_pair(spark):
+    from doctrail.operators import versions
+    from doctrail.plans import diff_artifact
+    from doctrail.textcore import diff, draft
+
+    old = "# A\n\nOne two three four five.\n\n## B\n\nKept.\n"
+    new = "# A\n\nOne two three four six.\n\n## B\n\nKept.\n\nA robust end.\n"
+    pairs = spark.createDataFrame([(1, "x.md", old, new, "c1"), (2, "y.md", old, old, "c2")], "pair_id long, target string, old_text string, new_text string, commit_id string")
+    history = spark.createDataFrame([("x.md", "| T |")], "target string, table string")
+    out = {x.target: x for x in diff_artifact.diff_artifacts(pairs, history=history).collect()}
+    body, toc = diff.render(old, new)
+    x, y = out["x.md"], out["y.md"]
+    assert (x.verdict, y.verdict, y.added, y.deleted, y.retention_percent) == ("FAIL", "PASS", 0, 0, 100.0)
+    assert x.retention_percent == draft.retention(old, new) and body in x.artifact and toc in x.artifact and "| T |\n\n" in x.artifact and "| T |" not in y.artifact
+    counts = {c.pair_id: (c.added, c.deleted) for c in versions.diff_counts(pairs).collect()}
+    assert counts[1] == (x.added, x.deleted)
