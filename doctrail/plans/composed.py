@@ -152,9 +152,10 @@ MARKED = """CASE WHEN doc_id % 3 = 0 THEN text WHEN doc_id % 2 = 0 THEN text ||
 STYLE_SQL = """
 d AS (SELECT doc_id, len(string_split(text, chr(10)))::INTEGER AS n, text FROM documents WHERE doc_id % 3 <> 0),
 i AS (
-  SELECT doc_id, 'transition' AS type, n + 1 AS line, CASE WHEN doc_id % 2 = 0 THEN 'Moreover' ELSE 'En outre' END AS term FROM d
-  UNION ALL SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'tier1a' ELSE 'tier2' END, n + 1, CASE WHEN doc_id % 2 = 0 THEN 'robust' ELSE 'crucial' END FROM d
-  UNION ALL SELECT doc_id, 'em-dash', n + 2, '—' FROM d)"""
+  SELECT doc_id, 'transition' AS type, n + 1 AS line, CASE WHEN doc_id % 2 = 0 THEN 'Moreover' ELSE 'En outre' END AS term, '' AS suggestion FROM d
+  UNION ALL SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'tier1a' ELSE 'tier2' END, n + 1, CASE WHEN doc_id % 2 = 0 THEN 'robust' ELSE 'crucial' END,
+    CASE WHEN doc_id % 2 = 0 THEN 'strong, reliable, solid' ELSE 'fournir une métrique ou un qualificatif précis' END FROM d
+  UNION ALL SELECT doc_id, 'em-dash', n + 2, '—', 'Remplacer par une virgule, deux points, ou reformuler sans incise artificielle' FROM d)"""
 
 
 def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,10 +163,10 @@ def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("allowed", F.array().cast("array<string>"))
 
 
-@query(f"WITH {STYLE_SQL} SELECT doc_id, type, line, term FROM i")
+@query(f"WITH {STYLE_SQL} SELECT doc_id, type, line, term, suggestion FROM i")
 def style_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All scans over all documents, deduplicated: a repeated term of one line counts once, code never."""
-    return style.dedup(style.scan(_marked(spark, sf_dir))).select("doc_id", "type", "line", "term")
+    return style.dedup(style.scan(_marked(spark, sf_dir))).select("doc_id", "type", "line", "term", "suggestion")
 
 
 @query(f"""WITH m AS (SELECT doc_id, {MARKED} AS text FROM documents), w AS (SELECT doc_id, len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'))::BIGINT AS word_count FROM m)
