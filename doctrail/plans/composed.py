@@ -152,7 +152,7 @@ MARKED = """CASE WHEN doc_id % 3 = 0 THEN text WHEN doc_id % 2 = 0 THEN text ||
 STYLE_SQL = """
 d AS (SELECT doc_id, len(string_split(text, chr(10)))::INTEGER AS n, text FROM documents WHERE doc_id % 3 <> 0),
 i AS (
-  SELECT doc_id, 'transition' AS type, n + 1 AS line, CASE WHEN doc_id % 2 = 0 THEN 'Moreover' ELSE 'En outre' END AS term, '' AS suggestion FROM d
+  SELECT doc_id, 'transition' AS type, n + 1 AS line, CASE WHEN doc_id % 2 = 0 THEN 'Moreover' ELSE 'En outre' END AS term, CASE WHEN doc_id % 2 = 0 THEN 'cut or integrate smoothly' ELSE 'aussi, de plus, ou supprimer' END AS suggestion FROM d
   UNION ALL SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'tier1a' ELSE 'tier2' END, n + 1, CASE WHEN doc_id % 2 = 0 THEN 'robust' ELSE 'crucial' END,
     CASE WHEN doc_id % 2 = 0 THEN 'strong, reliable, solid' ELSE 'fournir une métrique ou un qualificatif précis' END FROM d
   UNION ALL SELECT doc_id, 'em-dash', n + 2, '—', 'Remplacer par une virgule, deux points, ou reformuler sans incise artificielle' FROM d)"""
