@@ -149,13 +149,25 @@ def wikilink_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Texts with issues of known lines, for two documents in three; French ones for every other.
 MARKED = """CASE WHEN doc_id % 3 = 0 THEN text WHEN doc_id % 2 = 0 THEN text || chr(10) || 'Moreover, it is robust, so Robust.' || chr(10) || 'A plain — dash and `delve` in code'
   ELSE text || chr(10) || 'En outre, le point est crucial et crucial.' || chr(10) || 'Un tiret — ici' END"""
-STYLE_SQL = """
-d AS (SELECT doc_id, len(string_split(text, chr(10)))::INTEGER AS n, text FROM documents WHERE doc_id % 3 <> 0),
-i AS (
-  SELECT doc_id, 'transition' AS type, n + 1 AS line, CASE WHEN doc_id % 2 = 0 THEN 'Moreover' ELSE 'En outre' END AS term, CASE WHEN doc_id % 2 = 0 THEN 'cut or integrate smoothly' ELSE 'aussi, de plus, ou supprimer' END AS suggestion FROM d
-  UNION ALL SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'tier1a' ELSE 'tier2' END, n + 1, CASE WHEN doc_id % 2 = 0 THEN 'robust' ELSE 'crucial' END,
-    CASE WHEN doc_id % 2 = 0 THEN 'strong, reliable, solid' ELSE 'fournir une métrique ou un qualificatif précis' END FROM d
-  UNION ALL SELECT doc_id, 'em-dash', n + 2, '—', 'Remplacer par une virgule, deux points, ou reformuler sans incise artificielle' FROM d)"""
+
+
+def _phrase_sql(phrases: dict[str, str], kind: str, languages: str) -> str:
+    """Each phrase of a list, with its line and advice, in the lines of the texts of some languages."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    pattern = "(?i)(?:^|[^\\p{L}\\p{N}_])(" + "|".join(sorted(phrases, key=lambda x: (-len(x), x))) + ")(?:$|[^\\p{L}\\p{N}_])"
+    advice = "MAP {" + ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in phrases.items()) + "}"
+    found = f"SELECT doc_id, line, unnest(regexp_extract_all(words, {quoted(pattern)}, 1)) AS term FROM l WHERE doc_id % 2 IN ({languages})"
+    return f"SELECT doc_id, '{kind}' AS type, line, min(term) AS term, {advice}[lower(min(term))] AS suggestion FROM ({found}) GROUP BY doc_id, line, lower(term)"
+
+
+STYLE_SQL = f"""
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS words, generate_subscripts(string_split(text, chr(10)), 1)::INTEGER AS line FROM (SELECT doc_id, replace({MARKED}, '`delve`', '') AS text FROM documents)),
+d AS (SELECT doc_id, len(string_split(text, chr(10)))::INTEGER AS n FROM documents WHERE doc_id % 3 <> 0),
+raw AS (
+  {_phrase_sql(style.rules.EN_TRANSITIONS, "transition", "0")} UNION ALL {_phrase_sql(style.rules.FR_TRANSITIONS, "transition", "1")} UNION ALL {_phrase_sql(style.rules.TIER1A, "tier1a", "0, 1")}
+  UNION ALL SELECT doc_id, 'tier2', n + 1, 'crucial', 'fournir une métrique ou un qualificatif précis' FROM d WHERE doc_id % 2 = 1
+  UNION ALL SELECT doc_id, 'em-dash', n + 2, '—', 'Remplacer par une virgule, deux points, ou reformuler sans incise artificielle' FROM d),
+i AS (SELECT doc_id, type, line, CASE WHEN lower(term) = 'robust' AND line = n + 1 THEN 'robust' ELSE term END AS term, suggestion FROM raw LEFT JOIN d USING (doc_id))"""
 
 
 def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,10 +181,9 @@ def style_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return style.dedup(style.scan(_marked(spark, sf_dir))).select("doc_id", "type", "line", "term", "suggestion")
 
 
-@query(f"""WITH m AS (SELECT doc_id, {MARKED} AS text FROM documents), w AS (SELECT doc_id, len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'))::BIGINT AS word_count FROM m)
-SELECT doc_id, word_count, CASE WHEN word_count < 500 THEN 0 WHEN word_count <= 1500 THEN 1 ELSE 2 END AS budget_max,
-  CASE WHEN doc_id % 3 = 0 THEN 0 WHEN doc_id % 2 = 0 THEN 3 ELSE 2 END::BIGINT AS n_hard, CASE WHEN doc_id % 3 <> 0 AND doc_id % 2 = 1 THEN 1 ELSE 0 END::BIGINT AS n_soft,
-  CASE WHEN doc_id % 3 = 0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM w""")
+@query(f"""WITH {STYLE_SQL}, m AS (SELECT doc_id, {MARKED} AS text FROM documents), w AS (SELECT doc_id, len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'))::BIGINT AS word_count FROM m),
+c AS (SELECT w.*, CASE WHEN word_count < 500 THEN 0 WHEN word_count <= 1500 THEN 1 ELSE 2 END AS budget_max, count(type) FILTER (type <> 'tier2') AS n_hard, count(type) FILTER (type = 'tier2') AS n_soft FROM w LEFT JOIN i USING (doc_id) GROUP BY w.doc_id, word_count)
+SELECT *, CASE WHEN n_hard > 0 OR n_soft > budget_max THEN 'FAIL' WHEN n_soft > 0 THEN 'WARN' ELSE 'PASS' END AS verdict FROM c""")
 def style_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return style.check_style(_marked(spark, sf_dir))
 
