@@ -255,21 +255,24 @@ def _local(key: Column) -> Column:
 def mentioned_stems(notes: DataFrame, stems: DataFrame, skipped: tuple[str, ...] = ("_agents/project_diffs", "_agents/store")) -> DataFrame:
     """stem: the artefact names that some note (columns path, text) speaks of, in plain or URL-coded form.
 
-    Notes are cut at every mark that may precede a name, and the rest of the
-    line is joined by its first word, so notes and names never meet all with all.
+    Notes are cut at every mark that may precede a name. What begins the rest
+    of the line is tried in each length that names of its first word have, and
+    joined whole, so names that share their first word never meet all notes.
     """
     skip = rf"(?i)^({'|'.join(skipped)})(/|$)|(^|/)(\.git|\.obsidian|node_modules|\.trash|\.venv|__pycache__)(/|$)"
+    # Only lines with a mark, plain or coded, are decoded.
+    marked = F.filter(F.split("text", "\n"), lambda x: x.contains("🤖") | x.contains("%") | F.lower(x).contains("project_diffs/"))
+    lines = notes.where(~F.col("path").rlike(skip)).select(F.explode(marked).alias("text"))
     # A per cent sign that codes nothing stays, as in plain texts.
     coded = F.regexp_replace(F.regexp_replace("text", r"\+", "%2B"), "%(?![0-9A-Fa-f]{2})", "%25")
     text = F.lower(F.coalesce(F.try_url_decode(coded), F.col("text")))
-    tails = notes.where(~F.col("path").rlike(skip)).select(F.explode(F.regexp_extract_all(text, F.lit(r"(?=(?:🤖 |project_diffs/(?:🤖 )?)([^\n]+))"), F.lit(1))).alias("tail")).distinct()
-    names = stems.select(F.lower(F.trim("stem")).alias("stem")).where("stem <> ''").distinct()
-    first = F.substring_index(F.col("tail"), " ", 1)
-    heads_ = names.withColumn("n", F.length(F.substring_index("stem", " ", 1)))
-    lengths = heads_.select("n").distinct()
-    keyed = tails.join(F.broadcast(lengths.where("n <= 4096")), F.length(first) >= F.col("n")).withColumn("head", F.expr("substr(tail, 1, n)"))
-    met = keyed.join(heads_.withColumn("head", F.substring_index("stem", " ", 1)).drop("n"), "head").where(F.expr("startswith(tail, stem)"))
-    return met.select("stem").distinct()
+    tails = lines.select(F.explode(F.regexp_extract_all(text, F.lit(r"(?=(?:🤖 |project_diffs/(?:🤖 )?)([^\n]+))"), F.lit(1))).alias("tail")).distinct()
+    names = stems.select(F.lower(F.trim("stem")).alias("stem")).where("stem <> ''").distinct().withColumn("head", F.substring_index("stem", " ", 1))
+    lengths = names.select(F.length("head").alias("n")).distinct()
+    keyed = tails.join(F.broadcast(lengths), F.length(F.substring_index("tail", " ", 1)) >= F.col("n")).withColumn("head", F.expr("substr(tail, 1, n)")).drop("n")
+    sizes = names.groupBy("head").agg(F.collect_set(F.length("stem")).alias("sizes"))
+    tried = keyed.join(sizes, "head").select("tail", F.explode("sizes").alias("n")).where(F.length("tail") >= F.col("n")).select(F.expr("substr(tail, 1, n)").alias("stem")).distinct()
+    return names.select("stem").join(tried, "stem", "left_semi")
 
 
 def protected_keys(targets: DataFrame | None, mentioned: DataFrame | None, artifacts: DataFrame | None) -> DataFrame:

@@ -134,6 +134,15 @@ def test_audits_of_another_target_are_not_found(spark, tmp_path):
     assert found == con.execute(SQL["audit_lookup"]).fetchall() and len(found) == 1
 
 
+def test_names_of_one_first_word_do_not_meet_all_notes(spark):
+    notes = spark.createDataFrame([("a.md", "see 🤖 Plan 7 of May\n🤖 plan 70"), ("b.md", "🤖 planet"), ("c.md", "🤖 plan")], "path string, text string")
+    stems = spark.createDataFrame([(f"plan {k}",) for k in range(100)] + [("plan",), ("plan 7 of",), ("plan 7 of June",), ("",), (None,)], "stem string")
+    found = store.mentioned_stems(notes, stems)
+    assert sorted(x.stem for x in found.collect()) == ["plan", "plan 7", "plan 7 of", "plan 70"]
+    # Names are joined whole: no pair is made first and tested for its beginning then.
+    assert "StartsWith" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_citation_keys_that_end_in_nought(spark):
     from doctrail.operators import convert
 
