@@ -1,5 +1,6 @@
 """Golden cases and properties of the text functions, without Spark."""
 
+import random
 from difflib import SequenceMatcher
 
 from hypothesis import given, settings
@@ -139,3 +140,27 @@ def test_marks_leave_code_and_cells():
     assert diff.free_code_spans(f"```\n`{a}`\n```") == f"```\n`{a}`\n```"
     assert diff.free_pipes("| <span s>a | b</span> |\n| <span s>--- | ---</span> |") == "| <span s>a</span> | <span s>b</span> |\n| --- | --- |"
     assert diff.free_pipes("no | <span s>a | b</span>") == "no | <span s>a | b</span>"
+
+
+def _unlike(n):
+    """Two texts of n words that share their first sentence and many single words."""
+    r = random.Random(n)
+    return ("One first line of both.\n" + " ".join(r.choices(("the", "of", *(f"w{k}" for k in range(40))), k=n)) for _ in range(2))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text("ab c", max_size=250), st.text("ab c", max_size=250), st.integers(0, 5))
+def test_blocks_are_those_of_the_library(a, b, k):
+    a, b = a + b[:k] + a, b + a[k:] + b
+    assert sorted(similarity.blocks(a, b)) == [tuple(x) for x in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()[:-1]]
+    assert [x[:5] for x in diff.opcodes(list(a), list(b))] == SequenceMatcher(None, list(a), list(b), autojunk=False).get_opcodes() or a == b
+
+
+def test_long_token_lists_do_not_reach_the_library(monkeypatch):
+    a, b = map(diff.tokens, _unlike(900))
+    cells = []
+    monkeypatch.setattr(similarity, "SequenceMatcher", lambda j, x, y, autojunk: cells.append(len(x) * len(y)) or SequenceMatcher(j, x, y, autojunk=autojunk))
+    monkeypatch.setattr(diff, "SequenceMatcher", lambda j, x, y, autojunk: cells.append(len(x) * len(y)) or SequenceMatcher(j, x, y, autojunk=autojunk))
+    found = diff.opcodes(a, b)
+    assert max(cells) <= similarity.SMALL
+    assert [x[:5] for x in found] == SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
