@@ -41,8 +41,8 @@ def align_units(pairs: DataFrame) -> DataFrame:
     """pair_id, sec_ord, ord, op, old_pos, new_pos: the units of matched sections, aligned."""
 
     def rows(old: str | None, new: str | None):
-        for s, (_, _, _, one) in enumerate(diff.diff_document(old or "", new or "").rows):
-            for k, (op, i, j) in enumerate(one.alignment):
+        for s, path in enumerate(diff.alignments(old or "", new or "")):
+            for k, (op, i, j) in enumerate(path):
                 yield s, k, op, i, j
 
     return flat_map(_spread(_split_same(pairs)[1]), ["old_text", "new_text"], rows, f"sec_ord int, {schema.ALIGNMENT}", ["pair_id"])

@@ -164,3 +164,18 @@ def test_long_token_lists_do_not_reach_the_library(monkeypatch):
     found = diff.opcodes(a, b)
     assert max(cells) <= similarity.SMALL
     assert [x[:5] for x in found] == SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
+
+
+def test_alignment_does_not_compare_words(monkeypatch):
+    old, new = ("\n\n".join(_unlike(120)), "\n\n".join(_unlike(121)))
+    expected = [x[3].alignment for x in diff.diff_document(old, new).rows]
+    monkeypatch.setattr(diff, "diff_pair", None)
+    assert list(diff.alignments(old, new)) == expected
+
+
+def test_ratio_is_measured_as_far_as_needed(monkeypatch):
+    old, new = _unlike(600)
+    whole = similarity.ratio(old, new)
+    assert similarity.reaches(old, new, whole) and not similarity.reaches(old, new, whole + 1e-9)
+    monkeypatch.setattr(similarity, "matched", None)
+    assert diff.align([old], [new]) == [("pair", 0, 0)]
