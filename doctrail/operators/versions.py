@@ -64,7 +64,7 @@ def diff_counts(pairs: DataFrame, threshold: float = diff.THRESHOLD) -> DataFram
     """pair_id, sections, modified, added, deleted; equal texts are settled without Python."""
 
     def rows(old: str | None, new: str | None):
-        found = diff.diff_document(old or "", new or "", threshold)
+        found = diff.diff_document(old or "", new or "", threshold, False)
         yield len(found.rows), len(found.modified), found.added, found.deleted
 
     same, other = _split_same(pairs)

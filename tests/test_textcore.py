@@ -179,3 +179,11 @@ def test_ratio_is_measured_as_far_as_needed(monkeypatch):
     assert similarity.reaches(old, new, whole) and not similarity.reaches(old, new, whole + 1e-9)
     monkeypatch.setattr(similarity, "matched", None)
     assert diff.align([old], [new]) == [("pair", 0, 0)]
+
+
+def test_a_block_is_known_by_its_first_segments(monkeypatch):
+    old, new = _unlike(600)
+    found = diff.diff_document(old, new)
+    monkeypatch.setattr(diff, "opcodes", None)
+    fast = diff.diff_document(old, new, whole=False)
+    assert (fast.added, fast.deleted, fast.modified) == (found.added, found.deleted, found.modified) and found.rows[0][3].units[0][2].mode == "block"
