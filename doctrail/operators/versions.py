@@ -77,7 +77,7 @@ def section_totals(pairs: DataFrame, threshold: float = diff.THRESHOLD) -> DataF
     """pair_id, sec_ord, title, status, added, deleted of each section."""
 
     def rows(old: str | None, new: str | None):
-        for k, (i, j, title, one) in enumerate(diff.diff_document(old or "", new or "", threshold).rows):
+        for k, (i, j, title, one) in enumerate(diff.diff_document(old or "", new or "", threshold, False).rows):
             status = "deleted" if j is None else "inserted" if i is None else "modified" if one.added + one.deleted else "same"
             yield k, title, status, one.added, one.deleted
 

@@ -187,3 +187,10 @@ def test_a_block_is_known_by_its_first_segments(monkeypatch):
     monkeypatch.setattr(diff, "opcodes", None)
     fast = diff.diff_document(old, new, whole=False)
     assert (fast.added, fast.deleted, fast.modified) == (found.added, found.deleted, found.modified) and found.rows[0][3].units[0][2].mode == "block"
+
+
+def test_sections_are_counted_without_opcodes(monkeypatch):
+    old, new = ("# A\n" + x + "\n# B\nkept" for x in _unlike(600))
+    expected = [(x[2], x[3].added, x[3].deleted) for x in diff.diff_document(old, new).rows]
+    monkeypatch.setattr(diff, "opcodes", None)
+    assert [(x[2], x[3].added, x[3].deleted) for x in diff.diff_document(old, new, whole=False).rows] == expected
