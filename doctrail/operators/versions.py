@@ -94,7 +94,7 @@ def compare(pairs: DataFrame, threshold: float = diff.THRESHOLD, collab: bool =
 
     def one(old: str | None, new: str | None):
         a, b = old or "", new or ""
-        found = diff.diff_document(a, b, threshold)
+        found = diff.diff_document(a, b, threshold, False)
         yield *diff.render_document(found, b, collab), found.added, found.deleted, draft.retention(a, b)
 
     return flat_map(_spread(pairs), ["old_text", "new_text"], one, "body string, toc string, added int, deleted int, retention_percent double", ["pair_id"])

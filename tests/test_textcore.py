@@ -194,3 +194,11 @@ def test_sections_are_counted_without_opcodes(monkeypatch):
     expected = [(x[2], x[3].added, x[3].deleted) for x in diff.diff_document(old, new).rows]
     monkeypatch.setattr(diff, "opcodes", None)
     assert [(x[2], x[3].added, x[3].deleted) for x in diff.diff_document(old, new, whole=False).rows] == expected
+
+
+def test_annotation_of_a_block_needs_no_opcodes(monkeypatch):
+    old, new = _unlike(600)
+    expected = diff.render_document(diff.diff_document(old, new), new)
+    monkeypatch.setattr(diff, "opcodes", None)
+    assert diff.render(old, new) == expected
+    assert "#fee2e2" in diff.whole_paragraphs(expected[0])
