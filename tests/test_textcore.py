@@ -202,3 +202,10 @@ def test_annotation_of_a_block_needs_no_opcodes(monkeypatch):
     monkeypatch.setattr(diff, "opcodes", None)
     assert diff.render(old, new) == expected
     assert "#fee2e2" in diff.whole_paragraphs(expected[0])
+
+
+def test_accepting_revisions_of_a_block_needs_no_opcodes(monkeypatch):
+    old, new = _unlike(600)
+    expected = md.accept_up_to(diff.render_document(diff.diff_document(old, new), new)[0], 2)
+    monkeypatch.setattr(diff, "opcodes", None)
+    assert md.accept_up_to(diff.render(old, new)[0], 2) == expected
