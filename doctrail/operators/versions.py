@@ -111,10 +111,11 @@ def callout_pairs(pairs: DataFrame, threshold: float = diff.THRESHOLD, collab: b
 
 
 def whole_paragraphs(docs: DataFrame, threshold: float = diff.THRESHOLD) -> DataFrame:
-    """doc_id, text: annotated texts whose much changed paragraphs show the whole old and the whole new one; unmarked texts pass without Python."""
-    marked = F.coalesce(F.col("text").contains("<span"), F.lit(False))
-    done = row_map(docs.where(marked), ["text"], lambda t: diff.whole_paragraphs(t, threshold), "text", "string", ["doc_id"])
-    return docs.where(~marked).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).unionByName(done)
+    """doc_id, text: annotated texts whose much changed paragraphs show the whole old and the whole new one.
+
+    The texts are read once, as each may be the result of a comparison.
+    """
+    return row_map(docs, ["text"], lambda t: diff.whole_paragraphs(t, threshold) if t and "<span" in t else t or "", "text", "string", ["doc_id"])
 
 
 def accept_revisions(docs: DataFrame, line: int) -> DataFrame:

@@ -193,3 +193,12 @@ def test_composite_is_one_comparison_of_each_pair(spark):
     assert x.retention_percent == draft.retention(old, new) and body in x.artifact and toc in x.artifact and "| T |\n\n" in x.artifact and "| T |" not in y.artifact
     counts = {c.pair_id: (c.added, c.deleted) for c in versions.diff_counts(pairs).collect()}
     assert counts[1] == (x.added, x.deleted)
+
+
+def test_texts_are_annotated_once_for_whole_paragraphs(spark):
+    from doctrail.operators import versions
+
+    pairs = spark.createDataFrame([(1, "one two three", "four five six"), (2, "same", "same")], "pair_id long, old_text string, new_text string")
+    found = versions.whole_paragraphs(versions.annotate(pairs).selectExpr("pair_id AS doc_id", "body AS text"))
+    assert {x.doc_id: x.text.count("<span") for x in found.collect()} == {1: 2, 2: 0}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2
