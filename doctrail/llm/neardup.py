@@ -212,6 +212,24 @@ def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
     return np.unique(out)
 
 
+def simhash(found: np.ndarray) -> int:
+    """The bits that more than half of a set's hashes have; 0 for an empty set."""
+    counts = np.zeros(64, np.int64)
+    for k in range(0, len(found), BLOCK):
+        counts += np.unpackbits(found[k : k + BLOCK].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.uint32)
+    return int.from_bytes(np.packbits(2 * counts > len(found)).tobytes(), "big")
+
+
+def tree_pairs(classes: DataFrame, radius: int = 4) -> DataFrame:
+    """Pairs (u, v) of classes (long columns c, fp) that BK-trees of their fingerprints link: each with the first of its fingerprint, and the first ones of linked fingerprints."""
+    first = checkpoint(classes.groupBy("fp").agg(F.min("c").alias("lead"), F.count("*").alias("m")))
+    met = links(first.select("fp"), radius)
+    for x in "uv":
+        met = met.join(first.select(F.col("fp").alias(x), F.col("lead").alias(f"lead_{x}")), x)
+    same = classes.join(first.where("m > 1"), "fp").where("c <> lead").select(F.col("c").alias("u"), F.col("lead").alias("v"))
+    return met.select(F.col("lead_u").alias("u"), F.col("lead_v").alias("v")).unionByName(same)
+
+
 def bands(found: np.ndarray) -> np.ndarray:
     """BANDS numbers, each of IN_BAND minima of a set of shingles; none for an empty set."""
     if not len(found):
@@ -225,11 +243,13 @@ def bands(found: np.ndarray) -> np.ndarray:
 def similar_groups(numbers: Rows, similarity: float = SIMILARITY) -> DataFrame:
     """rid, doc_id, representative: one of each group of documents joined by links of at least this Jaccard similarity.
 
-    Documents with the same set are one class. Classes that share a band of
-    minima are candidates; a link is only what the sets themselves confirm. A
-    band's classes are first compared with one of them, in rounds, and then in
-    pairs where no links join them yet, so large groups of near copies cost
-    linear work. Texts without words are one class; the representative has the
+    Documents with the same set are one class. Classes whose SimHash
+    fingerprints sharded BK-trees link are the first candidates; as most pairs
+    at the least similarity differ in more bits than trees can be sought for,
+    classes that share a band of minima follow. A link is only what the sets
+    themselves confirm. A band's classes are first compared with one of them,
+    in rounds, and then in pairs where no links join them yet, so large groups
+    of near copies cost linear work. Texts without words are one class; the representative has the
     smallest doc_id (nulls last), then the first row.
     """
 
@@ -237,8 +257,9 @@ def similar_groups(numbers: Rows, similarity: float = SIMILARITY) -> DataFrame:
         for batch in batches:
             sets = [shingles(x) for x in utf8(batch, "text")]
             classes = np.array([int(mixed(x).sum(dtype=np.uint64)) ^ len(x) for x in sets], np.uint64)
+            fps = np.array([simhash(x) for x in sets], np.uint64).view(np.int64)
             made = pa.array([bands(x).view(np.int64) for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id").cast(pa.int64()), pa.array(mixed(classes).view(np.int64)), made], ["rid", "doc_id", "c", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id").cast(pa.int64()), pa.array(mixed(classes).view(np.int64)), pa.array(fps), made], ["rid", "doc_id", "c", "fp", "bands"])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,13 +267,15 @@ def similar_groups(numbers: Rows, similarity: float = SIMILARITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("c"), sets], ["c", "set"])
 
     rows = numbers.numbered("doc_id", "text")
-    marked = stored(arrow_map(rows, sketch, "rid long, doc_id long, c long, bands array<long>"))
+    marked = stored(arrow_map(rows, sketch, "rid long, doc_id long, c long, fp long, bands array<long>"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
-    classes = checkpoint(marked.groupBy("c").agg(F.min(F.struct(order.alias("first"), "bands")).alias("s")).select("c", "s.first", "s.bands"))
+    classes = checkpoint(marked.groupBy("c").agg(F.min(F.struct(order.alias("first"), "fp", "bands")).alias("s")).select("c", "s.first", "s.fp", "s.bands"))
+    near = checkpoint(tree_pairs(classes.select("c", "fp")))
     ends = classes.select("c", F.posexplode("bands").alias("i", "k"))
     shared = ends.groupBy("i", "k").agg(F.count("*").alias("m")).where("m > 1").drop("m")
     ends = stored(ends.join(shared, ["i", "k"]))
-    wanted = checkpoint(ends.select("c").distinct().join(classes, "c").select("c", F.col("first.rid").alias("rid")))
+    asked = ends.select("c").unionByName(near.select(F.explode(F.array("u", "v")).alias("c")))
+    wanted = checkpoint(asked.distinct().join(classes, "c").select("c", F.col("first.rid").alias("rid")))
     met = rows.join(F.broadcast(wanted) if wanted.count() <= ASKED else wanted, "rid").select("c", "text")
     sets = stored(arrow_map(met, fetch, "c long, set array<long>"))
 
@@ -262,9 +285,10 @@ def similar_groups(numbers: Rows, similarity: float = SIMILARITY) -> DataFrame:
         total = F.size("set_u") + F.size("set_v")
         return both.where((F.least(F.size("set_u"), F.size("set_v")) >= similarity * F.greatest(F.size("set_u"), F.size("set_v")) - 1e-9) & (F.size(F.array_intersect("set_u", "set_v")) >= total * (similarity / (1 + similarity)) - 1e-9)).select("u", "v")
 
-    links, joined = None, None
+    found = checkpoint(confirmed(near))
+    joined = components(found)
     for k in range(ROUNDS + 1):
-        labelled = ends.withColumn("label", F.col("c")) if joined is None else ends.join(joined.select(F.col("u").alias("c"), "v"), "c", "left").select("i", "k", "c", F.coalesce("v", "c").alias("label"))
+        labelled = ends.join(joined.select(F.col("u").alias("c"), "v"), "c", "left").select("i", "k", "c", F.coalesce("v", "c").alias("label"))
         if k < ROUNDS:
             heads = labelled.groupBy("i", "k").agg(F.min(F.struct(F.xxhash64("c", F.lit(k)).alias("r"), "c", "label")).alias("x"))
             pairs = labelled.join(heads, ["i", "k"]).where(F.col("label") != F.col("x.label")).select(F.col("c").alias("u"), F.col("x.c").alias("v"))
@@ -274,9 +298,8 @@ def similar_groups(numbers: Rows, similarity: float = SIMILARITY) -> DataFrame:
             left = labelled.join(apart, ["i", "k"])
             a, b = left.alias("a"), left.alias("b")
             pairs = a.join(b, (F.col("a.i") == F.col("b.i")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.c") < F.col("b.c")) & (F.col("a.label") != F.col("b.label"))).select(F.col("a.c").alias("u"), F.col("b.c").alias("v"))
-        found = checkpoint(confirmed(pairs))
-        links = found if links is None else links.unionByName(found)
-        joined = components(links)
+        found = found.unionByName(checkpoint(confirmed(pairs)))
+        joined = components(found)
     roots = joined.select(F.col("v").alias("u"), "v").distinct().unionByName(joined)
     led = roots.withColumnRenamed("u", "c").join(classes.select("c", "first"), "c")
     lowest = led.groupBy("v").agg(F.min("first").alias("lowest"))

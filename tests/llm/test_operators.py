@@ -207,6 +207,23 @@ def test_documents_at_a_similarity_of_0_8_are_found(spark, docs, tmp_path):
     assert neardup.keep_dissimilar(spark.read.parquet(str(tmp_path / "d")).where("1 = 0")).count() == 0
 
 
+def test_near_copies_come_from_trees_first(spark, tmp_path, monkeypatch):
+    r = random.Random(31)
+    base = [f"w{r.randrange(5000)}" for _ in range(400)]
+    texts = [" ".join(base), " ".join([*base[:200], "new", *base[201:]]), " ".join(f"x{r.randrange(5000)}" for _ in range(400)), "", None]
+    sets = [neardup.shingles((x or "").encode()) for x in texts]
+    fps = [neardup.simhash(x) for x in sets]
+    assert fps[0].bit_count() == sum(2 * sum(int(h) >> k & 1 for h in sets[0]) > len(sets[0]) for k in range(64))
+    assert (fps[0] ^ fps[1]).bit_count() <= 4 and fps[3] == 0
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    classes = spark.createDataFrame([(k, x) for k, x in enumerate([*signed[:3], signed[2]])], "c long, fp long")
+    assert {frozenset(x) for x in neardup.tree_pairs(classes).collect()} == {frozenset((0, 1)), frozenset((2, 3))}
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    asked, real = [], neardup.links
+    monkeypatch.setattr(neardup, "links", lambda *x: asked.append(x) or real(*x))
+    assert {x.doc_id for x in neardup.keep_dissimilar(spark.read.parquet(str(tmp_path / "d"))).collect()} == {0, 2, 3} and asked
+
+
 def test_large_shards_are_cut(spark):
     r = random.Random(2)
     values = {((7 << 40) ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64))) for _ in range(120)}
