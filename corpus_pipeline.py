@@ -30,7 +30,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: shingles of five words, Jaccard similarity from 0.8 on."""
+    """One document of each group of near duplicates: SimHash, BK-trees, and bands for what these cannot reach; shingles of five words, Jaccard similarity from 0.8 on."""
     return neardup.keep_dissimilar(docs)
 
 
