@@ -123,6 +123,11 @@ def accept_revisions(docs: DataFrame, line: int) -> DataFrame:
     return flat_map(docs, ["text"], lambda t: [md.accept_up_to(t or "", line)], "text string, validated int, remaining int", ["doc_id"])
 
 
+def annotate_accepted(pairs: DataFrame, line: int, threshold: float = diff.THRESHOLD, collab: bool = False) -> DataFrame:
+    """pair_id, text, validated, remaining: the new text with coloured marks, the revisions above a line accepted; one pass over each pair."""
+    return flat_map(_spread(pairs), ["old_text", "new_text"], lambda a, b: [md.accept_up_to(diff.render(a or "", b or "", threshold, collab)[0], line)], "text string, validated int, remaining int", ["pair_id"])
+
+
 def one_side(docs: DataFrame, keep: str = "new") -> DataFrame:
     """doc_id, text: one side of annotated texts."""
     return row_map(docs, ["text"], lambda t: md.strip_marks(t or "", keep), "text", "string", ["doc_id"])

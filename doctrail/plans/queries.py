@@ -450,8 +450,7 @@ def callout_pair_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def accept_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = versions.annotate(_near_pairs(spark, sf_dir)).select(F.col("pair_id").alias("doc_id"), F.col("body").alias("text"))
-    return versions.accept_revisions(marked, 2)
+    return versions.annotate_accepted(_near_pairs(spark, sf_dir), 2).withColumnRenamed("pair_id", "doc_id")
 
 
 # ---------------------------------------------------------------- conversion

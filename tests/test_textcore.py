@@ -209,3 +209,24 @@ def test_accepting_revisions_of_a_block_needs_no_opcodes(monkeypatch):
     expected = md.accept_up_to(diff.render_document(diff.diff_document(old, new), new)[0], 2)
     monkeypatch.setattr(diff, "opcodes", None)
     assert md.accept_up_to(diff.render(old, new)[0], 2) == expected
+
+
+def test_a_lone_block_is_known_without_its_similarity(monkeypatch):
+    old, new = _unlike(600)
+    pairs = [("# A\n" + x, "# A\n" + y) for x, y in ((old, new), (new, old), (old, old + new), (old, "other " + old), ("| a |\n|---|\n| b |", "| a |\n|---|\n| c |"), ("a `b|c` d", "e `f` g"), ("one", "two"), ("> q r", "> q s"))]
+    expected = [md.accept_up_to(diff.render_document(diff.diff_document(*x), x[1])[0], 2) for x in pairs]
+    assert [md.accept_up_to(diff.render(*x)[0], 2) for x in pairs] == expected
+    monkeypatch.setattr(similarity, "blocks", None)
+    assert md.accept_up_to(diff.render(*pairs[0])[0], 2) == expected[0]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b", "ab", " ", "c d", "$x y$", "<!-- a b -->", "`a`", "\n", ">", "|"]), max_size=60), st.lists(st.sampled_from(["a", "b", "ab", " ", "c", "`a b`", "."]), max_size=60), st.integers(0, 60))
+def test_blocks_told_early_are_blocks(a, b, k):
+    old, new = "".join(a), "".join(a[:k] + b + a[k:])
+    for x, y in ((old, new), (new, old), (old, "".join(b))):
+        found, fast = diff.diff_pair(x, y), diff.diff_pair(x, y, whole=False)
+        assert (fast.mode, fast.added, fast.deleted) == (found.mode, found.added, found.deleted) and fast.ops in (found.ops, [])
+        sections = [diff.diff_section(x, y, whole=w) for w in (True, False)]
+        assert len({(s.added, s.deleted) for s in sections}) == 1
+        assert len({"\n\n".join(diff.render_unit(o, n, d, s.blocks) for o, n, d in s.units) for s in sections}) == 1
