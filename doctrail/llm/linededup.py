@@ -59,8 +59,13 @@ def _cell(h: Column) -> Column:
 
 
 def rarity(texts: DataFrame) -> DataFrame:
-    """One row: an array with the rank of each cell, rarest first, as the high bits of a word."""
-    words = texts.select(F.explode(_words(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("w"))
+    """One row: an array with the rank of each cell, rarest first, as the high bits of a word.
+
+    All texts are counted, whole, by what stands between blanks and line ends:
+    the order decides the work and not the result, so it can do without the
+    other white space.
+    """
+    words = texts.select(F.explode(F.split(F.lower(F.replace("text", F.lit("\n"), F.lit(" "))), " ")).alias("w"))
     counts = words.select(_cell(F.xxhash64("w")).alias("cell")).groupBy("cell").count()
     every = texts.sparkSession.range(CELLS).select(F.col("id").cast("int").alias("cell")).join(counts, "cell", "left").select("cell", F.coalesce("count", F.lit(0)).alias("count"))
     by_count = F.sort_array(F.collect_list(F.struct("count", "cell")))
@@ -69,6 +74,17 @@ def rarity(texts: DataFrame) -> DataFrame:
     return placed.select("cell", high).agg(F.sort_array(F.collect_list(F.struct("cell", "high"))).alias("s")).select(F.transform("s", lambda x: x["high"]).alias("ranks"))
 
 
+def _ranks(texts: DataFrame) -> Column:
+    """The ranks as a scalar; while they are counted, the first hash map of an aggregation has room for all cells."""
+    conf, room = texts.sparkSession.conf, "spark.sql.codegen.aggregate.fastHashMap.capacityBit"
+    before = conf.get(room, None)
+    conf.set(room, str(CELL_BITS))
+    try:
+        return checkpoint(rarity(texts)).scalar()
+    finally:
+        conf.unset(room) if before is None else conf.set(room, before)
+
+
 def _ordered(hashes: Column, ranks: Column) -> Column:
     """Words as longs in order of rarity: the cell's rank, then the other bits; no two words' hashes become one.
 
@@ -173,7 +189,7 @@ def _led(classes: DataFrame, similarity: float) -> DataFrame:
 def kept_lines(docs: DataFrame, similarity: float = SIMILARITY, least: int = LEAST) -> DataFrame:
     """did, dh, kept: by document (its id, null as the lowest long, and its text's hash) the positions of its compared lines that stay."""
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("did"), F.coalesce("text", F.lit("")).alias("text")).select("did", F.xxhash64("text").alias("dh"), "text")
-    ranks = checkpoint(rarity(keyed.select("text"))).scalar()
+    ranks = _ranks(keyed.select("text"))
     lines = keyed.select("did", "dh", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     sets = _sets(lines, ranks, ["did", "dh", "pos"], least)
     n = F.size("words")

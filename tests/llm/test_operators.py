@@ -131,6 +131,35 @@ def test_line_dedup_of_a_large_group_of_near_copies(spark, tmp_path):
             linededup.HEADS = kept
 
 
+def test_line_dedup_counts_words_by_blanks_alone_and_in_any_order(spark, tmp_path, monkeypatch):
+    """The count of words is an order only: it does without other white space, leaves no setting behind, and any order gives the same rows."""
+    r = random.Random(47)
+    base = [f"W{k}" for k in range(30)]
+
+    def edited():
+        words = list(base)
+        for _ in range(r.randint(0, 5)):
+            words[r.randrange(30)] = f"n{r.randrange(90)}"
+        return "".join(w + r.choice([" ", " ", " ", "\t", "\r"]) for w in words)
+
+    rows = [(k, edited() + "\n" + prose(r, r.randint(0, 6))) for k in range(120)] + [(500, None), (501, ""), (502, "\n \t\n")]
+    texts = [(d, (t or "").split("\n")) for d, t in rows]
+    lines = [(d, k, frozenset(re.split(r"[ \t\r]+", x.lower())) - {""}) for d, t in texts for k, x in enumerate(t)]
+    gone = {(d, k) for i, (d, k, s) in enumerate(lines) if s and any(o and len(s & o) >= 0.8 * len(s | o) - 1e-9 for _, _, o in lines[:i])}
+    want = {d: "\n".join(x for k, x in enumerate(t) if (d, k) not in gone) for d, t in texts}
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    room = "spark.sql.codegen.aggregate.fastHashMap.capacityBit"
+    before = spark.conf.get(room, None)
+    assert {x.doc_id: x.text for x in linededup.dedup_lines(docs).collect()} == want and len(gone) > 20
+    assert spark.conf.get(room, None) == before
+    plan = linededup.rarity(docs.select("text"))._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "split(" in plan and "contains(" not in plan and "translate(" not in plan
+    mixed = F.transform(F.sequence(F.lit(0), F.lit(linededup.CELLS - 1)), lambda k: F.shiftleft(k.cast("long") * 40503 % linededup.CELLS - linededup.CELLS // 2, 64 - linededup.CELL_BITS))
+    monkeypatch.setattr(linededup, "_ranks", lambda texts: common.checkpoint(spark.range(1).select(mixed.alias("ranks"))).scalar())
+    assert {x.doc_id: x.text for x in linededup.dedup_lines(docs).collect()} == want
+
+
 def test_short_lines_are_compared_too(spark, tmp_path):
     import corpus_pipeline
 
